@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnstone.llm import bpe_codec, line_dedup, ngram_join, quality_rules, suffix_dedup, token_counts, window_dedup
+from tarnstone.llm import bpe_codec, decontaminate, line_dedup, ngram_join, quality_rules, suffix_dedup, token_counts, window_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op3_suffix_dedup": suffix_dedup.query,
     "op4_ngram_join": ngram_join.query,
     "op5_token_counts": token_counts.query,
+    "op6_decontaminate": decontaminate.query,
     "op7_quality_rules": quality_rules.query,
     "op8_window_dedup": window_dedup.query,
     "op9_bpe_codec": bpe_codec.query,
