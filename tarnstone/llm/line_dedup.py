@@ -111,10 +111,11 @@ def dedup_lines(docs: DataFrame, similarity: int = SIMILARITY, text_col: str = "
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     base = docs.select(key.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    gone = duplicate_lines(base, similarity).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    lines = F.filter(F.split(F.col(text_col), LINE, -1), lambda _, i: ~F.array_contains("__gone", i))
-    out = docs.withColumn("__key", key).join(gone.withColumnRenamed("doc_id", "__key"), "__key", "left")
-    return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, LINE))).select(*docs.columns)
+    gone = duplicate_lines(base, similarity).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("doc_id"), F.col(text_col).alias("text"))
+    lines = F.filter(F.split("text", LINE, -1), lambda _, i: ~F.array_contains("gone", i))
+    out = packed.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, LINE)))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:

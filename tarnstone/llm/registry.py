@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnstone.llm import bpe_codec, decontaminate, line_dedup, ngram_join, quality_rules, suffix_dedup, token_counts, window_dedup
+from tarnstone.llm import bpe_codec, decontaminate, line_dedup, ngram_join, pii, quality_rules, suffix_dedup, token_counts, window_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": line_dedup.query,
+    "op2_pii": pii.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op4_ngram_join": ngram_join.query,
     "op5_token_counts": token_counts.query,
