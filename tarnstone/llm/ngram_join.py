@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnstone.llm.common import chunks, documents_of, mix, prefix_sums, read_table, signed, slice_hash, stage, unstage, words_of
@@ -18,6 +18,10 @@ SHINGLE = 5
 SIMILARITY = 80
 #: Longest extension of a prefix, and the number of shared tokens it then takes.
 LEVELS = 4
+#: Rarer tokens that a posting remembers, so that a pair of documents is listed once and not for each token they share.
+LOOKBACK = 16
+#: Words of 64 bits in a document's parity signature.
+PARITY = 16
 #: Rounds that link every document of a posting list with one of it before all remaining pairs are listed.
 PIVOT_ROUNDS = 3
 
@@ -70,13 +74,28 @@ def _shingles(k: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Those of pairs (x, y) whose sets are similar enough. Shingles of one document alone never lie in an intersection."""
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    """Those of pairs (x, y) whose sets are similar enough. Shingles of one document alone never lie in an intersection.
+
+    First x's level counts: of the prefixes lengthened to it, both must share that many tokens.
+    """
+    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), "base", "level", F.col("tokens").alias(f"t{c}"))
+    both = pairs.join(side("x"), "x").join(side("y").select("y", "ny", "ty", F.col("base").alias("basey")), "y")
+    front = lambda t, base: F.slice(t, F.lit(1), F.greatest(F.lit(0), F.col(base) + F.col("level") - 1))
+    both = both.filter(F.size(F.array_intersect(front("tx", "base"), front("ty", "basey"))) >= F.col("level"))
     same = F.size(F.array_intersect("tx", "ty"))
     return both.filter(100 * same >= similarity * (F.col("nx") + F.col("ny") - same)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def _parity(tokens: Column) -> Column:
+    """A bit for each of 64 * PARITY token classes: whether an odd number of tokens falls into it.
+
+    Two sets differ in at least as many tokens as their signatures differ in bits.
+    """
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 10).bitwiseAND(63).cast("int"))
+    word = lambda w: F.aggregate(F.filter(tokens, lambda t: t.bitwiseAND(PARITY - 1) == w), F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
+    return F.array(*[word(w) for w in range(PARITY)])
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY, levels: int = LEVELS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (least doc_id that links lead to, itself included).
 
@@ -116,12 +135,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     sets = stage(sets.select("doc_id", "n", "base", "level", F.expr("transform(ranked, t -> t.h)").alias("tokens")), "shingle-sets")
     unstage(rows)
     posting = stage(
-        sets.select("doc_id", "n", "base", "level", F.posexplode(F.expr(f"slice(tokens, 1, base + {levels - 1})")).alias("i", "h"))
-        .select("doc_id", "n", F.col("level").alias("need"), F.greatest(F.lit(1), F.col("i") - F.col("base") + 2).alias("level"), "h"),
+        sets.select("doc_id", "n", F.size("tokens").alias("m"), "tokens", F.posexplode(F.expr("slice(tokens, 1, base)")).alias("i", "h"))
+        .withColumn("before", F.expr(f"slice(tokens, greatest(1, i + 1 - {LOOKBACK}), least(i, {LOOKBACK}))"))
+        .select("doc_id", "n", "h", "i", (F.col("m") - F.col("i")).alias("rest"), "before"),
         "shingle-postings",
     )
 
+    # Length filter; then, with the overlap that these two sizes need, the prefix of this very pair and the positional filter.
     sized = 100 * F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")
+    overlap = F.ceil((F.col("nx") + F.col("ny")) * similarity / (100 + similarity))
+    placed = F.least("ix", "iy") + F.least("rx", "ry") >= overlap
     links, found = None, None
     for turn in range(PIVOT_ROUNDS):
         have = posting if found is None else posting.join(found.select(F.col("a").alias("doc_id"), "b"), "doc_id", "left")
@@ -129,20 +152,25 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
         if found is not None:  # lists that lie in one class are settled
             open_ = have.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("h")
             have = have.join(open_, "h")
-        pivot = have.groupBy("h").agg(F.min_by(F.struct("doc_id", "n", "part"), F.xxhash64(F.lit(turn), "doc_id")).alias("v"))
-        pairs = have.join(pivot, "h").filter("part != v.part").select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("v.doc_id").alias("y"), F.col("v.n").alias("ny"))
-        new = _verified(pairs.filter(sized).select("x", "y").distinct(), sets, similarity)
+        pivot = have.groupBy("h").agg(F.min_by(F.struct("doc_id", "n", "part", "i", "rest"), F.xxhash64(F.lit(turn), "doc_id")).alias("v"))
+        pairs = have.join(pivot, "h").filter("part != v.part").select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("rest").alias("rx"), F.col("v.doc_id").alias("y"), F.col("v.n").alias("ny"), F.col("v.i").alias("iy"), F.col("v.rest").alias("ry"))
+        new = _verified(pairs.filter(sized & placed).select("x", "y").distinct(), sets, similarity)
         links = stage(new if links is None else links.select("a", "b").unionByName(new), "links")
         if found is not None:
             unstage(found)
         found = components(links)
     have = posting.join(found.select(F.col("a").alias("doc_id"), "b"), "doc_id", "left").withColumn("part", F.coalesce("b", "doc_id"))
     open_ = have.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("h")
-    have = stage(have.join(open_, "h").select("h", "doc_id", "n", "need", "level", "part"), "shingle-open")
-    probe = have.filter("level <= need").select("h", F.col("doc_id").alias("x"), F.col("n").alias("nx"), "need", F.col("part").alias("px"))
-    index = have.select("h", F.col("doc_id").alias("y"), F.col("n").alias("ny"), "level", F.col("part").alias("py"))
-    pairs = probe.join(index, (probe.h == index.h) & (F.col("level") <= F.col("need")) & (F.col("y") < F.col("x")) & (F.col("px") != F.col("py")) & sized)
-    pairs = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("hits"), F.first("need").alias("need")).filter("hits >= need").select("x", "y")
+    have = stage(have.join(open_, "h").select("h", "doc_id", "n", "part", "i", "rest", "before"), "shingle-open")
+    signed_ = sets.join(have.select("doc_id").distinct(), "doc_id").select("doc_id", _parity(F.col("tokens")).alias("sign"))
+    have = have.join(signed_, "doc_id")
+    side = lambda c: have.select("h", F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("part").alias(f"p{c}"), F.col("i").alias(f"i{c}"), F.col("rest").alias(f"r{c}"), F.col("before").alias(f"b{c}"), F.col("sign").alias(f"g{c}"))
+    probe, index = side("x"), side("y")
+    # The rarest token that a pair shares lies in both prefixes of level 1; postings of other tokens they share are passed over.
+    rarest = (F.least("rx", "ry") >= overlap) & ~F.arrays_overlap("bx", "by")
+    differ = sum((F.bit_count(F.col("gx")[k].bitwiseXOR(F.col("gy")[k])) for k in range(1, PARITY)), F.bit_count(F.col("gx")[0].bitwiseXOR(F.col("gy")[0])))
+    alike = differ <= F.col("ix") + F.col("rx") + F.col("iy") + F.col("ry") - 2 * overlap
+    pairs = probe.join(index, (probe.h == index.h) & (F.col("y") < F.col("x")) & (F.col("px") != F.col("py")) & sized & placed & rarest & alike).select("x", "y").distinct()
     links = links.unionByName(_verified(pairs, sets, similarity))
     found = components(links)
     out = classes.join(found.select(F.col("a").alias("rep"), "b"), "rep", "left")
