@@ -112,18 +112,18 @@ def repeated_segments(docs: DataFrame, windows: Windows, name: str) -> DataFrame
     return stage(docs.mapInArrow(listed, SEGMENT).join(often, "mhash").select("doc_id", "start", "nwin", "mhash", "s1", "s2", "inner"), f"{name}-segments")
 
 
-def settle(segments: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, open): window runs that repeat a whole earlier segment, and the first copies of segments still to be compared.
+def settle(segments: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, open, firsts): window runs that repeat a whole earlier segment, and the first copies of segments still to be compared.
 
     runs: doc_id, start, nwin. open: mhash, doc_id, start, nwin, of families with two distinct
-    segments, or with one that may hold a window twice.
+    segments, or with one that may hold a window twice. firsts: the staged table both read.
     """
     key = ["mhash", "s1", "s2", "nwin"]
     firsts = stage(segments.groupBy(*key).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("inner").alias("inner")), f"{name}-firsts")
     runs = segments.join(firsts.filter("copies > 1"), key).filter("doc_id != first.doc_id OR start != first.start").select("doc_id", "start", "nwin")
     several = firsts.groupBy("mhash").agg(F.count(F.lit(1)).alias("kinds"), F.max("inner").alias("inner")).filter("kinds > 1 OR inner").select("mhash")
     left = firsts.join(several, "mhash").select("mhash", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "nwin")
-    return runs, left
+    return runs, left, firsts
 
 
 def with_runs(docs: DataFrame, runs: DataFrame, extra: tuple[str, ...] = (), how: str = "left") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnstone.llm.common import chunks, documents_of, prefix_sums, read_table, signed, slice_hash, stage, words_of
+from tarnstone.llm.common import chunks, documents_of, prefix_sums, read_table, signed, slice_hash, stage, unstage, words_of
 from tarnstone.llm.repeats import Windows, covered, ids_of, keyed, per_row, repeated_segments, runs_of, settle, unkeyed, with_runs
 
 WINDOW = 20
@@ -20,7 +20,8 @@ GRAM = 5
 def removal_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, start, nwin): runs of window starts, in words, whose window also starts earlier in the corpus."""
     windows = Windows("word", window, min(gram, window - 1))
-    runs, left = settle(repeated_segments(docs, windows, "words"), "words")
+    segments = repeated_segments(docs, windows, "words")
+    runs, left, firsts = settle(segments, "words")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches):
@@ -37,7 +38,9 @@ def removal_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     each = stage(with_runs(docs, left, how="inner").mapInArrow(hashed, "h1 long, h2 long, doc_id long, start int"), "words-windows")
     counted = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1")
     later = each.join(counted, ["h1", "h2"]).filter("doc_id != first.doc_id OR start != first.start")
-    return runs.unionByName(later.select("doc_id", "start", F.lit(1).alias("nwin")))
+    found = stage(runs.unionByName(later.select("doc_id", "start", F.lit(1).alias("nwin"))), "words-runs")
+    unstage(segments, firsts, each)
+    return found
 
 
 def dedup_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text_col: str = "text", id_col: str = "doc_id", digest: bool = True) -> DataFrame:
