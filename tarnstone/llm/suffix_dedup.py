@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnstone.llm.common import chunks, documents_of, read_table, stage
+from tarnstone.llm.common import chunks, documents_of, read_table, stage, unstage
 from tarnstone.llm.repeats import Windows, covered, ids_of, keyed, per_row, repeated_segments, runs_of, settle, unkeyed, with_runs
 
 LENGTH = 100
@@ -124,61 +124,69 @@ def as_runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def removal_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, start, nwin): runs of byte positions at which a string of the given length starts that also starts earlier."""
     windows = Windows("byte", length, min(gram, length - 1))
-    runs, left = settle(repeated_segments(docs, windows, "bytes"), "bytes")
+    segments = repeated_segments(docs, windows, "bytes")
+    runs, left, firsts = settle(segments, "bytes")
     size = F.col("nwin") + F.lit(length - 1)
     left = stage(left, "bytes-open")
     total = left.agg(F.sum(size.cast("long")).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // shard_bytes))
     large = left.groupBy("mhash").agg(F.sum(size.cast("long")).alias("size")).filter(F.col("size") > shard_bytes)
+    shares = F.ceil(F.coalesce("size", F.lit(1)) / F.lit(shard_bytes)).cast("int")
     dealt = left.join(large, "mhash", "left").select(
         "doc_id", "start", "nwin",
         F.when(F.col("size").isNull(), F.pmod(F.xxhash64("mhash"), F.lit(shards))).otherwise(F.col("mhash")).alias("family"),
-        F.when(F.col("size").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("size") / F.lit(shard_bytes)).cast("long")).cast("int")).alias("share"),
+        F.when(F.col("size").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "start"), shares).cast("int")).alias("share"),
+        shares.alias("shares"),
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches):
-            row, at, nwin, family, share = runs_of(rows, offsets, 0, 1, 2, 3)
+            row, at, nwin, family, share, shares = runs_of(rows, offsets, 0, 1, 2, 3, 4)
             raw = data.tobytes()
             body = [raw[a:b] for a, b in zip(at, at + nwin + length - 1, strict=True)]
-            columns = [ids_of(rows)[row], (at - offsets[row]).astype(np.int32), nwin.astype(np.int32), family, share.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], pa.array(body, pa.binary())], ["doc_id", "start", "nwin", "family", "share", "body"])
+            columns = [ids_of(rows)[row], (at - offsets[row]).astype(np.int32), nwin.astype(np.int32), family, share.astype(np.int32), shares.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], pa.array(body, pa.binary())], ["doc_id", "start", "nwin", "family", "share", "shares", "body"])
 
     def sorted_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [bytes(b) for b in pdf["body"]]
         doc, pos, first, at = shard_repeats(pdf["doc_id"].to_numpy(), pdf["start"].to_numpy(np.int64), pdf["nwin"].to_numpy(np.int64), parts, length)
         d, p, n = as_runs(doc[~first], pos[~first])
-        out = pd.DataFrame({"doc_id": d, "start": p, "nwin": n, "family": key[0], "share": key[1], "word": pd.Series([None] * len(d), dtype=object)})
-        if key[1] >= 0:  # this family has other shards: its first windows are to be merged with theirs
-            raw = b"".join(parts)
-            lead = pd.DataFrame({"doc_id": doc[first], "start": pos[first], "nwin": 0, "family": key[0], "share": key[1], "word": [raw[a : a + length] for a in at[first]]})
-            out = pd.concat([out, lead.drop_duplicates(["doc_id", "start"])], ignore_index=True)
+        out = pd.DataFrame({"doc_id": d, "start": p, "nwin": n, "family": key[0], "deal": -1, "words": None, "docs": None, "starts": None})
+        if key[1] >= 0:  # this family has other shards: its first windows, sorted, are to be merged with theirs
+            raw = np.frombuffer(b"".join(parts), np.uint8)
+            words = raw[at[first][:, None] + np.arange(length)]
+            deal = words.astype(np.int64) @ (np.arange(length) * 2 + 1) % pdf["shares"].iloc[0]
+            for k in np.unique(deal):
+                mine = deal == k
+                row = {"doc_id": 0, "start": 0, "nwin": 0, "family": key[0], "deal": k, "words": words[mine].tobytes(), "docs": doc[first][mine].tobytes(), "starts": pos[first][mine].tobytes()}
+                out = pd.concat([out, pd.DataFrame([row])], ignore_index=True)
         return out
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The sorted windows of each shard are looked up by binary search in the union of all shards of a family."""
-        union = np.unique(np.array(pdf["word"].tolist(), dtype=object))
-        d, p, kind = [], [], []
-        for _, shard in pdf.sort_values("word").groupby("share"):
-            kind.append(np.searchsorted(union, np.array(shard["word"].tolist(), dtype=object)))
-            d.append(shard["doc_id"].to_numpy())
-            p.append(shard["start"].to_numpy())
-        d, p, kind = np.concatenate(d), np.concatenate(p), np.concatenate(kind)
+        """The windows of each shard, sorted, are looked up by binary search in the union of all shards of a family."""
+        shards = [np.frombuffer(w, np.dtype((np.void, length))) for w in pdf["words"]]
+        union = np.unique(np.concatenate(shards))
+        kind = np.concatenate([np.searchsorted(union, w) for w in shards])
+        d = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["docs"]])
+        p = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["starts"]])
         by = np.lexsort((p, d, kind))
         d, p, kind = d[by], p[by], kind[by]
-        later = np.zeros(len(d), bool)
-        later[1:] = kind[1:] == kind[:-1]
+        lead = np.ones(len(d), bool)
+        lead[1:] = kind[1:] != kind[:-1]
+        at = np.maximum.accumulate(np.where(lead, np.arange(len(d)), 0))
+        later = (d != d[at]) | (p != p[at])
         d, p, n = as_runs(d[later], p[later])
         return pd.DataFrame({"doc_id": d, "start": p, "nwin": n})
 
-    schema = "doc_id long, start int, nwin int, family long, share int, word binary"
-    pieces = with_runs(docs, dealt, ("family", "share"), "inner").mapInArrow(cut, "doc_id long, start int, nwin int, family long, share int, body binary")
+    schema = "doc_id long, start int, nwin int, family long, deal int, words binary, docs binary, starts binary"
+    pieces = with_runs(docs, dealt, ("family", "share", "shares"), "inner").mapInArrow(cut, "doc_id long, start int, nwin int, family long, share int, shares int, body binary")
     sorted_ = stage(pieces.groupBy("family", "share").applyInPandas(sorted_shard, schema), "bytes-sorted")
     within = sorted_.filter("nwin > 0").select("doc_id", "start", "nwin")
-    # A family's first windows are dealt by content, so that no task needs all of them.
-    deal = F.pmod(F.xxhash64("word"), F.lit(1024))
-    across = sorted_.filter("nwin = 0").withColumn("deal", deal).groupBy("family", "deal").applyInPandas(merged, "doc_id long, start int, nwin int")
-    return runs.unionByName(within).unionByName(across)
+    # A family's first windows are dealt by content to as many tasks as it has shards, so that none needs all of them.
+    across = sorted_.filter("nwin = 0").groupBy("family", "deal").applyInPandas(merged, "doc_id long, start int, nwin int")
+    found = stage(runs.unionByName(within).unionByName(across), "bytes-runs")
+    unstage(segments, firsts, left, sorted_)
+    return found
 
 
 def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, text_col: str = "text", id_col: str = "doc_id", digest: bool = True) -> DataFrame:
