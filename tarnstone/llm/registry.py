@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnstone.llm import bpe_codec, decontaminate, line_dedup, ngram_join, pii, quality_rules, suffix_dedup, token_counts, window_dedup
+from tarnstone.llm import bpe_codec, decontaminate, html_text, line_dedup, ngram_join, pii, quality_rules, suffix_dedup, token_counts, window_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": line_dedup.query,
     "op2_pii": pii.query,
@@ -20,6 +28,8 @@ QUERIES: dict[str, Query] = {
     "op7_quality_rules": quality_rules.query,
     "op8_window_dedup": window_dedup.query,
     "op9_bpe_codec": bpe_codec.query,
+    "op10_html_text": html_text.query,
+    "pipeline": _pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
