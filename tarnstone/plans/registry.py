@@ -1,6 +1,8 @@
-"""All queries by name, with the DuckDB statement that gives the same rows."""
+"""All queries by name, with the DuckDB statement that gives the same rows where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tarnstone.plans import q_search, q_text  # noqa: F401
+from tarnstone.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
