@@ -68,16 +68,18 @@ def duplicate_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     ranks = rarity(docs)
     keyed = lines_of(docs).select("doc_id", "line_no", let(ordered_tokens(F.col("line"), ranks), lambda t: F.struct(F.size(t).alias("n"), F.xxhash64(t).alias("s1"), F.hash(t).alias("s2"), pair_prefix(t, similarity).alias("pairs"))).alias("k"))
     keyed = stage(keyed.select("doc_id", "line_no", "k.*").filter("n > 0"), "line-keys")
-    # Lines with equal token sets: the first one stands for all from here on.
-    sets = keyed.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("pairs").alias("pairs"))
-    sets = stage(sets.select("n", "s1", "s2", "at.doc_id", "at.line_no", "copies", "pairs"), "line-sets")
+    # Adjacent pairs that stand in one line alone lead nowhere.
+    often = keyed.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("pair")
+    often = stage(often, "line-often")
+    pair = stage(keyed.select("s1", F.posexplode("pairs").alias("pos", "pair")).join(often, "pair"), "line-pairs")
     light = stage(keyed.drop("pairs"), "line-light")
-    unstage(keyed)
-
-    pair = sets.select(F.explode("pairs").alias("pair"), "doc_id", "line_no")
-    often = pair.groupBy("pair").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("pair")
-    pair = sets.select(F.posexplode("pairs").alias("pos", "pair"), "doc_id", "line_no", "n").join(often, "pair")
-    pair = stage(pair, "line-pairs")
+    unstage(keyed, often)
+    # Lines with equal token sets: the first one stands for all from here on.
+    sets = light.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("copies"))
+    sets = stage(sets.select("n", "s1", "s2", "at.doc_id", "at.line_no", "copies"), "line-sets")
+    pair = pair.distinct()
+    shared = pair.groupBy("pair").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).filter("a != b").select("pair")
+    pair = stage(pair.join(shared, "pair").join(sets.select("n", "s1", "doc_id", "line_no"), "s1").drop("s1"), "line-postings")
     side = lambda c: pair.select("pair", *[F.col(x).alias(f"{x}_{c}") for x in ("doc_id", "line_no", "n", "pos")])
     need = F.ceil((F.col("n_a") + F.col("n_b")) * similarity / (100 + similarity))
     # Length filter, positional filter, and each pair of sets once.
