@@ -11,8 +11,8 @@ HEADING = "^#{2,4}([^#]|$)"
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 1), line without its carriage return. No line follows a final line feed."""
-    body = F.regexp_replace("text", "\n$", "")
-    return docs.select("doc_id", F.posexplode(F.split(body, "\n", -1)).alias("i", "raw")).select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.regexp_replace("raw", "\r$", "").alias("line"))
+    body = F.regexp_replace("text", r"\n\z", "")
+    return docs.select("doc_id", F.posexplode(F.split(body, "\n", -1)).alias("i", "raw")).select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.regexp_replace("raw", r"\r\z", "").alias("line"))
 
 
 def fragments(docs: DataFrame, boundary: str = HEADING) -> DataFrame:
@@ -36,7 +36,7 @@ def read_range(docs: DataFrame, start: int, end: int) -> DataFrame:
     """doc_id, content of the lines start..end (from 1, both included), total_lines of the whole text."""
     start = max(1, start)
     end = max(start, end)
-    lines = F.split(F.regexp_replace("text", "\n$", ""), "\n", -1)
+    lines = F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1)
     return docs.select("doc_id", F.array_join(F.slice(lines, start, end - start + 1), "\n").alias("content"), F.size(lines).cast("long").alias("total_lines"))
 
 
