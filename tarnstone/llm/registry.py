@@ -32,4 +32,4 @@ QUERIES: dict[str, Query] = {
     "pipeline": _pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+from tarnstone.llm.oracles import ORACLE_SQL  # noqa: E402, F401
