@@ -71,13 +71,13 @@ def duplicate_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     # Adjacent pairs that stand in one line alone lead nowhere.
     often = keyed.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("pair")
     often = stage(often, "line-often")
-    pair = stage(keyed.select("s1", F.posexplode("pairs").alias("pos", "pair")).join(often, "pair"), "line-pairs")
+    open_pairs = stage(keyed.select("s1", F.posexplode("pairs").alias("pos", "pair")).join(often, "pair"), "line-pairs")
     light = stage(keyed.drop("pairs"), "line-light")
     unstage(keyed, often)
     # Lines with equal token sets: the first one stands for all from here on.
     sets = light.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("copies"))
     sets = stage(sets.select("n", "s1", "s2", "at.doc_id", "at.line_no", "copies"), "line-sets")
-    pair = pair.distinct()
+    pair = open_pairs.distinct()
     shared = pair.groupBy("pair").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).filter("a != b").select("pair")
     pair = stage(pair.join(shared, "pair").join(sets.select("n", "s1", "doc_id", "line_no"), "s1").drop("s1"), "line-postings")
     side = lambda c: pair.select("pair", *[F.col(x).alias(f"{x}_{c}") for x in ("doc_id", "line_no", "n", "pos")])
@@ -100,7 +100,10 @@ def duplicate_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     near = both.filter(100 * same >= similarity * (F.col("n_a") + F.col("n_b") - same)).select(F.col("doc_id_b").alias("doc_id"), F.col("line_no_b").alias("line_no")).distinct()
     later = near.join(sets, ["doc_id", "line_no"]).select("n", "s1", "s2", F.lit(True).alias("near"))
     first = sets.filter("copies > 1").select("n", "s1", "s2", F.struct("doc_id", "line_no").alias("first")).join(later, ["n", "s1", "s2"], "full_outer")
-    return light.join(first, ["n", "s1", "s2"]).filter(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no").distinct()
+    gone = light.join(first, ["n", "s1", "s2"]).filter(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no").distinct()
+    gone = stage(gone, "line-gone")
+    unstage(open_pairs, pair, light, sets, found, tokens)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, similarity: int = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

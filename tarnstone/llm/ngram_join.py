@@ -162,6 +162,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     have = posting.join(found.select(F.col("a").alias("doc_id"), "b"), "doc_id", "left").withColumn("part", F.coalesce("b", "doc_id"))
     open_ = have.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("h")
     have = stage(have.join(open_, "h").select("h", "doc_id", "n", "part", "i", "rest", "before"), "shingle-open")
+    opened = have
     signed_ = sets.join(have.select("doc_id").distinct(), "doc_id").select("doc_id", _parity(F.col("tokens")).alias("sign"))
     have = have.join(signed_, "doc_id")
     side = lambda c: have.select("h", F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("part").alias(f"p{c}"), F.col("i").alias(f"i{c}"), F.col("rest").alias(f"r{c}"), F.col("before").alias(f"b{c}"), F.col("sign").alias(f"g{c}"))
@@ -173,6 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     pairs = probe.join(index, (probe.h == index.h) & (F.col("y") < F.col("x")) & (F.col("px") != F.col("py")) & sized & placed & rarest & alike).select("x", "y").distinct()
     links = links.unionByName(_verified(pairs, sets, similarity))
     found = components(links)
+    unstage(alive, sets, posting, opened)
     out = classes.join(found.select(F.col("a").alias("rep"), "b"), "rep", "left")
     return unkeyed(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("b", "rep").alias("component_id")))
 
