@@ -113,7 +113,8 @@ def revealing(docs: DataFrame, base: DataFrame, near: DataFrame, support: int, d
     pair = stage(pair.join(entity, "entity"), "pii-pairs")
     wanted = pair.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    df = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # Terms are counted before the wanted ones are picked: a count for each term is less than its rows.
+    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term", "left_semi")
     n = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     content = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
     mutual = F.log2(F.col("n_et") * F.lit(float(max(n, 1))) / (F.col("n_e") * F.greatest("n_t", "n_et")))
