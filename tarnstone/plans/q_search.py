@@ -32,6 +32,11 @@ def _(docs):
     return S.term_frequency(tokens)
 
 
+@query("term_frequency_all", f"{BASE} SELECT doc_id, term, tf FROM p")
+def _(docs):
+    return S.term_frequency(S.with_tokens(docs))
+
+
 @query("doc_length", f"WITH {T_} SELECT doc_id, CAST(len(tokens) AS BIGINT) AS dl FROM t WHERE tokens IS NOT NULL")
 def _(docs):
     return S.with_tokens(docs).filter("tokens IS NOT NULL").select("doc_id", F.size("tokens").cast("long").alias("dl"))
@@ -52,13 +57,21 @@ def _(docs):
     return S.build_index(docs).terms.select("term", F.round("idf", 6).alias("idf"))
 
 
-@query("inverted_index", f"{BASE} SELECT term, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM p WHERE term LIKE 'tion%' GROUP BY term")
-def _(docs):
-    p = S.build_index(docs).postings.filter(F.startswith("term", F.lit("tion")))
+def posting_lists(p):
     listed = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["tf"].cast("string")))
     return p.groupBy("term").agg(F.array_join(listed, " ").alias("postings"))
 
 
+@query("inverted_index", f"{BASE} SELECT term, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM p WHERE term LIKE 'tion%' GROUP BY term")
+def _(docs):
+    return posting_lists(S.build_index(docs).postings.filter(F.startswith("term", F.lit("tion"))))
+
+
+@query("inverted_index_all", f"{BASE} SELECT term, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM p GROUP BY term")
+def _(docs):
+    return posting_lists(S.build_index(docs).postings)
+
+
 @query("postings_lookup", f"{BASE}, {HITS} SELECT doc_id, term, tf, dl, df FROM h")
 def _(docs):
     return S.matched(docs, WORDS).select("doc_id", "term", "tf", "dl", "df")
