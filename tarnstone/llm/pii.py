@@ -21,10 +21,12 @@ PATTERNS = {
 }
 #: A text without these cannot match.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
-#: Code points on either side of a base span in which terms are looked at.
+#: Code points on either side of a base span that tell one context of it from another; terms are taken from whole texts.
 CONTEXT = 80
-TERM = r"\p{L}{4,}"
-#: Distinct contexts in which an entity, and a term with it, must have been seen.
+#: Letters, marks and digits: short names and codes are terms too.
+LETTER = r"[\p{L}\p{M}\p{N}]"
+TERM = LETTER + "+"
+#: Distinct texts, and distinct contexts, in which an entity, and a term with it, must have been seen.
 SUPPORT = 3
 #: A term reveals an entity if their pointwise mutual information reaches this share of the entity's information content.
 DISCLOSURE = 0.9
@@ -50,14 +52,8 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _terms(snippet: Column, cut_left: Column, cut_right: Column) -> Column:
-    """(term, off, len) of a context; terms that the edge of the context may have cut are left out. Contexts are short."""
-    def listed(s: Column) -> Column:
-        m, gaps = F.regexp_extract_all(s, F.lit(TERM), F.lit(0)), F.split(s, TERM, -1)
-        total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-        found = F.transform(m, lambda x, i: F.struct(F.lower(x).alias("term"), (total(F.slice(gaps, 1, i + 1)) + total(F.slice(m, 1, i))).alias("off"), F.length(x).alias("len")))
-        return F.filter(found, lambda t: ~(cut_left & (t["off"] == 0)) & ~(cut_right & (t["off"] + t["len"] == F.length(s))))
-    return let(snippet, listed)
+def _tokens() -> Column:
+    return F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
 
 
 def base_matches(docs: DataFrame) -> DataFrame:
@@ -88,56 +84,71 @@ def base_matches(docs: DataFrame) -> DataFrame:
     return found.filter(keep).select("doc_id", "tkey", "kind", (F.col("end") - F.length("m")).alias("start"), "end", F.col("m").alias("value"), "before", "after")
 
 
-def _contexts(base: DataFrame) -> DataFrame:
-    """Terms about base spans: doc_id, tkey, entity, context, term, start, end."""
+def _held(base: DataFrame) -> DataFrame:
+    """tkey, unit, entity, context of the texts with base spans. Texts of the same entities in the same contexts are one unit."""
     entity = F.concat(F.col("kind").cast("string"), F.lit(":"), F.lower(F.when(F.col("kind") == 0, F.col("value")).otherwise(F.regexp_replace("value", "[^0-9]", ""))))
-    near = base.select(
-        "doc_id", "tkey", "start", "end", entity.alias("entity"), F.xxhash64("before", "after").alias("context"), F.length("before").alias("size"),
-        _terms(F.col("before"), F.length("before") > CONTEXT, F.lit(False)).alias("left"), _terms(F.col("after"), F.lit(False), F.length("after") > CONTEXT).alias("right"),
-    )
-    at = F.concat(
-        F.transform("left", lambda t: F.struct(t["term"].alias("term"), (F.col("start") - F.col("size") + t["off"]).alias("s"), t["len"].alias("len"))),
-        F.transform("right", lambda t: F.struct(t["term"].alias("term"), (F.col("end") + t["off"]).alias("s"), t["len"].alias("len"))),
-    )
-    return near.select("doc_id", "tkey", "entity", "context", F.explode(at).alias("t")).select("doc_id", "tkey", "entity", "context", "t.term", F.col("t.s").alias("start"), (F.col("t.s") + F.col("t.len")).alias("end"))
+    held = base.select("tkey", entity.alias("entity"), F.xxhash64("before", "after").alias("context")).distinct()
+    unit = held.groupBy("tkey").agg(F.xxhash64(F.array_sort(F.collect_set(F.struct("entity", "context")))).alias("unit"))
+    return stage(held.join(unit, "tkey"), "pii-entities")
 
 
-def revealing(docs: DataFrame, base: DataFrame, near: DataFrame, support: int, disclosure: float) -> DataFrame:
+def revealing(docs: DataFrame, held: DataFrame, support: int, disclosure: float) -> DataFrame:
     """entity, term, share: terms whose mutual information with an entity reaches the share of its information content.
 
-    An entity or a pair counts once for each distinct context, so that copies of a passage prove nothing; a term counts
-    once for each document that has it. A corpus without repeated entities reveals nothing.
+    A term and an entity meet where one text has both. Entities and pairs are counted in units: the texts that
+    have the same entities in the same contexts, so that copies of a passage prove nothing; a term in documents that have it.
+    A corpus without repeated entities reveals nothing.
     """
-    entity = base_entity(base).groupBy("entity").agg(F.countDistinct("context").alias("n_e")).filter(F.col("n_e") >= support)
-    pair = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("n_et")).filter(F.col("n_et") >= support)
-    pair = stage(pair.join(entity, "entity"), "pii-pairs")
-    wanted = pair.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    # Terms are counted before the wanted ones are picked: a count for each term is less than its rows.
-    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term", "left_semi")
-    n = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    content = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    mutual = F.log2(F.col("n_et") * F.lit(float(max(n, 1))) / (F.col("n_e") * F.greatest("n_t", "n_et")))
+    units = held.select("tkey", "unit").distinct()
+    n = float(max(docs.count(), 1))
+    entity = held.groupBy("entity").agg(F.countDistinct("unit").alias("n_e"), F.countDistinct("context").alias("n_c"))
+    entity = stage(entity.filter((F.col("n_e") >= support) & (F.col("n_c") >= support)).drop("n_c"), "pii-counts")
+    # n_et <= n_e, so a term of more units than this cannot reach the share with an entity of n_e: no pair is lost.
+    most = lambda n_e: F.pow(F.lit(n), F.lit(1 - disclosure)) * F.pow(n_e, F.lit(disclosure)) * (1 + 1e-9)
+    texts = docs.select("tkey", "text").join(units, "tkey", "left")
+    words = texts.select("unit", F.explode(F.array_distinct(F.transform(_tokens(), F.lower))).alias("term"))
+    words = stage(words.groupBy("unit", "term").agg(F.count(F.lit(1)).alias("n")), "pii-terms")
+    df = words.groupBy("term").agg(F.sum("n").alias("n_t"))
+    df = df.filter(F.col("n_t").between(F.lit(support), most(F.lit(entity.agg(F.max("n_e")).first()[0] or 0))))
+    live = held.join(entity, "entity").select("unit", "entity", "context", "n_e").distinct()
+    pair = words.filter("unit IS NOT NULL").join(df, "term").join(live, "unit").filter(F.col("n_t") <= most(F.col("n_e")))
+    pair = pair.groupBy("entity", "term", "n_e", "n_t").agg(F.countDistinct("unit").alias("n_et"), F.countDistinct("context").alias("n_c"))
+    content = F.log2(F.lit(n) / F.col("n_e"))
+    mutual = F.log2(F.col("n_et") * F.lit(n) / (F.col("n_e") * F.col("n_t")))
     share = F.when(content > 0, mutual / content).otherwise(F.lit(0.0))
-    return pair.join(df, "term").select("entity", "term", share.alias("share")).filter(F.col("share") >= disclosure)
-
-
-def base_entity(base: DataFrame) -> DataFrame:
-    entity = F.concat(F.col("kind").cast("string"), F.lit(":"), F.lower(F.when(F.col("kind") == 0, F.col("value")).otherwise(F.regexp_replace("value", "[^0-9]", ""))))
-    return base.select(entity.alias("entity"), F.xxhash64("before", "after").alias("context"))
+    pair = pair.filter((F.col("n_et") >= support) & (F.col("n_c") >= support)).select("entity", "term", share.alias("share"))
+    return pair.filter(F.col("share") >= disclosure)
+
+
+def term_spans(docs: DataFrame, held: DataFrame, found: DataFrame) -> DataFrame:
+    """tkey, terms: every occurrence of a term that reveals an entity of the same text, as (kind, start, end, share)."""
+    marks = held.select("tkey", "entity").distinct().join(found, "entity").groupBy("tkey", "term").agg(F.max("share").alias("share"))
+    marks = stage(marks, "pii-marks")
+    names = marks.groupBy("tkey").agg(F.collect_list("term").alias("names"))
+    some = docs.select("tkey", "text").join(names, "tkey").dropDuplicates(["tkey"])
+    forms = F.array_distinct(F.filter(_tokens(), lambda t: F.array_contains(F.col("names"), F.lower(t))))
+    some = some.select("tkey", "text", forms.alias("forms")).filter(F.size("forms") > 0)
+    pattern = F.concat(F.lit(f"(?<!{LETTER})(?:"), F.array_join("forms", "|"), F.lit(f")(?!{LETTER})"))
+    some = some.select("tkey", "text", pattern.alias("pattern"))
+    zipped = F.arrays_zip(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("m"), F.transform(F.split("text", F.col("pattern"), -1), F.length).alias("gap"))
+    at = some.select("tkey", F.posexplode(zipped).alias("i", "x")).select("tkey", "i", "x.*").filter("m IS NOT NULL")
+    so_far = Window.partitionBy("tkey").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumn("end", F.sum(F.col("gap") + F.length("m")).over(so_far).cast("int")).withColumn("term", F.lower("m"))
+    at = at.join(marks, ["tkey", "term"]).select("tkey", F.struct(F.lit(4).alias("kind"), (F.col("end") - F.length("m")).alias("start"), "end", "share").alias("s"))
+    return at.groupBy("tkey").agg(F.collect_list("s").alias("terms"))
 
 
 def find_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, tkey, spans: for each text with any, its sorted (kind, start, end, share). docs: doc_id, tkey, text."""
     base = stage(base_matches(docs), "pii-base")
-    near = stage(_contexts(base), "pii-contexts")
-    terms = near.join(revealing(docs, base, near, support, disclosure), ["entity", "term"]).groupBy("doc_id", "tkey", "start", "end").agg(F.max("share").alias("share"))
-    base = base.select("doc_id", "tkey", F.struct("kind", "start", "end", F.lit(1.0).alias("share")).alias("s"))
-    terms = terms.select("doc_id", "tkey", F.struct(F.lit(4).alias("kind"), "start", "end", "share").alias("s"))
-    spans = base.unionByName(terms).groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+    held = _held(base)
+    terms = term_spans(docs, held, stage(revealing(docs, held, support, disclosure), "pii-pairs"))
+    spans = base.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("kind", "start", "end", F.lit(1.0).alias("share"))).alias("base"))
+    spans = spans.join(terms, "tkey", "left")
     # Base spans stand; a term inside one adds nothing.
-    inside = lambda t: F.exists("spans", lambda b: (b["kind"] < 4) & (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    return spans.withColumn("spans", F.filter("spans", lambda t: (t["kind"] < 4) | ~inside(t)))
+    inside = lambda t: F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    extra = F.coalesce(F.filter("terms", lambda t: ~inside(t)), F.array())
+    return spans.select("doc_id", "tkey", F.sort_array(F.concat("base", extra)).alias("spans"))
 
 
 def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:

@@ -69,3 +69,23 @@ def test_revealing_terms(spark):
 
 def test_empty(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def base_corpus():
+    rnd = random.Random(3)
+    vocab = [a + b for a in "bcdfg" for b in ["one", "two", "ter", "quat"]]
+    return rnd, vocab, [(i, " ".join(rnd.choices(vocab, k=40))) for i in range(60)]
+
+
+def test_terms_of_the_whole_text(spark):
+    """A short name and a code far from the entity are found, and each of their occurrences is marked."""
+    rnd, vocab, rows = base_corpus()
+    for i in range(6):
+        words = lambda: " ".join(rnd.choices(vocab, k=60))
+        rows.append((100 + i, f"Kim {words()} ed@whistle.org {words()} X7Q {words()} kim, {words()} (X7Q)"))
+    rows.append((200, "kim " + rows[0][1]))  # without the entity, nothing is marked
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), disclosure=0.8).collect()}
+    for d, text in rows[60:66]:
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"\b(?:Kim|kim|X7Q)\b", text)]
+        assert len(want) == 4 and [s for s in got[d].spans.split(",") if s.startswith("term")] == want, got[d]
+    assert got[200].spans == "" and all(got[i].spans == "" for i in range(60))
