@@ -95,20 +95,20 @@ def _held(base: DataFrame) -> DataFrame:
 def revealing(docs: DataFrame, held: DataFrame, support: int, disclosure: float) -> DataFrame:
     """entity, term, share: terms whose mutual information with an entity reaches the share of its information content.
 
-    A term and an entity meet where one text has both. Entities and pairs are counted in units: the texts that
-    have the same entities in the same contexts, so that copies of a passage prove nothing; a term in documents that have it.
+    A term and an entity meet where one text has both. Everything is counted in units: a text without entities, or the
+    texts that have the same entities in the same contexts, so that copies of a passage prove nothing and hide nothing.
     A corpus without repeated entities reveals nothing.
     """
     units = held.select("tkey", "unit").distinct()
-    n = float(max(docs.count(), 1))
+    n = float(max(docs.select("tkey").distinct().count() - units.count() + units.select("unit").distinct().count(), 1))
     entity = held.groupBy("entity").agg(F.countDistinct("unit").alias("n_e"), F.countDistinct("context").alias("n_c"))
     entity = stage(entity.filter((F.col("n_e") >= support) & (F.col("n_c") >= support)).drop("n_c"), "pii-counts")
     # n_et <= n_e, so a term of more units than this cannot reach the share with an entity of n_e: no pair is lost.
     most = lambda n_e: F.pow(F.lit(n), F.lit(1 - disclosure)) * F.pow(n_e, F.lit(disclosure)) * (1 + 1e-9)
-    texts = docs.select("tkey", "text").join(units, "tkey", "left")
+    texts = docs.select("tkey", "text").dropDuplicates(["tkey"]).join(units, "tkey", "left")
     words = texts.select("unit", F.explode(F.array_distinct(F.transform(_tokens(), F.lower))).alias("term"))
     words = stage(words.groupBy("unit", "term").agg(F.count(F.lit(1)).alias("n")), "pii-terms")
-    df = words.groupBy("term").agg(F.sum("n").alias("n_t"))
+    df = words.groupBy("term").agg(F.sum(F.when(F.col("unit").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
     df = df.filter(F.col("n_t").between(F.lit(support), most(F.lit(entity.agg(F.max("n_e")).first()[0] or 0))))
     live = held.join(entity, "entity").select("unit", "entity", "context", "n_e").distinct()
     pair = words.filter("unit IS NOT NULL").join(df, "term").join(live, "unit").filter(F.col("n_t") <= most(F.col("n_e")))

@@ -89,3 +89,14 @@ def test_terms_of_the_whole_text(spark):
         want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"\b(?:Kim|kim|X7Q)\b", text)]
         assert len(want) == 4 and [s for s in got[d].spans.split(",") if s.startswith("term")] == want, got[d]
     assert got[200].spans == "" and all(got[i].spans == "" for i in range(60))
+
+
+def test_copies_hide_no_term(spark):
+    """A passage with an entity and its term, copied exactly and nearly, counts once in every count."""
+    rnd, vocab, rows = base_corpus()
+    one = " ".join(rnd.choices(vocab, k=60)) + " Snowdrop ed@whistle.org " + " ".join(rnd.choices(vocab, k=60))
+    rows += [(100 + i, one) for i in range(100)] + [(300 + i, f"{one} {vocab[i % 20]}") for i in range(100)]
+    for i in range(2):
+        rows.append((500 + i, " ".join(rnd.choices(vocab, k=20)) + " Snowdrop ed@whistle.org " + " ".join(rnd.choices(vocab, k=20))))
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.n_term == (r.doc_id >= 100) for r in got), [r for r in got if r.n_term != (r.doc_id >= 100)][:3]
