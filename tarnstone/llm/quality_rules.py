@@ -10,8 +10,10 @@ from tarnstone.llm.common import read_table, stage
 #: A document of fewer words fails, and so does one with more than REPEATS hundredths of its words in repeated windows.
 LEAST_WORDS = 50
 REPEATS = 50
-#: Groups of fewer documents take the estimate of their language; languages of fewer give no verdict.
+#: Groups of fewer documents take the estimate of their language.
 LEAST_GROUP = 200
+#: Languages of fewer documents, ten for each dimension, take the estimate over all documents.
+LEAST_LANGUAGE = 50
 #: Share of a group that the covariance determinant is minimised over.
 COVER = 0.75
 STEPS = 4
@@ -139,7 +141,7 @@ def _estimate(rows: DataFrame, factor: float) -> DataFrame:
 
 
 def fit(stats: DataFrame, name: str = "quality") -> DataFrame:
-    """The model: part, mean and Cholesky factor, one row for each part (language and source, or language) of enough documents.
+    """The model: part, mean and Cholesky factor, one row for each part (language and source, language, or all) of enough documents.
 
     Rows have part and x0..x4. Start: binned medians and median absolute deviations. Then concentration steps: the share
     COVER of each part that lies nearest gives the next mean and covariance. Last, a reweighted estimate from the documents
@@ -163,13 +165,13 @@ def fit(stats: DataFrame, name: str = "quality") -> DataFrame:
     return stage(_estimate(with_distance(rows, model).filter(F.col("d2") <= CHI2_975), CONSISTENT_975), f"{name}-model")
 
 
-def judge(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cutoff: float = CUTOFF, least_group: int = LEAST_GROUP) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cutoff: float = CUTOFF, least_group: int = LEAST_GROUP, least_language: int = LEAST_LANGUAGE) -> DataFrame:
     """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, d2, kept.
 
     kept is false if the base rules fail, else unless the squared distance d2 from the robust centre of the document's
     language and source exceeds the cutoff. Estimates use the documents that pass the base rules; groups too small for one
-    take that of their language, and where that is too small too, d2 is null and the base rules decide alone. A null or
-    empty text has no words and fails; null languages and sources form groups of their own; repeated rows are each judged;
+    take that of their language, and languages too small for one that of all documents. Only if all that pass are fewer
+    than least_language, d2 is null and the base rules decide alone. A null or empty text has no words and fails; null languages and sources form groups of their own; repeated rows are each judged;
     other columns are not looked at; an empty table gives an empty one.
     """
     stats = statistics(docs, text_col, id_col)
@@ -177,13 +179,20 @@ def judge(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cutof
     fine = stats.filter("NOT base_failed")
     part = F.to_json(F.array("lang", "source"))
     whole = F.to_json(F.array("lang"))
+    everything = F.lit("[]")
     sizes = fine.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_group).select("lang", "source", F.lit(True).alias("own"))
-    parts = stats.join(sizes, ["lang", "source"], "left").withColumn("part", F.when(F.col("own"), part).otherwise(whole)).drop("own")
+    spoken = fine.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = spoken.filter(F.col("n") >= least_language).select("lang", F.lit(True).alias("spoken"))
+    parts = stats.join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
+    parts = parts.withColumn("part", F.when(F.col("own"), part).when(F.col("spoken"), whole).otherwise(everything)).drop("own", "spoken")
     x = [f"x{i}" for i in DIMS]
-    by_group = fine.join(sizes, ["lang", "source"]).select(part.alias("part"), *x)
-    langs = fine.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_group).select("lang")
-    by_lang = fine.join(langs, "lang").select(whole.alias("part"), *x)
-    scored = with_distance(parts, fit(by_group.unionByName(by_lang)))
+    by_part = fine.join(sizes, ["lang", "source"]).select(part.alias("part"), *x)
+    by_part = by_part.unionByName(fine.join(langs, "lang").select(whole.alias("part"), *x))
+    total = spoken.agg(F.sum("n").alias("n"), F.min("n").alias("least")).first()
+    # The estimate over all is made only where a language needs it.
+    if total["n"] is not None and total["least"] < least_language <= total["n"]:
+        by_part = by_part.unionByName(fine.select(everything.alias("part"), *x))
+    scored = with_distance(parts, fit(by_part))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", kept.alias("kept"))
 

@@ -98,3 +98,24 @@ def test_statistics_and_verdict(spark):
 
 def test_empty(spark):
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_small_languages_are_judged(spark):
+    """A language of 60 documents has an estimate of its own; one of 12 and the null language take that of all."""
+    rnd = random.Random(5)
+    vocab = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(800)]
+    text = lambda: " ".join(rnd.choices(vocab, k=int(rnd.lognormvariate(4.8, 0.3)) + 50))
+    rows = [(n * 1000 + i, text(), lang) for n, (lang, size) in enumerate([("en", 150), ("fr", 60), ("xx", 12), (None, 12)]) for i in range(size)]
+    rows += [(n * 1000 + 500, " ".join(x + "%%%" for x in rnd.choices(vocab, k=120)), lang) for n, lang in enumerate(["en", "fr", "xx", None])]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in Q.judge(df).collect()}
+    assert len(got) == len(rows) and all(r.d2 is not None and not r.base_failed for r in got.values())
+    for n, languages in enumerate([["en"], ["fr"], ["en", "fr", "xx", None], ["en", "fr", "xx", None]]):
+        x = [vector(stats(t)) for _, t, lang in rows if lang in languages]
+        mean, cov = estimate(x)
+        for d, t, _ in rows:
+            if d // 1000 == n:
+                v = np.array(vector(stats(t))) - mean
+                d2 = v @ np.linalg.inv(cov) @ v
+                assert abs(d2 - got[d].d2) < 1e-6 * max(1, d2) and got[d].kept == (d2 <= Q.CUTOFF), got[d]
+    assert {d for d, r in got.items() if not r.kept} == {500, 1500, 2500, 3500}
