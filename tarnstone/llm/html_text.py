@@ -19,11 +19,13 @@ STREAMS = 200
 
 # Elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp template svg math object select option button".split())
+RAW = frozenset("script style textarea title noscript iframe xmp template svg object select option button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 LISTED = frozenset("p li tr td th dt dd h2 h3 h4 h5 h6 blockquote pre".split())
 CONTENT = frozenset("article main".split())
-DROPPED = frozenset("nav header footer aside form head dialog menu figure".split()) | RAW
+DROPPED = frozenset("nav header footer aside form head dialog menu figure math".split()) | RAW
+#: What holds main text where it stands under the wrapper's root.
+KEPT = frozenset("figure math".split())
 #: Words in a class, id or role that mark what is not main text.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus "
@@ -38,7 +40,10 @@ _WORD = re.compile(r"[a-z]+")
 
 
 def events(page: str) -> Iterator[tuple[str, str, frozenset[str]]]:
-    """(kind, name or text, marks): open, close, text. Raw elements give an open and a close event and no text."""
+    """(kind, name or text, marks): open, close, text. Raw elements give an open and a close event and no text.
+
+    Marks are the words of class and role, and those of id behind a '#'.
+    """
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -61,7 +66,9 @@ def events(page: str) -> Iterator[tuple[str, str, frozenset[str]]]:
             key, value = key.lower(), (a or b or c).lower()
             if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                 marks.add("hidden")
-            elif key in ("class", "id", "role"):
+            elif key == "id":
+                marks.update(f"#{w}" for w in _WORD.findall(value))
+            elif key in ("class", "role"):
                 marks.update(_WORD.findall(value))
         yield "open", name, frozenset(marks)
         if name in RAW and not m[3].endswith("/"):
@@ -73,6 +80,7 @@ def events(page: str) -> Iterator[tuple[str, str, frozenset[str]]]:
 
 
 def _key(name: str, marks: frozenset[str]) -> str:
+    marks = {m.removeprefix("#") for m in marks}
     return ".".join([name, *sorted(marks & (MARKS | MAIN_MARKS | {"hidden"}))])
 
 
@@ -219,8 +227,12 @@ def main_text(page: str, root: str = "") -> str:
             key = _key(value, marks)
             under = stack[-1][2] or key == root
             has_root |= key == root
-            inside = value == "header" and root != "" and stack[-1][2]
-            stack.append((value, stack[-1][1] or (is_dropped(key) and not inside), under))
+            # Under the root an id is the slug of a heading more often than a role, and figures and formulas are content.
+            inside = root != "" and stack[-1][2]
+            if inside:
+                key = _key(value, frozenset(m for m in marks if not m.startswith("#")))
+            stays = inside and (value == "header" or (value in KEPT and not is_dropped(key.replace(value, "div", 1))))
+            stack.append((value, stack[-1][1] or (is_dropped(key) and not stays), under))
         else:
             names = [k for k, _, _ in stack]
             if value in names[1:]:

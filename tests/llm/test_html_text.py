@@ -77,3 +77,12 @@ def test_odd_rows(spark):
     assert len(got) == 6 and {r.text for r in got if r.page_id in (1, 2)} == {""}
     assert [r.text for r in got if r.page_id is None] == ["t"] and [r.text for r in got if r.page_id == 4] == ["deep"]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_figures_formulas_and_slugs_under_the_root():
+    page = """<body><nav id="menu">Home</nav><figure>Logo</figure><article><h2 id="related-work">Related work</h2><p>One</p>
+<section id="social-history"><p>Two</p></section><figure><img src=a><figcaption>Three</figcaption></figure>
+<p>If <math><mi>x</mi><mo>=</mo><mn>4</mn></math></p><figure class="advert">Buy</figure><div class="share">Share</div></article></body>"""
+    root = content_root(stream(page))
+    assert root == "article" and main_text(page, root) == "Related work One Two Three If x = 4"
+    assert main_text("<div id=cookie-notice>C</div><figure>F</figure><math><mi>x</mi></math><p>t") == "t"
