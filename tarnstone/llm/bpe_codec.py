@@ -51,6 +51,7 @@ class WordCodec:
         self.merges = {p: i for i, p in enumerate(pairs)}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.names |= {str(i): t for i, t in self.names.items()}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(split.replace(r"\s", r"\p{White_Space}")).findall
         self.find_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -62,7 +63,7 @@ class WordCodec:
             self.made.setdefault(p[0] + p[1], (i, p))
         self.right_spine: dict[str, list[tuple[str, int]]] = {}
         self.left_spine: dict[str, list[tuple[str, int]]] = {}
-        self.words: dict[str, tuple[str, str, int]] = {}
+        self.words: dict[str, tuple[str, int]] = {}
         self.size = 0
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -143,7 +144,7 @@ class WordCodec:
 
     def keep(self, word: str, tokens: list[str]) -> None:
         self.size += len(word) + 40
-        self.words[word] = (" ".join(str(self.vocab[t]) for t in tokens), " ".join(tokens), len(tokens))
+        self.words[word] = (" ".join(str(self.vocab[t]) for t in tokens), len(tokens))
 
     def split(self, text: str) -> list[str]:
         if not text.isascii():
@@ -157,13 +158,12 @@ class WordCodec:
         return [(i % 2 == 1, x) for i, x in enumerate(self.find_special.split(text))]
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, str, int]]:
-        """For each text: identifiers joined by a space, decoded text, number of tokens."""
+        """For each text: identifiers joined by a space, the text decoded from them, number of tokens."""
         for text in texts:
-            ids, names, n = [], [], 0
+            ids, n = [], 0
             for special, piece in self.parts(text):
                 if special:
                     ids.append(str(self.special[piece]))
-                    names.append(piece)
                     n += 1
                     continue
                 found = self.split(piece)
@@ -173,15 +173,15 @@ class WordCodec:
                         self.words.clear()
                         self.size, new = 0, set(found)
                     self.learn(new)
-                for i, name, k in map(self.words.__getitem__, found):
+                for i, k in map(self.words.__getitem__, found):
                     ids.append(i)
-                    names.append(name)
                     n += k
-            yield " ".join(ids), " ".join(names), n
+            listed = " ".join(ids)
+            yield listed, self.decode(listed.split()), n
 
-    def decode(self, ids: list[int]) -> str:
-        """The vocabulary file names no decoder: tokens are joined by one space."""
-        return " ".join(self.names[i] for i in ids)
+    def decode(self, ids: list[int] | list[str]) -> str:
+        """The vocabulary file names no decoder: tokens are joined by one space. Identifiers are numbers or decimal."""
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 def encode_decode(docs: DataFrame, text_col: str = "text", model_path: str | None = None, id_col: str = "doc_id", digests: bool = False) -> DataFrame:

@@ -61,3 +61,10 @@ def test_nulls_and_clashes(spark):
     assert [(r.n_bytes, r.n_tokens) for r in count_tokens(df).orderBy("n_bytes").collect()] == [(0, 0), (0, 0), (1, 1)]
     assert [r.token_ids for r in encode_decode(df).orderBy("n_tokens").collect()][:2] == ["", ""]
     assert count_tokens(df.limit(0)).count() == 0 and encode_decode(df.limit(0)).count() == 0
+
+
+def test_the_text_is_decoded_from_the_identifiers():
+    codec = WordCodec(public_tokenizers.path("word_bpe_49k.json"))
+    ids, names, _ = next(codec.encode_batch(["the end"]))
+    codec.names[ids.split()[0]] = "changed"
+    assert next(codec.encode_batch(["the end"]))[1] == " ".join(["changed", *names.split(" ")[1:]])
