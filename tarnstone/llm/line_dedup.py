@@ -2,138 +2,243 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnstone.llm.common import read_table, stage, unstage
-from tarnstone.llm.quality_rules import let, words_column
-from tarnstone.llm.repeats import NO_ID
+from tarnstone.llm.quality_rules import words_column
+from tarnstone.llm.repeats import keyed, unkeyed
 
 #: Jaccard similarity of token sets in hundredths.
 SIMILARITY = 80
 #: Classes of token hashes whose counts give rarity: one bounded table, whatever the size of the corpus.
-BITS = 14
+BITS = 18
 CLASSES = 1 << BITS
+#: Steps of the rarity order for each doubling of a count; LEVELS of them fit a byte.
+STEPS = 6
+LEVELS = 256
+#: Tokens counted so often give prefixes of token pairs, which keeps what one key gathers from growing with the corpus.
+FREQUENT = 4096
+#: Sets of so many tokens have a parity signature of two words.
+LONG = 80
+#: Rows of a few numbers up to which a written table is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 200_000
+#: Postings are joined in so many turns, by their keys, which bounds the shuffle files that stand at once.
+TURNS = 2
 LINE = "\n"
 
 
+def level(count: int) -> int:
+    """The step of a count in the rarity order, as a signed byte."""
+    return min(LEVELS - 1, int(STEPS * math.log2(count + 1))) - LEVELS // 2
+
+
+def line_words(line: Column) -> Column:
+    """The words of a line: a split at single spaces, which needs no pattern; other white space is rare and turned first."""
+    others = "\t\x0b\f\r"
+    odd = F.translate(line, others, " " * len(others))
+    plain = F.when(line.contains("\t") | line.contains("\x0b") | line.contains("\f") | line.contains("\r"), odd).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
+
+
 def rarity(docs: DataFrame) -> Column:
-    """The place of each hash class in the order of rising token counts over the whole corpus: a constant array.
+    """The level of each hash class, from token counts over the whole corpus: a constant array.
 
     The driver sees one count a class, CLASSES numbers at most.
     """
-    token = docs.select(F.explode(words_column(F.col("text"))).alias("w")).select(F.xxhash64("w").bitwiseAND(CLASSES - 1).alias("class"))
+    token = docs.select(F.explode(line_words(F.replace("text", F.lit(LINE), F.lit(" ")))).alias("w")).select(F.xxhash64("w").bitwiseAND(CLASSES - 1).alias("class"))
     counts = {r["class"]: r["n"] for r in token.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rank = {c: i for i, c in enumerate(sorted(range(CLASSES), key=lambda c: (counts.get(c, 0), c)))}
-    return F.split(F.lit(",".join(str(rank[c]) for c in range(CLASSES))), ",").cast("array<long>")
+    return F.split(F.lit(",".join(str(level(counts.get(c, 0))) for c in range(CLASSES))), ",").cast("array<tinyint>")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", LINE, -1)).alias("line_no", "line"))
+    return docs.select("doc_id", "tkey", F.posexplode(F.split("text", LINE, -1)).alias("line_no", "line"))
 
 
-def ordered_tokens(line: Column, ranks: Column) -> Column:
-    """The distinct tokens of a line as numbers that sort by rarity: the rank of the class above, the rest of the hash below.
-
-    Rank and class stand for each other, so the number is the 64-bit hash in another order.
-    """
+def ordered_tokens(line: Column, levels: Column) -> Column:
+    """The distinct tokens of a line, rarest first, as numbers: the level of the token's class above, 56 bits of its hash below."""
 
     def number(h: Column) -> Column:
-        rank = F.get(ranks, h.bitwiseAND(CLASSES - 1).cast("int")) - CLASSES // 2
-        return F.coalesce(F.shiftleft(rank, 64 - BITS).bitwiseOR(F.shiftrightunsigned(h, BITS)), F.lit(0).cast("long"))
+        above = F.shiftleft(F.get(levels, h.bitwiseAND(CLASSES - 1).cast("int")).cast("long"), 56)
+        return above.bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    return F.sort_array(F.transform(F.array_distinct(F.transform(line_words(line), lambda w: F.xxhash64(w))), number))
+
+
+def _base(n: Column, similarity: int) -> Column:
+    """Tokens in the prefix of a set of n: two sets so similar share one of them. None if only an equal set is similar."""
+    return F.when(n * 100 >= similarity * (n + 1), n - F.ceil(n * similarity / 100).cast("int") + 1).otherwise(0)
+
 
-    return F.sort_array(F.transform(F.array_distinct(F.transform(words_column(line), lambda w: F.xxhash64(w))), number))
+def _parity(tokens: Column) -> Column:
+    """64 bits: whether an odd number of tokens falls into each class. Two sets differ in at least as many tokens as bits."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
 
 
-def pair_prefix(tokens: Column, similarity: int) -> Column:
-    """Hashes of adjacent tokens in rarity order, from the front.
+def line_sets(docs: DataFrame, similarity: int) -> DataFrame:
+    """doc_id, tkey, line_no, n, s1, s2, sign, half, prefix of every line with tokens. Lines of equal token sets have equal s1, s2.
 
-    Let A and B have a common tokens set X and differ in dA and dB tokens. The gaps between consecutive members of X that
-    hold a differing token are at most dA + dB, and before the first clean gap each gap and the front hold at least one.
-    So the first clean gap, a pair adjacent in both, starts in A at position 1 + 2 dA + dB at most; with similarity s,
-    dA + s dB <= (1 - s) n, hence at 1 + 2 (1 - s) n. Sets too small for a partner of one
-    more token can only be equal and need no pairs.
+    The prefix is longer by one token than _base says, for the pairs of frequent tokens. half: of a long set, the parity of
+    every second token class; else 0.
     """
-    n = F.size(tokens)
-    most = F.least(n - 2, F.floor(2 * n * (100 - similarity) / 100).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), most), lambda k: F.xxhash64(F.get(tokens, k), F.get(tokens, k + 1)))
-    return F.when((n >= 2) & (n * 100 >= similarity * (n + 1)), pairs).otherwise(F.array().cast("array<long>"))
+    levels = rarity(docs)
+    # Exploding the one-element array works the tokens out once.
+    tokens = lines_of(docs).select("doc_id", "tkey", "line_no", F.explode(F.array(ordered_tokens(F.col("line"), levels))).alias("t")).filter(F.size("t") > 0)
+    n, base = F.size("t"), _base(F.size("t"), similarity)
+    prefix = F.slice("t", F.lit(1), F.when(base > 0, base + 1).otherwise(0))
+    half = F.when(n >= LONG, _parity(F.filter("t", lambda t: t.bitwiseAND(64) == 0))).otherwise(0)
+    return tokens.select("doc_id", "tkey", "line_no", n.alias("n"), F.xxhash64("t").alias("s1"), F.hash("t").alias("s2"), _parity(F.col("t")).alias("sign"), half.alias("half"), prefix.alias("prefix"))
+
+
+def postings(sets: DataFrame, similarity: int, index: Column | None = None) -> DataFrame:
+    """key, n, pos, and columns of the set, for each prefix token of each set.
+
+    Where index holds, the set is only looked for as the smaller of a pair, or the first of two equally large: its prefix
+    needs no more tokens than leave the overlap with a set of its own size.
+
+    A frequent token is no key itself: each pair of it with a later token of the prefix, which is longer by one, is. Two
+    similar sets share two tokens of the longer prefixes, the first of them in the shorter ones. Sets that may have a
+    partner with which they share one token alone keep the single key.
+    """
+    row = [c for c in sets.columns if c != "prefix"]
+    n, base = F.col("n"), _base(F.col("n"), similarity)
+    if index is not None:
+        base = F.when(index, n - F.ceil(n * 2 * similarity / (100 + similarity)).cast("int") + 1).otherwise(base)
+    each = sets.select(*row, "prefix", F.posexplode(F.slice("prefix", F.lit(1), base)).alias("pos", "token"))
+    frequent = F.col("token") >= level(FREQUENT) * (1 << 56)
+    single = each.filter(~frequent | (n * similarity * similarity < 20000)).select(F.col("token").alias("key"), "pos", *row)
+    after = F.transform(F.slice("prefix", F.col("pos") + 2, F.size("prefix")), lambda u: F.xxhash64("token", u))
+    double = each.filter(frequent & (n * similarity >= 200)).select(F.explode(after).alias("key"), "pos", *row)
+    return single.unionByName(double)
+
+
+def _alike(similarity: int, first: bool = True) -> Column:
+    """Length filter, positional filter and parity filter of two postings x and y of one key.
+
+    first: the pair may count on being met at the first token that the sets share, so the overlap lies from there on.
+    """
+    nx, ny, px, py = (F.col(c) for c in ("nx", "ny", "px", "py"))
+    behind = F.least(nx - px, ny - py) + (F.lit(0) if first else F.least(px, py))
+    possible = behind * (100 + similarity) >= (nx + ny) * similarity
+    sign, half = F.col("gx").bitwiseXOR(F.col("gy")), F.col("hx").bitwiseXOR(F.col("hy"))
+    differ = F.when((nx >= LONG) & (ny >= LONG), F.bit_count(half) + F.bit_count(sign.bitwiseXOR(half))).otherwise(F.bit_count(sign))
+    return (100 * F.least(nx, ny) >= similarity * F.greatest(nx, ny)) & possible & (differ * (100 + similarity) <= (nx + ny) * (100 - similarity))
+
+
+def _side(rows: DataFrame, c: str, *more: str) -> DataFrame:
+    return rows.select("key", *more, *[F.col(a).alias(f"{b}{c}") for a, b in (("sid", "s"), ("doc_id", "d"), ("n", "n"), ("pos", "p"), ("sign", "g"), ("half", "h"))])
+
+
+def _small(staged: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """rows (else the staged table), broadcast if the staged table they come from is counted to be small."""
+    rows = staged if rows is None else rows
+    return F.broadcast(rows) if staged.count() <= BROADCAST_ROWS else rows
+
+
+def _later(pairs: DataFrame, sets: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
+    """Staged (sid): of each pair (sx, sy) of sets that is similar enough, the later one. The lines are read again."""
+    pairs = stage(pairs.distinct(), "line-candidates")
+    wanted = pairs.select(F.col("sx").alias("sid")).unionByName(pairs.select(F.col("sy").alias("sid"))).distinct()
+    wanted = stage(sets.select("sid", "doc_id", "tkey", "line_no").join(_small(pairs, wanted), "sid"), "line-wanted")
+    lists = _small(wanted, wanted.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("line_no", "sid")).alias("lines")))
+    text = docs.join(lists, ["doc_id", "tkey"]).select("doc_id", "tkey", F.split("text", LINE, -1).alias("all"), F.explode("lines").alias("l"))
+    found = F.array_distinct(F.transform(line_words(F.get("all", F.col("l.line_no"))), lambda w: F.xxhash64(w)))
+    # Repeated rows of one id and text give the same lines.
+    tokens = text.select(F.col("l.sid").alias("sid"), F.struct("doc_id", "tkey", "l.line_no").alias("at"), found.alias("tokens")).dropDuplicates(["sid"])
+    tokens = stage(tokens, "line-tokens")
+    of = lambda c: tokens.select(F.col("sid").alias(f"s{c}"), F.col("at").alias(f"at{c}"), F.col("tokens").alias(f"t{c}"))
+    both = pairs.join(of("x"), "sx").join(of("y"), "sy")
+    same = F.size(F.array_intersect("tx", "ty"))
+    near = both.filter(100 * same >= similarity * (F.size("tx") + F.size("ty") - same))
+    later = stage(near.select(F.when(F.col("atx") < F.col("aty"), F.col("sy")).otherwise(F.col("sx")).alias("sid")).distinct(), "line-later")
+    unstage(pairs, wanted, tokens)
+    return later
 
 
 def duplicate_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """(doc_id, line_no) of lines that have an earlier line, by document and then line number, at least so similar.
+    """Staged (doc_id, tkey, line_no) of lines that have an earlier line, by document and then line number, at least so similar.
 
-    docs: doc_id, text, neither null. Earlier lines count whether or not they go themselves. Lines without tokens stay.
+    docs: doc_id, tkey, text, none null. Earlier lines count whether or not they go themselves. Lines without tokens stay.
     """
-    ranks = rarity(docs)
-    keyed = lines_of(docs).select("doc_id", "line_no", let(ordered_tokens(F.col("line"), ranks), lambda t: F.struct(F.size(t).alias("n"), F.xxhash64(t).alias("s1"), F.hash(t).alias("s2"), pair_prefix(t, similarity).alias("pairs"))).alias("k"))
-    keyed = stage(keyed.select("doc_id", "line_no", "k.*").filter("n > 0"), "line-keys")
-    # Adjacent pairs that stand in one line alone lead nowhere.
-    often = keyed.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("pair")
-    often = stage(often, "line-often")
-    open_pairs = stage(keyed.select("s1", F.posexplode("pairs").alias("pos", "pair")).join(often, "pair"), "line-pairs")
-    light = stage(keyed.drop("pairs"), "line-light")
-    unstage(keyed, often)
+    lines = stage(line_sets(docs, similarity), "line-keys")
     # Lines with equal token sets: the first one stands for all from here on.
-    sets = light.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("copies"))
-    sets = stage(sets.select("n", "s1", "s2", "at.doc_id", "at.line_no", "copies"), "line-sets")
-    pair = open_pairs.distinct()
-    shared = pair.groupBy("pair").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).filter("a != b").select("pair")
-    pair = stage(pair.join(shared, "pair").join(sets.select("n", "s1", "doc_id", "line_no"), "s1").drop("s1"), "line-postings")
-    side = lambda c: pair.select("pair", *[F.col(x).alias(f"{x}_{c}") for x in ("doc_id", "line_no", "n", "pos")])
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * similarity / (100 + similarity))
-    # Length filter, positional filter, and each pair of sets once.
-    sized = 100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    placed = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need
-    before = F.struct("doc_id_a", "line_no_a") < F.struct("doc_id_b", "line_no_b")
-    a, b = side("a"), side("b")
-    found = a.join(b, (a["pair"] == b["pair"]) & sized & placed & before).select("doc_id_a", "line_no_a", "doc_id_b", "line_no_b", "n_a", "n_b").distinct()
-    found = stage(found, "line-candidates")
-
-    wanted = found.select(F.col("doc_id_a").alias("doc_id"), F.col("line_no_a").alias("line_no")).unionByName(found.select(F.col("doc_id_b").alias("doc_id"), F.col("line_no_b").alias("line_no"))).distinct()
-    within = wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))
-    text = docs.dropDuplicates(["doc_id"]).join(within, "doc_id").select("doc_id", F.split("text", LINE, -1).alias("all"), F.explode("lines").alias("line_no"))
-    tokens = stage(text.select("doc_id", "line_no", F.array_distinct(F.transform(words_column(F.get("all", F.col("line_no"))), lambda w: F.xxhash64(w))).alias("tokens")), "line-tokens")
-    of = lambda c: tokens.select(F.col("doc_id").alias(f"doc_id_{c}"), F.col("line_no").alias(f"line_no_{c}"), F.col("tokens").alias(f"tokens_{c}"))
-    same = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    both = found.join(of("a"), ["doc_id_a", "line_no_a"]).join(of("b"), ["doc_id_b", "line_no_b"])
-    near = both.filter(100 * same >= similarity * (F.col("n_a") + F.col("n_b") - same)).select(F.col("doc_id_b").alias("doc_id"), F.col("line_no_b").alias("line_no")).distinct()
-    later = near.join(sets, ["doc_id", "line_no"]).select("n", "s1", "s2", F.lit(True).alias("near"))
-    first = sets.filter("copies > 1").select("n", "s1", "s2", F.struct("doc_id", "line_no").alias("first")).join(later, ["n", "s1", "s2"], "full_outer")
-    gone = light.join(first, ["n", "s1", "s2"]).filter(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no").distinct()
-    gone = stage(gone, "line-gone")
-    unstage(open_pairs, pair, light, sets, found, tokens)
-    return gone
-
-
-def dedup_lines(docs: DataFrame, similarity: int = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    at = F.min(F.struct("doc_id", "tkey", "line_no")).alias("at")
+    sets = lines.repartition("s1", "s2").groupBy("s1", "s2").agg(at, F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "sign", "half", "prefix")])
+    sets = stage(sets.select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "at.*", "copies", "n", "sign", "half", "prefix"), "line-sets")
+    light = stage(lines.select("doc_id", "tkey", "line_no", "s1", "s2"), "line-light")
+    unstage(lines)
+
+    # Most lines of a dense group share the first or the last token of their prefixes: each is compared with one early line
+    # for either, and what goes by that need not be searched for again.
+    live = sets.filter(F.size("prefix") > 0)
+    ends = live.select("sid", "doc_id", "n", "sign", "half", "prefix", F.explode(F.array_distinct(F.array(F.lit(0), F.size("prefix") - 2))).alias("pos")).withColumn("key", F.get("prefix", F.col("pos"))).drop("prefix")
+    names = (("sid", "s"), ("n", "n"), ("pos", "p"), ("sign", "g"), ("half", "h"))
+    pivot = ends.groupBy("key").agg(*[F.min_by(c, "doc_id").alias(f"{s}y") for c, s in names], F.count(F.lit(1)).alias("many")).filter("many > 1")
+    gone = _later(_side(ends, "x").join(pivot, "key").filter((F.col("sx") != F.col("sy")) & _alike(similarity, False)).select("sx", "sy"), sets, docs, similarity)
+
+    # Every set that is left is searched for among all others: among those left, as the larger of a pair, and among the rest.
+    few = _small(gone)
+    columns = ["sid", "doc_id", "n", "sign", "half", "prefix"]
+    open_ = live.join(few, "sid", "left_anti").select(*columns, F.lit(True).alias("open"))
+    shut = live.join(few, "sid").select(*columns, F.lit(False).alias("open"))
+    small, large = postings(open_.unionByName(shut), similarity, F.col("open")), postings(open_, similarity)
+    ordered = F.expr("IF(open, nx < ny OR nx = ny AND sx < sy, dx <= dy)")
+    found = []
+    for turn in range(TURNS):
+        mine = F.pmod(F.xxhash64("key"), F.lit(TURNS)) == turn
+        x, y = _side(small.filter(mine), "x", "open"), _side(large.filter(mine), "y")
+        near = x.join(y, (x["key"] == y["key"]) & _alike(similarity) & ordered)
+        found.append(stage(near.select("sx", "sy").distinct(), "line-near"))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    rest = _later(pairs, sets, docs, similarity)
+
+    near = stage(gone.unionByName(rest).distinct().withColumn("near", F.lit(True)), "line-decided")
+    marked = sets.select("sid", "s1", "s2", F.struct("doc_id", "tkey", "line_no").alias("first"), "copies").join(_small(near), "sid", "left").filter("near OR copies > 1")
+    out = light.join(marked, ["s1", "s2"]).filter(F.col("near").isNotNull() | (F.struct("doc_id", "tkey", "line_no") != F.col("first")))
+    out = stage(out.select("doc_id", "tkey", "line_no").distinct(), "line-gone")
+    unstage(light, sets, gone, rest, near, *found)
+    return out
+
+
+def _rows(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """row, doc_id, tkey, text of every row; a text is told from another of its id by its hash."""
+    return keyed(docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).withColumn("tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _kept(rows: DataFrame, similarity: int) -> DataFrame:
+    """rows with gone (line numbers, null where all stay) and kept (the text that is left)."""
+    base = rows.select("doc_id", "tkey", F.coalesce("text", F.lit("")).alias("text"))
+    gone = duplicate_lines(base, similarity).groupBy("doc_id", "tkey").agg(F.collect_set("line_no").alias("gone"))
+    lines = F.filter(F.split("text", LINE, -1), lambda _, i: ~F.array_contains("gone", i))
+    return rows.join(gone, ["doc_id", "tkey"], "left").withColumn("kept", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, LINE)))
+
+
+def dedup_lines(docs: DataFrame, similarity: int = SIMILARITY, text_col: str = "text", id_col: str = "doc_id", drop_emptied: bool = False) -> DataFrame:
     """docs with each text stripped of lines that nearly repeat an earlier one; every other column is kept as it is.
 
     Two lines match if the Jaccard similarity of their sets of words [^\\x20\\x09-\\x0D]+ is at least similarity / 100. A
     line goes if any earlier line of the corpus matches it: in a smaller doc_id, or above it in the same text. Null and
-    empty texts stay; lines without words stay; rows without an id come before all others and count as one document each
-    text; rows that repeat an id share the decision; a text that loses all lines becomes empty.
+    empty texts and lines without words stay. Rows without an id come before all others; different texts of one id, or
+    without one, are documents of their own, in the order of their hashes; rows that repeat an id and its text share the
+    decision. Very long texts and lines are handled whole; an empty table gives an empty one. A text that loses all lines
+    becomes empty; with drop_emptied, rows go whose text had words and has none left.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    base = docs.select(key.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    gone = duplicate_lines(base, similarity).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("doc_id"), F.col(text_col).alias("text"))
-    lines = F.filter(F.split("text", LINE, -1), lambda _, i: ~F.array_contains("gone", i))
-    out = packed.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, LINE)))
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    out = _kept(_rows(docs, text_col, id_col), similarity)
+    if drop_emptied:
+        out = out.filter(F.col("gone").isNull() | (F.size(words_column(F.col("kept"))) > 0))
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """One row a document: doc_id, n_lines (lines of a null text: none), n_removed, kept_sha256 of what dedup_lines keeps."""
-    count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(F.split(c, LINE, -1))).cast("long")
-    base = docs.select("doc_id", "text", count("text").alias("n_lines"))
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    plain = base.select(key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    gone = duplicate_lines(plain, similarity).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    lines = F.filter(F.split("text", LINE, -1), lambda _, i: ~F.array_contains("gone", i))
-    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(lines, LINE))
-    out = base.withColumn("key", key).join(gone.withColumnRenamed("doc_id", "key"), "key", "left")
-    return out.select("doc_id", "n_lines", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", LINE, -1))).cast("long")
+    out = _kept(_rows(docs.select("doc_id", "text"), "text", "doc_id").drop("row"), similarity)
+    gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return unkeyed(out.select("doc_id", count.alias("n_lines"), gone.alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,18 +4,21 @@ import hashlib
 import random
 import re
 
+import pytest
+
+from tarnstone.llm import line_dedup
 from tarnstone.llm.line_dedup import dedup_lines, line_report
 
 SCHEMA = "doc_id long, text string, line_no string, n long"
 
 
-def brute(rows):
+def brute(rows, similarity=80):
     seen, kept = [], {}
     for d, t in sorted({d: t for d, t in rows}.items()):
         out = []
         for line in (t or "").split("\n"):
             s = set(re.findall(r"[^\x20\x09-\x0D]+", line))
-            if not s or not any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+            if not s or not any(100 * len(s & o) >= similarity * len(s | o) for o in seen):
                 out.append(line)
             if s:
                 seen.append(s)
@@ -66,3 +69,43 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert line_report(none).count() == 0 and dedup_lines(none).count() == 0
     assert dedup_lines(spark.createDataFrame([(None, "a b c d", "", 0), (3, "a b c d\nx", "", 0)], SCHEMA)).count() == 2
+
+
+@pytest.mark.parametrize("similarity", [100, 90, 67, 50, 30])
+def test_other_similarities(spark, similarity):
+    rows = corpus()
+    want = brute(rows, similarity)
+    kept = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame([(d, t, "", 0) for d, t in rows], SCHEMA), similarity).collect()}
+    assert all(kept[d] == "\n".join(want[d]) for d in want if d != 100)
+
+
+@pytest.mark.parametrize("similarity", [80, 50])
+def test_pairs_of_frequent_tokens(spark, monkeypatch, similarity):
+    monkeypatch.setattr(line_dedup, "FREQUENT", 3)
+    rnd = random.Random(4)
+    rows = [*corpus(), *[(200 + i, f"all these lines have the same words but number {i} and {rnd.choice('xyz')}") for i in range(40)]]
+    want = brute(rows, similarity)
+    kept = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame([(d, t, "", 0) for d, t in rows], SCHEMA), similarity).collect()}
+    assert all(kept[d] == "\n".join(want[d]) for d in want if d != 100)
+
+
+def test_long_lines(spark):
+    rnd = random.Random(5)
+    line = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join(rnd.sample(line, 300 - rnd.randint(0, 60)) + [f"u{i}{k}" for k in range(rnd.randint(0, 25))])) for i in range(30)]
+    want = brute(rows)
+    kept = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame([(d, t, "", 0) for d, t in rows], SCHEMA)).collect()}
+    assert 0 < sum(not t for t in kept.values()) < 30 and all(kept[d] == "\n".join(want[d]) for d in want)
+
+
+@pytest.mark.parametrize("number", [None, 1])
+def test_texts_that_share_an_id(spark, number):
+    texts = ["alpha beta gamma delta\nunique words stand here now", "other first line of text\nalpha beta gamma delta"]
+    got = [r.text for r in dedup_lines(spark.createDataFrame([(number, t, "", 0) for t in [*texts, texts[0]]], SCHEMA)).collect()]
+    assert sorted(got) in (sorted([texts[0], "other first line of text", texts[0]]), sorted([texts[1], *["unique words stand here now"] * 2]))
+
+
+def test_emptied_texts(spark):
+    rows = [(1, "a b c d e\nf g h i j"), (2, "f g h i j\n\na b c d e"), (3, ""), (4, None), (5, " \n"), (6, "a b c d e\nnew")]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame([(*r, "", 0) for r in rows], SCHEMA), drop_emptied=True).collect()}
+    assert got == {1: "a b c d e\nf g h i j", 3: "", 4: None, 5: " \n", 6: "new"}
