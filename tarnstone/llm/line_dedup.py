@@ -23,10 +23,15 @@ LEVELS = 256
 FREQUENT = 4096
 #: Sets of so many tokens have a parity signature of two words.
 LONG = 80
+#: Tokens of a prefix, of the least hashes, by which each line is compared with one early and one often copied line.
+SAMPLE = 2
+#: Sets that go, of one token, from which on the sets that are left are compared with PIVOTS of that token's sets.
+DENSE = 8
+PIVOTS = 32
 #: Rows of a few numbers up to which a written table is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 #: Postings are joined in so many turns, by their keys, which bounds the shuffle files that stand at once.
-TURNS = 2
+TURNS = 3
 LINE = "\n"
 
 
@@ -114,17 +119,17 @@ def postings(sets: DataFrame, similarity: int, index: Column | None = None) -> D
     return single.unionByName(double)
 
 
-def _alike(similarity: int, first: bool = True) -> Column:
-    """Length filter, positional filter and parity filter of two postings x and y of one key.
-
-    first: the pair may count on being met at the first token that the sets share, so the overlap lies from there on.
-    """
-    nx, ny, px, py = (F.col(c) for c in ("nx", "ny", "px", "py"))
-    behind = F.least(nx - px, ny - py) + (F.lit(0) if first else F.least(px, py))
-    possible = behind * (100 + similarity) >= (nx + ny) * similarity
+def _alike(similarity: int) -> Column:
+    """Length filter and parity filter of two sets x and y."""
+    nx, ny = F.col("nx"), F.col("ny")
     sign, half = F.col("gx").bitwiseXOR(F.col("gy")), F.col("hx").bitwiseXOR(F.col("hy"))
     differ = F.when((nx >= LONG) & (ny >= LONG), F.bit_count(half) + F.bit_count(sign.bitwiseXOR(half))).otherwise(F.bit_count(sign))
-    return (100 * F.least(nx, ny) >= similarity * F.greatest(nx, ny)) & possible & (differ * (100 + similarity) <= (nx + ny) * (100 - similarity))
+    return (100 * F.least(nx, ny) >= similarity * F.greatest(nx, ny)) & (differ * (100 + similarity) <= (nx + ny) * (100 - similarity))
+
+
+def _placed(similarity: int) -> Column:
+    """Positional filter: the overlap that two sets need lies in their tokens from the first one that they share."""
+    return F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + similarity) >= (F.col("nx") + F.col("ny")) * similarity
 
 
 def _side(rows: DataFrame, c: str, *more: str) -> DataFrame:
@@ -157,6 +162,39 @@ def _later(pairs: DataFrame, sets: DataFrame, docs: DataFrame, similarity: int)
     return later
 
 
+def _bare(rows: DataFrame, c: str, *more: str) -> DataFrame:
+    return rows.select(*more, *[F.col(a).alias(f"{b}{c}") for a, b in (("sid", "s"), ("n", "n"), ("sign", "g"), ("half", "h"))])
+
+
+def _near_pivots(live: DataFrame, similarity: int) -> DataFrame:
+    """(sx, sy): each set beside the most copied and the earliest set for some of its tokens.
+
+    Most lines of a dense group share one of the prefix tokens with the least hashes, so most of them meet one line that is
+    like them all, without their pairs being listed.
+    """
+    hashed = F.transform(F.slice("prefix", F.lit(1), F.size("prefix") - 1), lambda t: F.xxhash64(t))
+    ends = live.select("sid", "doc_id", "n", "sign", "half", "copies", F.explode(F.slice(F.sort_array(hashed), 1, SAMPLE)).alias("key"))
+    found = ends.groupBy("key").agg(F.max_by("sid", "copies").alias("a"), F.min_by("sid", "doc_id").alias("b"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    found = found.select("key", F.explode(F.array_distinct(F.array("a", "b"))).alias("sid"))
+    pivots = _bare(found.join(live.select("sid", "n", "sign", "half"), "sid"), "y", "key")
+    return _bare(ends, "x", "key").join(pivots, "key").filter((F.col("sx") != F.col("sy")) & _alike(similarity)).select("sx", "sy")
+
+
+def _near_dense(live: DataFrame, gone: DataFrame, similarity: int) -> DataFrame:
+    """(sx, sy): each set that is left, beside some sets for each of its tokens that stand in many sets that go."""
+    marked = live.join(_small(gone, gone.withColumn("shut", F.lit(True))), "sid", "left")
+    each = postings(marked.select("sid", "doc_id", "n", "sign", "half", "prefix", "shut"), similarity)
+    dense = each.filter("shut").groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") >= DENSE).select("key")
+    dense = stage(dense, "line-dense")
+    each = stage(each.join(_small(dense), "key"), "line-dense-postings")
+    pivots = each.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(PIVOTS)).alias("share")).agg(F.min_by("sid", "doc_id").alias("sid"))
+    pivots = _bare(each.join(pivots.select("key", "sid"), ["key", "sid"]), "y", "key")
+    near = _bare(each.filter("shut IS NULL"), "x", "key").join(pivots, "key").filter((F.col("sx") != F.col("sy")) & _alike(similarity))
+    out = stage(near.select("sx", "sy").distinct(), "line-near")
+    unstage(dense, each)
+    return out
+
+
 def duplicate_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Staged (doc_id, tkey, line_no) of lines that have an earlier line, by document and then line number, at least so similar.
 
@@ -170,13 +208,12 @@ def duplicate_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     light = stage(lines.select("doc_id", "tkey", "line_no", "s1", "s2"), "line-light")
     unstage(lines)
 
-    # Most lines of a dense group share the first or the last token of their prefixes: each is compared with one early line
-    # for either, and what goes by that need not be searched for again.
     live = sets.filter(F.size("prefix") > 0)
-    ends = live.select("sid", "doc_id", "n", "sign", "half", "prefix", F.explode(F.array_distinct(F.array(F.lit(0), F.size("prefix") - 2))).alias("pos")).withColumn("key", F.get("prefix", F.col("pos"))).drop("prefix")
-    names = (("sid", "s"), ("n", "n"), ("pos", "p"), ("sign", "g"), ("half", "h"))
-    pivot = ends.groupBy("key").agg(*[F.min_by(c, "doc_id").alias(f"{s}y") for c, s in names], F.count(F.lit(1)).alias("many")).filter("many > 1")
-    gone = _later(_side(ends, "x").join(pivot, "key").filter((F.col("sx") != F.col("sy")) & _alike(similarity, False)).select("sx", "sy"), sets, docs, similarity)
+    some = _later(_near_pivots(live, similarity), sets, docs, similarity)
+    near = _near_dense(live, some, similarity)
+    more = _later(near, sets, docs, similarity)
+    gone = stage(some.unionByName(more).distinct(), "line-later")
+    unstage(some, near, more)
 
     # Every set that is left is searched for among all others: among those left, as the larger of a pair, and among the rest.
     few = _small(gone)
@@ -189,7 +226,7 @@ def duplicate_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     for turn in range(TURNS):
         mine = F.pmod(F.xxhash64("key"), F.lit(TURNS)) == turn
         x, y = _side(small.filter(mine), "x", "open"), _side(large.filter(mine), "y")
-        near = x.join(y, (x["key"] == y["key"]) & _alike(similarity) & ordered)
+        near = x.join(y, (x["key"] == y["key"]) & _placed(similarity) & _alike(similarity) & ordered)
         found.append(stage(near.select("sx", "sy").distinct(), "line-near"))
     pairs = found[0]
     for more in found[1:]:

@@ -8,7 +8,7 @@ as a whole, and only the distinct segments of a family remain to be compared win
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,10 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnstone.llm.common import BYTE_CODES, chunks, column, prefix_sums, signed, sliding_min, slice_hash, stage, words_of
+from tarnstone.llm.common import BYTE_CODES, chunks, column, prefix_sums, signed, sliding_min, slice_hash, stage, unstage, words_of
 
-SEGMENT = "doc_id long, start int, nwin int, mhash long, s1 long, s2 long, inner boolean"
+#: Bytes of text that are cut into segments at once; each takes about a hundred bytes of a worker's memory meanwhile.
+SEGMENT_BYTES = 1 << 18
+#: Ids that several texts share, up to which they are broadcast.
+BROADCAST_IDS = 200_000
 NO_ID = -(1 << 63)
+#: What tells a document from others: its id, and its text's hash where several texts share the id (else 0).
+DOC = ("doc_id", "sub")
+SEGMENT = "doc_id long, sub long, start int, nwin int, mhash long, s1 long, s2 long, inner boolean"
 
 
 @dataclass(frozen=True)
@@ -73,8 +79,8 @@ class Windows:
         return sums, doc, start, end - start, least[start], left < right
 
 
-def ids_of(batch: pa.RecordBatch) -> np.ndarray:
-    return column(batch, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+def ids_of(batch: pa.RecordBatch, name: str = "doc_id") -> np.ndarray:
+    return column(batch, name).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -82,6 +88,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
 
 
+def told_apart(docs: DataFrame, name: str) -> DataFrame:
+    """(doc_id, sub, text): keyed documents, with different texts of one id told apart, in the order of their hashes.
+
+    Rows that repeat an id and its text stay one document.
+    """
+    hashed = F.xxhash64("text")
+    ids = docs.select("doc_id", hashed.alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    shared = stage(ids.filter("a != b").select("doc_id", F.lit(True).alias("shared")), f"{name}-shared")
+    n = shared.count()
+    if n == 0:
+        unstage(shared)
+        return docs.select("doc_id", F.lit(0).cast("long").alias("sub"), "text")
+    joined = docs.join(F.broadcast(shared) if n <= BROADCAST_IDS else shared, "doc_id", "left")
+    return joined.select("doc_id", F.when(F.col("shared"), hashed).otherwise(0).alias("sub"), "text")
+
+
 def unkeyed(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
@@ -92,7 +114,7 @@ def repeated_segments(docs: DataFrame, windows: Windows, name: str) -> DataFrame
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for _, data, offsets in chunks(iter([batch])):
+            for _, data, offsets in chunks(iter([batch]), limit=SEGMENT_BYTES):
                 _, _, _, _, least, inner = windows.segments(*windows.codes(data, offsets))
                 found += [least, least[inner]]
             if found:
@@ -100,38 +122,39 @@ def repeated_segments(docs: DataFrame, windows: Windows, name: str) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n.astype(np.int64))], ["mhash", "n"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in chunks(batches):
+        for rows, data, offsets in chunks(batches, limit=SEGMENT_BYTES):
             codes, first = windows.codes(data, offsets)
             sums, doc, start, nwin, least, inner = windows.segments(codes, first)
             end = start + nwin + windows.length - 1
             second = prefix_sums(codes, 1)
-            columns = [ids_of(rows)[doc], (start - first[doc]).astype(np.int32), nwin.astype(np.int32), signed(least), signed(slice_hash(sums, start, end)), signed(slice_hash(second, start, end, 1)), inner]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "start", "nwin", "mhash", "s1", "s2", "inner"])
+            columns = [ids_of(rows)[doc], ids_of(rows, "sub")[doc], (start - first[doc]).astype(np.int32), nwin.astype(np.int32), signed(least), signed(slice_hash(sums, start, end)), signed(slice_hash(second, start, end, 1)), inner]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "sub", "start", "nwin", "mhash", "s1", "s2", "inner"])
 
     often = docs.mapInArrow(counted, "mhash long, n long").groupBy("mhash").agg(F.sum("n").alias("n")).filter("n >= 2").select("mhash")
-    return stage(docs.mapInArrow(listed, SEGMENT).join(often, "mhash").select("doc_id", "start", "nwin", "mhash", "s1", "s2", "inner"), f"{name}-segments")
+    return stage(docs.mapInArrow(listed, SEGMENT).join(often, "mhash").select(*DOC, "start", "nwin", "mhash", "s1", "s2", "inner"), f"{name}-segments")
 
 
 def settle(segments: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(runs, open, firsts): window runs that repeat a whole earlier segment, and the first copies of segments still to be compared.
 
-    runs: doc_id, start, nwin. open: mhash, doc_id, start, nwin, of families with two distinct
-    segments, or with one that may hold a window twice. firsts: the staged table both read.
+    Copies of a segment, by 128 bits of hash and its length, are counted as one. runs: doc_id, sub, start, nwin. open: mhash,
+    doc_id, sub, start, nwin, of families with two distinct segments, or with one that may hold a window twice. firsts: the
+    staged table both read.
     """
     key = ["mhash", "s1", "s2", "nwin"]
-    firsts = stage(segments.groupBy(*key).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("inner").alias("inner")), f"{name}-firsts")
-    runs = segments.join(firsts.filter("copies > 1"), key).filter("doc_id != first.doc_id OR start != first.start").select("doc_id", "start", "nwin")
+    firsts = stage(segments.groupBy(*key).agg(F.min(F.struct(*DOC, "start")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("inner").alias("inner")), f"{name}-firsts")
+    runs = segments.join(firsts.filter("copies > 1"), key).filter(F.struct(*DOC, "start") != F.col("first")).select(*DOC, "start", "nwin")
     several = firsts.groupBy("mhash").agg(F.count(F.lit(1)).alias("kinds"), F.max("inner").alias("inner")).filter("kinds > 1 OR inner").select("mhash")
-    left = firsts.join(several, "mhash").select("mhash", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "nwin")
+    left = firsts.join(several, "mhash").select("mhash", "first.*", "nwin")
     return runs, left, firsts
 
 
 def with_runs(docs: DataFrame, runs: DataFrame, extra: tuple[str, ...] = (), how: str = "left") -> DataFrame:
     """docs with the column runs: array of (start, nwin, *extra), empty where there are none. A list is bounded by its document."""
-    listed = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "nwin", *extra)).alias("runs"))
-    joined = docs.join(listed, "doc_id", how)
+    listed = runs.groupBy(*DOC).agg(F.collect_list(F.struct("start", "nwin", *extra)).alias("runs"))
+    joined = docs.join(listed, list(DOC), how)
     empty = F.array().cast(dict(listed.dtypes)["runs"])
-    return joined.select("doc_id", "text", F.coalesce("runs", empty).alias("runs"))
+    return joined.select(*DOC, "text", F.coalesce("runs", empty).alias("runs"))
 
 
 def runs_of(rows: pa.RecordBatch, first: np.ndarray, *fields: int) -> list[np.ndarray]:
@@ -158,5 +181,3 @@ def per_row(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
     np.cumsum(flags, out=s[1:])
     return s[first[1:]] - s[first[:-1]]
 
-
-Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

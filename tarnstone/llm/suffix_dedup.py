@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnstone.llm.common import chunks, documents_of, read_table, stage, unstage
-from tarnstone.llm.repeats import Windows, covered, ids_of, keyed, per_row, repeated_segments, runs_of, settle, unkeyed, with_runs
+from tarnstone.llm.common import BYTE_CODES, chunks, documents_of, prefix_sums, read_table, slice_hash, stage, unstage
+from tarnstone.llm.repeats import DOC, Windows, covered, ids_of, keyed, per_row, repeated_segments, runs_of, settle, told_apart, unkeyed, with_runs
 
 LENGTH = 100
 GRAM = 20
@@ -20,77 +20,84 @@ GRAM = 20
 SHARD_BYTES = 1 << 20
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number, zeros behind the end."""
+    wide = np.concatenate([text, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(wide, (len(text), 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64)
+
+
+def suffix_array(text: np.ndarray, reach: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, ranks) by Larsson-Sadakane refinement.
 
     Suffixes are ordered by their first 8 bytes; then, for 8, 16, 32 ... bytes, only the groups that are still tied are
-    ordered by the rank of the suffix that many bytes further on.
+    ordered by the rank of the suffix that many bytes further on. With reach, suffixes that agree in so many bytes may
+    stay tied.
     """
     n = len(text)
-    key = np.zeros(n, np.uint64)
-    wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | wide[j : j + n]
-    order = np.argsort(key, kind="stable")
+    key = _eights(text)
+    order = np.argsort(key)
+    key = key[order]
     fresh = np.ones(n, bool)
-    fresh[1:] = key[order[1:]] != key[order[:-1]]
+    fresh[1:] = key[1:] != key[:-1]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     tied = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
     h = 8
-    while len(tied):
+    while len(tied) and h < (reach or n):
         sub = order[tied]
-        group = rank[sub]
         on = sub + h
-        after = np.where(on < n, rank[np.minimum(on, n - 1)], -1 - sub)
-        by = np.lexsort((after, group))
-        sub, group, after = sub[by], group[by], after[by]
+        # Behind the end, a shorter suffix goes first.
+        after = np.where(on < n, rank[np.minimum(on, n - 1)] + h + 1, n - sub)
+        pair = rank[sub] * np.int64(n + h + 1) + after
+        by = np.argsort(pair)
+        sub, pair = sub[by], pair[by]
         order[tied] = sub
         fresh = np.ones(len(tied), bool)
-        fresh[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
+        fresh[1:] = pair[1:] != pair[:-1]
         rank[sub] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
         tied = tied[~(fresh & np.append(fresh[1:], True))]
         h *= 2
     return order, rank
 
 
-def kasai(text: bytes, order: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix length of each suffix with the one before it in the suffix array, in text order, counted up to most.
+def kasai(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Common prefix length of each suffix with the one before it in the suffix array, in text order.
 
-    Going one byte on in the text shortens the common prefix by at most one; a prefix known to be at least most + d is
-    not measured anew for d positions.
+    Kasai's rule: going one byte on in the text, the common prefix is shorter by one at most; it is so exactly where the
+    neighbour goes on with it and the bytes passed are equal. So only the other suffixes are measured, eight bytes at a
+    time, and the rest follow by counting down.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    out = [0] * n
-    h = 0
-    for i, j in enumerate(before.tolist()):
-        if j < 0:
-            h = 0
-            continue
-        stop = n - (i if i > j else j)
-        while h < stop and text[i + h] == text[j + h]:
-            if text[i + h : i + h + 32] == text[j + h : j + h + 32] and h + 32 <= stop:
-                h += 32
-            else:
-                h += 1
-        out[i] = h
-        if h:
-            h -= 1
-    return np.minimum(np.array(out, np.int64), most)
+    at = np.arange(n)
+    follows = np.zeros(n, bool)
+    follows[1:] = (before[:-1] >= 0) & (before[1:] == before[:-1] + 1) & (text[:-1] == text[before[:-1]])
+    lone = np.flatnonzero(~follows & (before >= 0))
+    size = np.zeros(len(lone), np.int64)
+    eights, steps = _eights(text), np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
+    open_ = np.arange(len(lone))
+    while len(open_):
+        x, y = lone[open_] + size[open_], before[lone[open_]] + size[open_]
+        room = n - np.maximum(x, y)
+        equal = 8 - np.searchsorted(steps, eights[x] ^ eights[y], side="right")
+        size[open_] += np.minimum(equal, room)
+        open_ = open_[(equal == 8) & (room > 8)]
+    total = at.copy()  # of a suffix without a neighbour before it: nothing
+    total[lone] += size
+    source = np.maximum.accumulate(np.where(follows, 0, at))
+    return total[source] - at
 
 
 def shard_repeats(doc: np.ndarray, start: np.ndarray, nwin: np.ndarray, parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, position, is first, offset in the shard) of each window of a shard's segments.
+    """(doc, position, is first, offset in the shard) of each window of a shard's segments. doc: numbers in the documents' order.
 
     Segments are laid end to end. A class of equal windows is a stretch of the suffix array with common prefixes of at
     least length; suffixes that start too near the end of a segment are no windows and are passed over.
     """
-    raw = b"".join(parts)
-    text = np.frombuffer(raw, np.uint8)
-    order, rank = suffix_array(text)
-    common = kasai(raw, order, rank, length)[order]
+    text = np.frombuffer(b"".join(parts), np.uint8)
+    order, _ = suffix_array(text, length)
+    common = kasai(text, order)[order]
     size = np.array([len(p) for p in parts], np.int64)
     base = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(parts)), size)
@@ -122,7 +129,11 @@ def as_runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def removal_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, start, nwin): runs of byte positions at which a string of the given length starts that also starts earlier."""
+    """Staged (doc_id, sub, start, nwin): runs of byte positions at which a string of the given length starts that also starts earlier.
+
+    docs: doc_id, sub, text. Copies of a segment are counted as one before any text is shuffled, so that no group of copies
+    gathers in a shard; what distinct segments of a family share, the suffix arrays of its shards tell.
+    """
     windows = Windows("byte", length, min(gram, length - 1))
     segments = repeated_segments(docs, windows, "bytes")
     runs, left, firsts = settle(segments, "bytes")
@@ -133,9 +144,9 @@ def removal_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
     large = left.groupBy("mhash").agg(F.sum(size.cast("long")).alias("size")).filter(F.col("size") > shard_bytes)
     shares = F.ceil(F.coalesce("size", F.lit(1)) / F.lit(shard_bytes)).cast("int")
     dealt = left.join(large, "mhash", "left").select(
-        "doc_id", "start", "nwin",
+        *DOC, "start", "nwin",
         F.when(F.col("size").isNull(), F.pmod(F.xxhash64("mhash"), F.lit(shards))).otherwise(F.col("mhash")).alias("family"),
-        F.when(F.col("size").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "start"), shares).cast("int")).alias("share"),
+        F.when(F.col("size").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(*DOC, "start"), shares).cast("int")).alias("share"),
         shares.alias("shares"),
     )
 
@@ -144,31 +155,42 @@ def removal_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
             row, at, nwin, family, share, shares = runs_of(rows, offsets, 0, 1, 2, 3, 4)
             raw = data.tobytes()
             body = [raw[a:b] for a, b in zip(at, at + nwin + length - 1, strict=True)]
-            columns = [ids_of(rows)[row], (at - offsets[row]).astype(np.int32), nwin.astype(np.int32), family, share.astype(np.int32), shares.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], pa.array(body, pa.binary())], ["doc_id", "start", "nwin", "family", "share", "shares", "body"])
+            columns = [ids_of(rows)[row], ids_of(rows, "sub")[row], (at - offsets[row]).astype(np.int32), nwin.astype(np.int32), family, share.astype(np.int32), shares.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], pa.array(body, pa.binary())], ["doc_id", "sub", "start", "nwin", "family", "share", "shares", "body"])
+
+    def numbered(pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+        """A number for the document of each row, in the documents' order, and the documents by number."""
+        found = pdf.groupby(list(DOC), sort=True).ngroup().to_numpy(np.int64)
+        return found, pdf[list(DOC)].drop_duplicates().sort_values(list(DOC), ignore_index=True)
 
     def sorted_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [bytes(b) for b in pdf["body"]]
-        doc, pos, first, at = shard_repeats(pdf["doc_id"].to_numpy(), pdf["start"].to_numpy(np.int64), pdf["nwin"].to_numpy(np.int64), parts, length)
+        number, known = numbered(pdf)
+        doc, pos, first, at = shard_repeats(number, pdf["start"].to_numpy(np.int64), pdf["nwin"].to_numpy(np.int64), parts, length)
         d, p, n = as_runs(doc[~first], pos[~first])
-        out = pd.DataFrame({"doc_id": d, "start": p, "nwin": n, "family": key[0], "deal": -1, "words": None, "docs": None, "starts": None})
-        if key[1] >= 0:  # this family has other shards: its first windows, sorted, are to be merged with theirs
-            raw = np.frombuffer(b"".join(parts), np.uint8)
-            words = raw[at[first][:, None] + np.arange(length)]
-            deal = words.astype(np.int64) @ (np.arange(length) * 2 + 1) % pdf["shares"].iloc[0]
-            for k in np.unique(deal):
-                mine = deal == k
-                row = {"doc_id": 0, "start": 0, "nwin": 0, "family": key[0], "deal": k, "words": words[mine].tobytes(), "docs": doc[first][mine].tobytes(), "starts": pos[first][mine].tobytes()}
-                out = pd.concat([out, pd.DataFrame([row])], ignore_index=True)
-        return out
+        out = known.iloc[d].assign(start=p, nwin=n, family=key[0], deal=-1, words=None, docs=None, subs=None, starts=None)
+        if key[1] < 0:
+            return out
+        # This family has other shards: its first windows, sorted, are dealt by their hashes, to be merged with theirs.
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        at, doc, pos = at[first], known.iloc[doc[first]], pos[first]
+        deal = (slice_hash(prefix_sums(BYTE_CODES[raw]), at, at + length) % np.uint64(pdf["shares"].iloc[0])).astype(np.int64)
+        rows = []
+        for k in np.unique(deal):
+            mine = np.flatnonzero(deal == k)
+            words = raw[at[mine][:, None] + np.arange(length)].tobytes()
+            ids, subs = (doc[c].to_numpy(np.int64)[mine].tobytes() for c in DOC)
+            rows.append({"doc_id": 0, "sub": 0, "start": 0, "nwin": 0, "family": key[0], "deal": k, "words": words, "docs": ids, "subs": subs, "starts": pos[mine].tobytes()})
+        return pd.concat([out, pd.DataFrame(rows)], ignore_index=True) if len(out) else pd.DataFrame(rows)
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         """The windows of each shard, sorted, are looked up by binary search in the union of all shards of a family."""
         shards = [np.frombuffer(w, np.dtype((np.void, length))) for w in pdf["words"]]
         union = np.unique(np.concatenate(shards))
         kind = np.concatenate([np.searchsorted(union, w) for w in shards])
-        d = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["docs"]])
-        p = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["starts"]])
+        columns = [np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("docs", "subs", "starts")]
+        d, known = numbered(pd.DataFrame({"doc_id": columns[0], "sub": columns[1]}))
+        p = columns[2]
         by = np.lexsort((p, d, kind))
         d, p, kind = d[by], p[by], kind[by]
         lead = np.ones(len(d), bool)
@@ -176,14 +198,14 @@ def removal_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
         at = np.maximum.accumulate(np.where(lead, np.arange(len(d)), 0))
         later = (d != d[at]) | (p != p[at])
         d, p, n = as_runs(d[later], p[later])
-        return pd.DataFrame({"doc_id": d, "start": p, "nwin": n})
+        return known.iloc[d].assign(start=p, nwin=n)
 
-    schema = "doc_id long, start int, nwin int, family long, deal int, words binary, docs binary, starts binary"
-    pieces = with_runs(docs, dealt, ("family", "share", "shares"), "inner").mapInArrow(cut, "doc_id long, start int, nwin int, family long, share int, shares int, body binary")
+    schema = "doc_id long, sub long, start int, nwin int, family long, deal int, words binary, docs binary, subs binary, starts binary"
+    pieces = with_runs(docs, dealt, ("family", "share", "shares"), "inner").mapInArrow(cut, "doc_id long, sub long, start int, nwin int, family long, share int, shares int, body binary")
     sorted_ = stage(pieces.groupBy("family", "share").applyInPandas(sorted_shard, schema), "bytes-sorted")
-    within = sorted_.filter("nwin > 0").select("doc_id", "start", "nwin")
+    within = sorted_.filter("nwin > 0").select(*DOC, "start", "nwin")
     # A family's first windows are dealt by content to as many tasks as it has shards, so that none needs all of them.
-    across = sorted_.filter("nwin = 0").groupBy("family", "deal").applyInPandas(merged, "doc_id long, start int, nwin int")
+    across = sorted_.filter("nwin = 0").groupBy("family", "deal").applyInPandas(merged, "doc_id long, sub long, start int, nwin int")
     found = stage(runs.unionByName(within).unionByName(across), "bytes-runs")
     unstage(segments, firsts, left, sorted_)
     return found
@@ -195,9 +217,11 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     A byte goes if it lies under a string of the given length that also starts earlier: in a smaller doc_id, or in the
     same document further left; strings may overlap and are judged on the input. Texts are UTF-8 bytes, and what is kept
     need not be valid UTF-8. A null or empty text has no bytes; a shorter text keeps all; repeated rows (one id, one text)
-    share their decision; rows without an id come before all others; other columns are not looked at.
+    share their decision; different texts of one id are documents of their own, in the order of their hashes; rows without
+    an id come before all others; other columns are not looked at; very long texts are handled whole, one at a time; an
+    empty table gives an empty one.
     """
-    docs = keyed(documents_of(docs, text_col, id_col))
+    docs = told_apart(keyed(documents_of(docs, text_col, id_col)), "bytes")
     last = "kept_sha256 string" if digest else "kept binary"
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnstone.llm.common import chunks, documents_of, prefix_sums, read_table, signed, slice_hash, stage, unstage, words_of
-from tarnstone.llm.repeats import Windows, covered, ids_of, keyed, per_row, repeated_segments, runs_of, settle, unkeyed, with_runs
+from tarnstone.llm.repeats import DOC, Windows, covered, ids_of, keyed, per_row, repeated_segments, runs_of, settle, told_apart, unkeyed, with_runs
 
 WINDOW = 20
 GRAM = 5
 
 
 def removal_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start, nwin): runs of window starts, in words, whose window also starts earlier in the corpus."""
+    """Staged (doc_id, sub, start, nwin): runs of window starts, in words, whose window also starts earlier in the corpus.
+
+    docs: doc_id, sub, text. Equal segments are counted by a Rabin-Karp hash of all their words, which their windows share;
+    where segments differ, the hash of each window is counted.
+    """
     windows = Windows("word", window, min(gram, window - 1))
     segments = repeated_segments(docs, windows, "words")
     runs, left, firsts = settle(segments, "words")
@@ -32,13 +36,13 @@ def removal_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
             keep = begin + window <= first[row + 1]
             begin, row = begin[keep], row[keep]
             h = [signed(slice_hash(prefix_sums(codes, k), begin, begin + window, k)) for k in (0, 1)]
-            columns = [*h, ids_of(rows)[row], (begin - first[row]).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "doc_id", "start"])
+            columns = [*h, ids_of(rows)[row], ids_of(rows, "sub")[row], (begin - first[row]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "doc_id", "sub", "start"])
 
-    each = stage(with_runs(docs, left, how="inner").mapInArrow(hashed, "h1 long, h2 long, doc_id long, start int"), "words-windows")
-    counted = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1")
-    later = each.join(counted, ["h1", "h2"]).filter("doc_id != first.doc_id OR start != first.start")
-    found = stage(runs.unionByName(later.select("doc_id", "start", F.lit(1).alias("nwin"))), "words-runs")
+    each = stage(with_runs(docs, left, how="inner").mapInArrow(hashed, "h1 long, h2 long, doc_id long, sub long, start int"), "words-windows")
+    counted = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*DOC, "start")).alias("first")).filter("n > 1")
+    later = each.join(counted, ["h1", "h2"]).filter(F.struct(*DOC, "start") != F.col("first"))
+    found = stage(runs.unionByName(later.select(*DOC, "start", F.lit(1).alias("nwin"))), "words-runs")
     unstage(segments, firsts, each)
     return found
 
@@ -48,10 +52,11 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text_
 
     A word goes if it lies under a window of words that also starts earlier: in a smaller doc_id, or in the same document
     at an earlier word. Windows are judged on the input, so the order of removal does not matter. A null or empty text has
-    no words; a text shorter than a window keeps all; repeated rows (one id, one text) share their decision; rows without
-    an id come before all others; other columns are not looked at; an empty table gives an empty one.
+    no words; a text shorter than a window keeps all; repeated rows (one id, one text) share their decision; different
+    texts of one id are documents of their own, in the order of their hashes; rows without an id come before all others;
+    other columns are not looked at; very long texts are handled whole, one at a time; an empty table gives an empty one.
     """
-    docs = keyed(documents_of(docs, text_col, id_col))
+    docs = told_apart(keyed(documents_of(docs, text_col, id_col)), "words")
     last = "kept_sha256" if digest else "kept_text"
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

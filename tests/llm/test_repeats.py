@@ -1,12 +1,13 @@
 """Operators 3 and 8 against brute force."""
 
 import hashlib
+import os
 import random
 import re
 
 import pytest
 
-from tarnstone.llm.suffix_dedup import dedup_suffixes, suffix_array
+from tarnstone.llm.suffix_dedup import dedup_suffixes, kasai, suffix_array
 from tarnstone.llm.window_dedup import dedup_windows
 
 SCHEMA = "doc_id long, text string, n_removed int, mhash string"
@@ -87,5 +88,22 @@ def test_suffix_array_order():
 
     rnd = random.Random(2)
     for text in [b"", b"a", b"banana", b"a" * 50, bytes(rnd.choices(b"ab\x00", k=400))]:
-        order, _ = suffix_array(np.frombuffer(text, np.uint8))
+        data = np.frombuffer(text, np.uint8)
+        order, _ = suffix_array(data)
         assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        common = kasai(data, order)
+        for i, j in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+            assert common[j] == len(os.path.commonprefix([text[i:], text[j:]]))
+
+
+@pytest.mark.parametrize("number", [None, 4])
+def test_texts_that_share_an_id(spark, number):
+    half = " ".join(f"w{i}" for i in range(60))
+    texts = [half + " and " + half, " ".join(f"v{i}" for i in range(160)), half]
+    df = spark.createDataFrame([(number, t, 0, "") for t in [*texts, texts[1]]], SCHEMA)
+    for rows, size, least in ((dedup_suffixes(df).collect(), "n_bytes", len(half)), (dedup_windows(df).collect(), "n_words", 60)):
+        gone = {r[size]: r.n_removed for r in rows}
+        sizes = [len(t) if size == "n_bytes" else len(t.split()) for t in texts]
+        assert len(rows) == 4 and gone[sizes[1]] == 0
+        # Of the other two texts, the one with the greater hash loses what it shares, and the longer one its second half.
+        assert gone[sizes[0]] + gone[sizes[2]] == 2 * least, (size, gone)
