@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnstone.llm.common import chunks, documents_of, mix, read_table, signed, words_of
+from tarnstone.llm.common import chunks, documents_of, mix, read_table, signed, stage, words_of
 from tarnstone.llm.repeats import NO_ID, ids_of, keyed, unkeyed
 
 #: A passage counts as leaked if WINDOW words in a row stand in a document with at most WRONG of them replaced.
@@ -43,24 +43,27 @@ def _seed_hashes(words: np.ndarray, mask: tuple[int, ...], window: int, which: i
 
 
 def _item_seeds(window: int, wrong: int, least: int):
-    """Rows (item_id, n_words, mask, h, at, ids): a seed of an item, where it starts, and the item's word numbers."""
-    masks = seeds(window, wrong)
+    """Rows (item_id, n_words, mask, h, at, words): a seed of an item, where its window starts, and the window's word numbers."""
+    masks = [(m, mask, window, m) for m, mask in enumerate(seeds(window, wrong))]
+    masks += [(-n, tuple(range(n)), n, 100 + n) for n in range(least, window)]
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches):
             _, _, h, first = words_of(data, offsets, lower=True)
-            out = []
-            for item, a, b in zip(ids_of(rows).tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-                w = h[a:b]
-                if len(w) >= window:
-                    for m, mask in enumerate(masks):
-                        out += [(item, len(w), m, x, at, signed(w).tolist()) for at, x in enumerate(signed(_seed_hashes(w, mask, window, m)).tolist())]
-                elif len(w) >= least:
-                    m = -len(w)
-                    out.append((item, len(w), m, int(signed(_seed_hashes(w, tuple(range(len(w))), len(w), 100 + len(w)))[0]), 0, signed(w).tolist()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["item_id", "n_words", "mask", "h", "at", "words"])
+            ids, n_words = ids_of(rows), np.diff(first)
+            for m, mask, size, which in masks:
+                # Long items have every mask at every start, short ones their own mask once.
+                row = np.flatnonzero(n_words >= window if m >= 0 else n_words == size)
+                starts = n_words[row] - size + 1
+                row = np.repeat(row, starts)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
+                place = first[row] + at
+                if not len(row):
+                    continue
+                x = _seed_hashes(h, mask, size, which)[place]
+                words = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * size), pa.array(signed(h[(place[:, None] + np.arange(size)).ravel()])))
+                columns = [pa.array(ids[row]), pa.array(n_words[row].astype(np.int32)), pa.array(np.full(len(row), m, np.int32)), pa.array(signed(x)), pa.array(at.astype(np.int32)), words]
+                yield pa.RecordBatch.from_arrays(columns, ["item_id", "n_words", "mask", "h", "at", "words"])
 
     return listed
 
@@ -104,11 +107,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, wr
     one of the fixed masks hashes it alike on both sides; the hashes are joined in Spark and the words compared.
 
     Null or empty texts leak nothing and are leaked by nothing; repeated rows (one id, one text) count once; rows without
-    an id are reported together under a null id; an empty table on either side gives an empty result; other columns are
-    not looked at.
+    an id are reported together under a null id; texts that share an item's id count as one item; very long texts and items take memory in proportion; an empty table on either side gives an empty result; other
+    columns are not looked at.
     """
     items = benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct()
-    item = items.mapInArrow(_item_seeds(window, wrong, least), "item_id long, n_words int, mask int, h long, at int, words array<long>")
+    item = stage(items.mapInArrow(_item_seeds(window, wrong, least), "item_id long, n_words int, mask int, h long, at int, words array<long>"), "leak-items")
     # The driver gets one bit field of fixed size and the short lengths, never the hashes themselves.
     slots = item.select(F.shiftrightunsigned("h", 64 - bits).alias("slot")).distinct()
     packed = slots.groupBy(F.expr(f"slot >> {max(0, bits - 10)}").alias("block")).agg(F.collect_list("slot").alias("slots"))
@@ -119,22 +122,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, wr
     seed = keyed(documents_of(docs, text_col, id_col)).mapInArrow(_document_seeds(window, wrong, np.packbits(table).tobytes(), short, bits), "doc_id long, mask int, h long, at int, words array<long>")
     near = seed.distinct().withColumnRenamed("at", "place").withColumnRenamed("words", "found").join(item, ["mask", "h"])
     size = F.size("found")
-    same = F.size(F.filter(F.zip_with("found", F.slice("words", F.col("at") + 1, size), lambda x, y: x == y), lambda x: x))
+    same = F.size(F.filter(F.zip_with("found", "words", lambda x, y: x == y), lambda x: x))
     hit = near.filter(same >= size - F.when(F.col("mask") < 0, 0).otherwise(wrong))
-    hit = hit.groupBy("doc_id", "item_id", "at").agg(F.first("n_words").alias("n_words"), F.min("place").alias("place"), F.max(size).alias("size"))
+    hit = hit.groupBy("doc_id", "item_id", "at").agg(F.max("n_words").alias("n_words"), F.min("place").alias("place"), F.max(size).alias("size"))
     out = hit.groupBy("doc_id", "item_id").agg(
-        F.first("n_words").cast("long").alias("n_words"), F.count(F.lit(1)).alias("n_windows"), F.min("place").cast("long").alias("first_word"), F.sort_array(F.collect_list("at")).alias("ats"), F.first("size").alias("size")
+        F.max("n_words").cast("long").alias("n_words"), F.count(F.lit(1)).alias("n_windows"), F.min("place").cast("long").alias("first_word"), F.sort_array(F.collect_list("at")).alias("ats"), F.first("size").alias("size")
     )
     cover = F.aggregate("ats", F.struct(F.lit(0).alias("c"), F.lit(0).alias("e")), lambda a, p: F.struct((a["c"] + p + F.col("size") - F.greatest(a["e"], p)).alias("c"), (p + F.col("size")).alias("e")), lambda a: a["c"])
     out = out.select("doc_id", F.when(F.col("item_id") != NO_ID, F.col("item_id")).alias("item_id"), "n_words", "n_windows", cover.cast("long").alias("n_matched"), "first_word")
     return unkeyed(out)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that leak an item; all columns as they are. Rows without an id stay."""
-    id_col = options.get("id_col", "doc_id")
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """docs without those that leak an item; all columns as they are. Texts are judged one by one, also where several share an
+    id or have none."""
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text_col), F.lit("")))
+    packed = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    bad = contaminated(packed, benchmark, id_col="key", **options).select(F.col("doc_id").alias("key")).distinct()
+    return packed.join(bad, "key", "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

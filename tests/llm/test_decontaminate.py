@@ -65,3 +65,22 @@ def test_empty(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert contaminated(docs, some).count() == 0 and contaminated(some.withColumnRenamed("item_id", "doc_id"), items).count() == 0
+
+
+def test_long_item(spark):
+    import time
+
+    rnd = random.Random(6)
+    item = [f"w{rnd.randrange(10**6)}" for _ in range(20_000)]
+    docs = [(1, " ".join(item[19_000:19_020])), (2, "nothing of the kind " * 9), (3, " ".join(item[:12]))]
+    began = time.time()
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.n_words, r.n_windows, r.n_matched, r.first_word) for r in got] == [(1, 20_000, 8, 20, 0)]
+    assert time.time() - began < 60
+
+
+def test_texts_that_share_an_id(spark):
+    leak = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    docs = [(None, leak), (None, "clean"), (4, leak), (4, "clean too"), (4, None)]
+    left = remove_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    assert sorted(left.collect(), key=repr) == sorted([(None, "clean"), (4, "clean too"), (4, None)], key=repr)
