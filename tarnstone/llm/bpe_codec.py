@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +17,8 @@ from pyspark.sql import functions as F
 from tarnstone.llm.common import read_table
 
 MODEL = "word_bpe_49k.json"
-#: Characters of words, and token pairs, that a worker remembers; both memories are emptied when full, results do not depend on them.
-CACHE_CHARS = 20_000_000
+#: Characters of words (with a share for each entry), and token pairs, that a worker remembers; both memories are emptied when full, results do not depend on them.
+CACHE_CHARS = 60_000_000
 CACHE_PAIRS = 400_000
 
 
@@ -50,12 +53,15 @@ class WordCodec:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.merges = {p: i for i, p in enumerate(pairs)}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        self.numbers = {t: str(i) for t, i in self.vocab.items()}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.names |= {str(i): t for i, t in self.names.items()}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(split.replace(r"\s", r"\p{White_Space}")).findall
+        # The same pattern where a text has no other letters, digits and blanks than these.
+        plain = split.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r\x20")
+        self.find_ascii = re.compile(plain).findall if r"\p" not in plain else self.find
         self.find_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.space = regex.compile(r"\p{White_Space}+").sub
         self.bytes = byte_alphabet()
         self.longest = max(len(t) for t in self.vocab)
         self.made: dict[str, tuple[int, tuple[str, str]]] = {}
@@ -63,7 +69,7 @@ class WordCodec:
             self.made.setdefault(p[0] + p[1], (i, p))
         self.right_spine: dict[str, list[tuple[str, int]]] = {}
         self.left_spine: dict[str, list[tuple[str, int]]] = {}
-        self.words: dict[str, tuple[str, int]] = {}
+        self.words: dict[str, tuple[str, ...]] = {}
         self.size = 0
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -143,13 +149,14 @@ class WordCodec:
                     stack.append((depth + 1, s, child))
 
     def keep(self, word: str, tokens: list[str]) -> None:
-        self.size += len(word) + 40
-        self.words[word] = (" ".join(str(self.vocab[t]) for t in tokens), len(tokens))
+        self.size += len(word) + 8 * len(tokens) + 80
+        self.words[word] = tuple(map(self.numbers.__getitem__, tokens))
 
     def split(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.find(self.space(" ", text).lower())
+        """Words to encode. Blanks fall away here, so those that the normaliser makes equal need not be."""
+        if text.isascii():
+            return self.find_ascii(text.lower())
+        return self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def parts(self, text: str) -> list[tuple[bool, str]]:
         """The text cut at special strings: (is special, piece)."""
@@ -160,35 +167,38 @@ class WordCodec:
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, str, int]]:
         """For each text: identifiers joined by a space, the text decoded from them, number of tokens."""
         for text in texts:
-            ids, n = [], 0
+            ids: list[str] = []
             for special, piece in self.parts(text):
                 if special:
                     ids.append(str(self.special[piece]))
-                    n += 1
                     continue
                 found = self.split(piece)
-                new = {x for x in found if x not in self.words}
+                new = set(found).difference(self.words)
                 if new:
                     if self.size > CACHE_CHARS:
                         self.words.clear()
                         self.size, new = 0, set(found)
                     self.learn(new)
-                for i, k in map(self.words.__getitem__, found):
-                    ids.append(i)
-                    n += k
-            listed = " ".join(ids)
-            yield listed, self.decode(listed.split()), n
+                ids.extend(chain.from_iterable(map(self.words.__getitem__, found)))
+            yield " ".join(ids), self.decode(ids), len(ids)
 
     def decode(self, ids: list[int] | list[str]) -> str:
         """The vocabulary file names no decoder: tokens are joined by one space. Identifiers are numbers or decimal."""
         return " ".join(map(self.names.__getitem__, ids))
 
 
+@cache
+def codec_of(model_path: str) -> WordCodec:
+    """One codec a worker process, so that its tasks share what it has learnt."""
+    return WordCodec(model_path)
+
+
 def encode_decode(docs: DataFrame, text_col: str = "text", model_path: str | None = None, id_col: str = "doc_id", digests: bool = False) -> DataFrame:
     """One row a document: doc_id, n_tokens, token_ids (decimal, joined by a space) and decoded text; digests: SHA-256 of both instead.
 
     A null or empty text has no tokens and decodes to an empty text; special strings inside a text become their
-    identifiers, as the library does by default; repeated rows are each encoded; other columns are not looked at.
+    identifiers, as the library does by default; repeated rows and rows without an id are each encoded; very long texts are
+    encoded whole; an empty table gives an empty one; other columns are not looked at.
     """
     if model_path is None:
         import public_tokenizers
@@ -198,7 +208,7 @@ def encode_decode(docs: DataFrame, text_col: str = "text", model_path: str | Non
 
     @F.pandas_udf(f"n_tokens long, {second[0]} string, {second[1]} string")
     def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = WordCodec(model_path)
+        codec = codec_of(model_path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for s in texts:
             rows = [(n, sha(i), sha(d)) if digests else (n, i, d) for i, d, n in codec.encode_batch(s)]
