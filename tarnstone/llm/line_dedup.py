@@ -26,7 +26,7 @@ LONG = 80
 #: Tokens of a prefix, of the least hashes, by which each line is compared with one early and one often copied line.
 SAMPLE = 2
 #: Sets that go, of one token, from which on the sets that are left are compared with PIVOTS of that token's sets.
-DENSE = 8
+DENSE = 24
 PIVOTS = 32
 #: Rows of a few numbers up to which a written table is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
