@@ -20,6 +20,8 @@ WRONG = 2
 LEAST_WORDS = 5
 #: Bits of the table of item hashes that every task gets; more items fill it more, which lets more hashes through to the join.
 FILTER_BITS = 22
+#: Seeds of items up to which the table of them is broadcast; a larger one is shuffled, with the documents' seeds.
+BROADCAST_SEEDS = 200_000
 
 
 def seeds(window: int = WINDOW, wrong: int = WRONG) -> list[tuple[int, ...]]:
@@ -120,7 +122,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, wr
         table[np.array(r["slots"], np.int64)] = True
     short = sorted(-r["mask"] for r in item.filter("mask < 0").select("mask").distinct().collect())
     seed = keyed(documents_of(docs, text_col, id_col)).mapInArrow(_document_seeds(window, wrong, np.packbits(table).tobytes(), short, bits), "doc_id long, mask int, h long, at int, words array<long>")
-    near = seed.distinct().withColumnRenamed("at", "place").withColumnRenamed("words", "found").join(item, ["mask", "h"])
+    item = F.broadcast(item) if item.count() <= BROADCAST_SEEDS else item
+    near = seed.withColumnRenamed("at", "place").withColumnRenamed("words", "found").join(item, ["mask", "h"])
     size = F.size("found")
     same = F.size(F.filter(F.zip_with("found", "words", lambda x, y: x == y), lambda x: x))
     hit = near.filter(same >= size - F.when(F.col("mask") < 0, 0).otherwise(wrong))
