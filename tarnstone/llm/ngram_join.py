@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnstone.llm.common import chunks, documents_of, mix, prefix_sums, read_table, signed, slice_hash, stage, unstage, words_of
 from tarnstone.llm.components import components
-from tarnstone.llm.repeats import NO_ID, ids_of, keyed, unkeyed
+from tarnstone.llm.repeats import NO_ID, ids_of, keyed, shared_ids, told_apart, unkeyed
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -96,6 +96,10 @@ def _parity(tokens: Column) -> Column:
     return F.array(*[word(w) for w in range(PARITY)])
 
 
+def _node() -> Column:
+    return F.when(F.col("sub") == 0, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "sub")).alias("doc_id")
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY, levels: int = LEVELS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (least doc_id that links lead to, itself included).
 
@@ -109,9 +113,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
        every remaining pair of a list that lies in two classes is counted and verified. Nothing is capped.
 
     A null or empty text, or one without words, has no shingles and no links; a row without an id has no links and a null
-    component; repeated rows (one id, one text) share theirs; other columns are not looked at.
+    component; repeated rows (one id, one text) share theirs; texts that share an id are documents of their own; very long
+    texts are handled whole, one at a time; an empty table gives an empty one; other columns are not looked at.
     """
     docs = keyed(documents_of(docs, text_col, id_col))
+    several = shared_ids(docs, "shingle")
+    if several is not None:
+        # A hash stands for each text of a shared id until the components are known.
+        docs = told_apart(docs, several.filter(F.col("doc_id") != NO_ID))
+        names = stage(docs.select(_node().alias("node"), "doc_id").distinct(), "shingle-names")
+        docs = docs.select(_node(), "text")
     sketched = stage(docs.mapInArrow(_sketches(k, similarity), "doc_id long, n long, s1 long, s2 long, need long, prefix array<long>"), "shingle-sketches")
     sketch = sketched.filter((F.col("n") > 0) & (F.col("doc_id") != NO_ID))
     token = sketch.select("doc_id", "s1", "need", F.explode("prefix").alias("h"))
@@ -134,12 +145,14 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     sets = sets.withColumn("level", F.array_position(F.array(*cost), F.array_min(F.array(*cost))).cast("int"))
     sets = stage(sets.select("doc_id", "n", "base", "level", F.expr("transform(ranked, t -> t.h)").alias("tokens")), "shingle-sets")
     unstage(rows)
-    posting = stage(
-        sets.select("doc_id", "n", F.size("tokens").alias("m"), "tokens", F.posexplode(F.expr("slice(tokens, 1, base)")).alias("i", "h"))
+    # The index holds prefixes of the longest level, since a probe of any level looks into prefixes of its own.
+    postings = stage(
+        sets.select("doc_id", "n", "base", "level", F.size("tokens").alias("m"), "tokens", F.posexplode(F.expr(f"slice(tokens, 1, base + {levels - 1})")).alias("i", "h"))
         .withColumn("before", F.expr(f"slice(tokens, greatest(1, i + 1 - {LOOKBACK}), least(i, {LOOKBACK}))"))
-        .select("doc_id", "n", "h", "i", (F.col("m") - F.col("i")).alias("rest"), "before"),
+        .select("doc_id", "n", "base", "level", "h", "i", (F.col("m") - F.col("i")).alias("rest"), "before"),
         "shingle-postings",
     )
+    posting = postings.filter("i < base")
 
     # Length filter; then, with the overlap that these two sizes need, the prefix of this very pair and the positional filter.
     sized = 100 * F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")
@@ -159,24 +172,34 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
         if found is not None:
             unstage(found)
         found = components(links)
-    have = posting.join(found.select(F.col("a").alias("doc_id"), "b"), "doc_id", "left").withColumn("part", F.coalesce("b", "doc_id"))
+    have = postings.join(found.select(F.col("a").alias("doc_id"), "b"), "doc_id", "left").withColumn("part", F.coalesce("b", "doc_id"))
     open_ = have.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("h")
-    have = stage(have.join(open_, "h").select("h", "doc_id", "n", "part", "i", "rest", "before"), "shingle-open")
+    have = stage(have.join(open_, "h").select("h", "doc_id", "n", "base", "level", "part", "i", "rest", "before"), "shingle-open")
     opened = have
     signed_ = sets.join(have.select("doc_id").distinct(), "doc_id").select("doc_id", _parity(F.col("tokens")).alias("sign"))
     have = have.join(signed_, "doc_id")
-    side = lambda c: have.select("h", F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("part").alias(f"p{c}"), F.col("i").alias(f"i{c}"), F.col("rest").alias(f"r{c}"), F.col("before").alias(f"b{c}"), F.col("sign").alias(f"g{c}"))
-    probe, index = side("x"), side("y")
-    # The rarest token that a pair shares lies in both prefixes of level 1; postings of other tokens they share are passed over.
-    rarest = (F.least("rx", "ry") >= overlap) & ~F.arrays_overlap("bx", "by")
+    fields = (("doc_id", ""), ("n", "n"), ("part", "p"), ("i", "i"), ("rest", "r"), ("before", "b"), ("sign", "g"), ("base", "o"))
+    side = lambda c, *more: have.select("h", *more, *[F.col(x).alias(f"{y}{c}") for x, y in fields])
+    probe, index = side("x", "level").filter(F.col("ix") < F.col("ox") + F.col("level") - 1), side("y")
+    # x asks for as many shared tokens as its level says, in prefixes lengthened to it: the pair is listed at the posting that
+    # is the last of so many, and behind it the overlap must still be possible. Where a posting remembers too few of the
+    # rarer tokens to count them all, it is listed sooner.
+    both = F.size(F.array_intersect("bx", "by"))
+    cut = (F.col("ix") > LOOKBACK) | (F.col("iy") > LOOKBACK)
+    enough = (both == F.col("level") - 1) | (cut & (both < F.col("level") - 1))
+    within = (F.col("iy") < F.col("oy") + F.col("level") - 1) & (F.least("rx", "ry") + F.col("level") - 1 >= overlap)
     differ = sum((F.bit_count(F.col("gx")[k].bitwiseXOR(F.col("gy")[k])) for k in range(1, PARITY)), F.bit_count(F.col("gx")[0].bitwiseXOR(F.col("gy")[0])))
     alike = differ <= F.col("ix") + F.col("rx") + F.col("iy") + F.col("ry") - 2 * overlap
-    pairs = probe.join(index, (probe.h == index.h) & (F.col("y") < F.col("x")) & (F.col("px") != F.col("py")) & sized & placed & rarest & alike).select("x", "y").distinct()
+    pairs = probe.join(index, (probe.h == index.h) & (F.col("y") < F.col("x")) & (F.col("px") != F.col("py")) & sized & within & alike & enough).select("x", "y").distinct()
     links = links.unionByName(_verified(pairs, sets, similarity))
     found = components(links)
-    unstage(alive, sets, posting, opened)
-    out = classes.join(found.select(F.col("a").alias("rep"), "b"), "rep", "left")
-    return unkeyed(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("b", "rep").alias("component_id")))
+    unstage(alive, sets, postings, opened)
+    out = classes.join(found.select(F.col("a").alias("rep"), "b"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("b", "rep").alias("component_id"))
+    if several is not None:
+        known = out.withColumnRenamed("doc_id", "node").join(names, "node")
+        least = known.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        out = known.join(least, "component_id", "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    return unkeyed(out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,20 +88,27 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
 
 
-def told_apart(docs: DataFrame, name: str) -> DataFrame:
-    """(doc_id, sub, text): keyed documents, with different texts of one id told apart, in the order of their hashes.
-
-    Rows that repeat an id and its text stay one document.
-    """
+def shared_ids(docs: DataFrame, name: str) -> DataFrame | None:
+    """The ids of keyed documents that several texts share, broadcast if they are counted to be few; None if there are none."""
     hashed = F.xxhash64("text")
     ids = docs.select("doc_id", hashed.alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"))
     shared = stage(ids.filter("a != b").select("doc_id", F.lit(True).alias("shared")), f"{name}-shared")
     n = shared.count()
     if n == 0:
         unstage(shared)
+        return None
+    return F.broadcast(shared) if n <= BROADCAST_IDS else shared
+
+
+def told_apart(docs: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """(doc_id, sub, text): keyed documents, with different texts of one of the shared ids told apart, in the order of their hashes.
+
+    Rows that repeat an id and its text stay one document.
+    """
+    if shared is None:
         return docs.select("doc_id", F.lit(0).cast("long").alias("sub"), "text")
-    joined = docs.join(F.broadcast(shared) if n <= BROADCAST_IDS else shared, "doc_id", "left")
-    return joined.select("doc_id", F.when(F.col("shared"), hashed).otherwise(0).alias("sub"), "text")
+    joined = docs.join(shared, "doc_id", "left")
+    return joined.select("doc_id", F.when(F.col("shared"), F.xxhash64("text")).otherwise(0).alias("sub"), "text")
 
 
 def unkeyed(df: DataFrame) -> DataFrame:

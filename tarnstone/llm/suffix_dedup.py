@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnstone.llm.common import BYTE_CODES, chunks, documents_of, prefix_sums, read_table, slice_hash, stage, unstage
-from tarnstone.llm.repeats import DOC, Windows, covered, ids_of, keyed, per_row, repeated_segments, runs_of, settle, told_apart, unkeyed, with_runs
+from tarnstone.llm.repeats import DOC, Windows, covered, ids_of, keyed, per_row, repeated_segments, runs_of, settle, shared_ids, told_apart, unkeyed, with_runs
 
 LENGTH = 100
 GRAM = 20
@@ -221,7 +221,8 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     an id come before all others; other columns are not looked at; very long texts are handled whole, one at a time; an
     empty table gives an empty one.
     """
-    docs = told_apart(keyed(documents_of(docs, text_col, id_col)), "bytes")
+    docs = keyed(documents_of(docs, text_col, id_col))
+    docs = told_apart(docs, shared_ids(docs, "bytes"))
     last = "kept_sha256 string" if digest else "kept binary"
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

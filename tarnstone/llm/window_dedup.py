@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnstone.llm.common import chunks, documents_of, prefix_sums, read_table, signed, slice_hash, stage, unstage, words_of
-from tarnstone.llm.repeats import DOC, Windows, covered, ids_of, keyed, per_row, repeated_segments, runs_of, settle, told_apart, unkeyed, with_runs
+from tarnstone.llm.repeats import DOC, Windows, covered, ids_of, keyed, per_row, repeated_segments, runs_of, settle, shared_ids, told_apart, unkeyed, with_runs
 
 WINDOW = 20
 GRAM = 5
@@ -56,7 +56,8 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text_
     texts of one id are documents of their own, in the order of their hashes; rows without an id come before all others;
     other columns are not looked at; very long texts are handled whole, one at a time; an empty table gives an empty one.
     """
-    docs = told_apart(keyed(documents_of(docs, text_col, id_col)), "words")
+    docs = keyed(documents_of(docs, text_col, id_col))
+    docs = told_apart(docs, shared_ids(docs, "words"))
     last = "kept_sha256" if digest else "kept_text"
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,3 +66,24 @@ def test_components(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_levels_and_other_settings(spark):
+    rows = [r for r in corpus() if r[0] is not None]
+    want = {d: c for d, (_, c) in brute(rows).items()}
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA)
+    for levels in (1, 7):
+        assert {r.doc_id: r.component_id for r in near_duplicates(df, levels=levels).collect()} == want
+    strict = {r.doc_id: r.component_id for r in near_duplicates(df, similarity=100).collect()}
+    sets = {d: frozenset(shingles(t)) for d, t in rows}
+    assert strict == {d: min(e for e in sets if e == d or sets[e] and sets[e] == sets[d]) for d in sets}
+
+
+def test_texts_that_share_an_id(spark):
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(500)]
+    a, b, c = (" ".join(rnd.choices(words, k=100)) for _ in range(3))
+    rows = [(5, a), (5, b), (5, a), (7, a + " more"), (9, b + " more"), (8, c), (None, a), (None, c), (3, c + " more")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)).collect()), key=repr)
+    n = lambda t: len(shingles(t))
+    assert got == sorted([(5, n(a), 5), (5, n(b), 5), (5, n(a), 5), (7, n(a) + 1, 5), (9, n(b) + 1, 5), (8, n(c), 3), (3, n(c) + 1, 3), (None, n(a), None), (None, n(c), None)], key=repr)
