@@ -1,7 +1,8 @@
 """Skeletal geometry (bones, cubes) and keyframe animation as tables.
 
-bones: bone, parent, pivot_x, pivot_y, pivot_z. cubes: bone, idx, ox, oy, oz, sx, sy, sz. keyframes: anim, bone, channel,
-t (seconds), value.
+bones: bone, parent, pivot_x, pivot_y, pivot_z. cubes: bone, idx, ox, oy, oz, sx, sy, sz. locators: bone, locator, x, y, z.
+models: model, texture_width, texture_height. animations: anim, prop, value (JSON text). keyframes: anim, bone, channel,
+t (seconds; null: a constant), value.
 """
 
 from __future__ import annotations
@@ -21,11 +22,24 @@ TEMPLATES = {
 
 
 def descendants(bones: DataFrame, top: str) -> DataFrame:
-    """bone, depth of all bones under top, by a recursive query."""
-    return bones.sparkSession.sql(
-        "WITH RECURSIVE d(bone, depth) AS (SELECT bone, 1 FROM {b} b WHERE parent = {top} UNION ALL SELECT b.bone, d.depth + 1 FROM {b} b JOIN d ON b.parent = d.bone) SELECT * FROM d",
-        b=bones, top=top,
-    )
+    """bone, depth of all bones under top.
+
+    Pointer jumping: each bone points to an ancestor and knows how far it is; in each round all pointers double their reach,
+    and those to top, to a bone without a parent or to a parent that does not exist stay. So the rounds grow with the logarithm
+    of the depth, and no count of rows or levels ends them; bones in a circle are under no top.
+    """
+    known = bones.select(F.col("bone").alias("up"), F.when(F.col("bone") != top, F.col("parent")).alias("next")).dropDuplicates(["up"])
+    jumps = bones.filter(F.col("bone") != top).select("bone", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"))
+    step = known.filter("next IS NOT NULL").select("up", "next", F.lit(1).cast("long").alias("more"))
+    for _ in range(64):
+        moving = jumps.join(step, "up", "left_semi").limit(1).count()
+        if not moving:
+            break
+        new = jumps.join(step, "up", "left")
+        jumps = new.select("bone", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        far = step.select(F.col("up").alias("next"), F.col("next").alias("far"), F.col("more").alias("further"))
+        step = step.join(far, "next", "left").select("up", F.coalesce("far", "next").alias("next"), (F.col("more") + F.coalesce("further", F.lit(0))).alias("more"))
+    return jumps.filter(F.col("up") == top).select("bone", "depth")
 
 
 def add_bone(bones: DataFrame, bone: str, parent: str | None, pivot: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
@@ -62,6 +76,12 @@ def remove_cube(cubes: DataFrame, bone: str, idx: int) -> DataFrame:
     return left.withColumn("idx", F.when((F.col("bone") == bone) & (F.col("idx") > idx), F.col("idx") - 1).otherwise(F.col("idx")))
 
 
+def edit_cube(cubes: DataFrame, bone: str, idx: int, **fields: float) -> DataFrame:
+    """The cube with the given columns replaced; others stay as they are."""
+    here = (F.col("bone") == bone) & (F.col("idx") == idx)
+    return cubes.withColumns({c: F.when(here, F.lit(v).cast(dict(cubes.dtypes)[c])).otherwise(F.col(c)) for c, v in fields.items()})
+
+
 def mirror_bones(bones: DataFrame) -> DataFrame:
     """The pivot changes its side; rotation does not."""
     return bones.withColumn("pivot_x", (-F.col("pivot_x").cast("float")).cast("double"))
@@ -72,6 +92,29 @@ def mirror_cubes(cubes: DataFrame) -> DataFrame:
     return cubes.withColumn("ox", (-f("ox") - f("sx")).cast("double"))
 
 
+def mirror_bone(bones: DataFrame, cubes: DataFrame, locators: DataFrame, bone: str, new: str, mirror_uv: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables with a copy of the bone under a new name on the other side of x = 0: pivot and cubes mirrored, the cubes'
+    texture marked as mirrored if asked, locators and parent as they are. Nothing is added if the new name is taken or the bone
+    does not exist."""
+    free = bones.filter(F.col("bone") == new).select(F.lit(bone).alias("bone"))
+    source = bones.filter(F.col("bone") == bone).join(free, "bone", "left_anti")
+    copied = lambda rows: rows.join(source.select("bone"), "bone", "left_semi").withColumn("bone", F.lit(new))
+    more = mirror_cubes(copied(cubes))
+    more = more.withColumn("mirror", F.lit(True)) if mirror_uv and "mirror" in cubes.columns else more
+    return bones.unionByName(mirror_bones(copied(bones))), cubes.unionByName(more.select(*cubes.columns)), locators.unionByName(copied(locators).select(*locators.columns))
+
+
+def add_locator(locators: DataFrame, new: DataFrame, bones: DataFrame) -> DataFrame:
+    """locators with new ones in place of those of the same bone and name; bones that do not exist get none."""
+    new = new.join(bones.select("bone"), "bone", "left_semi").select(*locators.columns)
+    return locators.join(new.select("bone", "locator"), ["bone", "locator"], "left_anti").unionByName(new)
+
+
+def set_texture_size(models: DataFrame, model: str, width: int, height: int) -> DataFrame:
+    new = {"texture_width": width, "texture_height": height}
+    return models.withColumns({c: F.when(F.col("model") == model, F.lit(v).cast(dict(models.dtypes)[c])).otherwise(F.col(c)) for c, v in new.items()})
+
+
 def model_summary(bones: DataFrame, cubes: DataFrame) -> DataFrame:
     n = cubes.groupBy("bone").agg(F.count(F.lit(1)).alias("cubes"))
     return bones.join(n, "bone", "left").select("bone", "parent", F.coalesce("cubes", F.lit(0)).cast("long").alias("cubes"))
@@ -142,3 +185,59 @@ def anim_summary(keyframes: DataFrame, channels: tuple[str, ...] = CHANNELS) ->
     """A row an animation and bone, with a count of keyframes for each channel."""
     counts = [F.count_if(F.col("channel") == c).alias(c) for c in channels]
     return keyframes.groupBy("anim", "bone").agg(*counts, F.max("t").alias("length"))
+
+
+#: The properties of an animation that can be set.
+ANIM_PROPS = ("loop", "animation_length", "blend_weight", "override_previous_animation", "anim_time_update", "start_delay", "loop_delay")
+
+
+def add_anim(animations: DataFrame, anim: str, loop: str = "false", length: float = 0.0) -> DataFrame:
+    """A new animation joins only if none has its name; a length of 0 is not noted."""
+    rows = [(anim, "loop", loop)] + ([(anim, "animation_length", f"{length:g}")] if length > 0 else [])
+    new = animations.sparkSession.createDataFrame(rows, "anim string, prop string, value string")
+    return animations.unionByName(new.join(animations.select("anim"), "anim", "left_anti"))
+
+
+def remove_anim(rows: DataFrame, anim: str) -> DataFrame:
+    """For the table of animations and for that of keyframes."""
+    return rows.filter(F.col("anim") != anim)
+
+
+def set_anim_prop(animations: DataFrame, anim: str, prop: str, value: str) -> DataFrame:
+    if prop not in ANIM_PROPS:
+        raise ValueError(f"unknown property {prop!r}")
+    there = animations.filter(F.col("anim") == anim).select("anim").distinct().select("anim", F.lit(prop).alias("prop"), F.lit(value).alias("value"))
+    return animations.filter(~((F.col("anim") == anim) & (F.col("prop") == prop))).unionByName(there)
+
+
+def set_constant(keyframes: DataFrame, new: DataFrame) -> DataFrame:
+    """new (anim, bone, channel, value) in place of all keyframes of the channel, as rows without a time."""
+    left = keyframes.join(new, ["anim", "bone", "channel"], "left_anti")
+    return left.unionByName(new.withColumn("t", F.lit(None).cast("double")).select(*keyframes.columns))
+
+
+def remove_channel(keyframes: DataFrame, anim: str, bone: str, channel: str = "") -> DataFrame:
+    """Without a channel, all of the bone go."""
+    here = (F.col("anim") == anim) & (F.col("bone") == bone)
+    return keyframes.filter(~(here & (F.col("channel") == channel) if channel else here))
+
+
+def apply_anim_ops(animations: DataFrame, keyframes: DataFrame, ops: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """A batch of animation operations on both tables, in order; a wrong one raises before anything runs."""
+    one = lambda k, o: k.sparkSession.createDataFrame([(o["anim"], o["bone"], o["channel"], float(o["value"]))], "anim string, bone string, channel string, value double")
+    known = {
+        "add_anim": lambda a, k, o: (add_anim(a, o["anim"], o.get("loop", "false"), o.get("length", 0.0)), k),
+        "remove_anim": lambda a, k, o: (remove_anim(a, o["anim"]), remove_anim(k, o["anim"])),
+        "set_anim_prop": lambda a, k, o: (set_anim_prop(a, o["anim"], o["prop"], o["value"]), k),
+        "set_keyframe": lambda a, k, o: (a, upsert_keyframes(k, one(k, o).withColumn("t", F.lit(float(o["t"]))))),
+        "set_constant": lambda a, k, o: (a, set_constant(k, one(k, o))),
+        "remove_keyframe": lambda a, k, o: (a, k.filter(~((F.col("anim") == o["anim"]) & (F.col("bone") == o["bone"]) & (F.col("channel") == o["channel"]) & F.coalesce(F.col("t") == float(o["t"]), F.lit(False))))),
+        "remove_bone_channel": lambda a, k, o: (a, remove_channel(k, o["anim"], o["bone"], o.get("channel", ""))),
+        "scale_time": lambda a, k, o: (a, scale_time(k.filter(F.col("anim") == o["anim"]), o["factor"]).unionByName(k.filter(F.col("anim") != o["anim"]))),
+    }
+    for o in ops:
+        if o.get("op") not in known:
+            raise ValueError(f"unknown operation {o.get('op')!r}")
+    for o in ops:
+        animations, keyframes = known[o["op"]](animations, keyframes, o)
+    return animations, keyframes

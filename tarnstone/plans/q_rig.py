@@ -100,10 +100,39 @@ def _(part):
     return R.add_cube(R.remove_cube(c, "b3", 1), new)
 
 
-@query("locator_add", "SELECT n_name AS bone, CASE WHEN n_nationkey < 3 THEN 'held' END AS locator FROM nation", "nation")
-def _(nation):
-    new = nation.filter("n_nationkey < 3").select("n_name", F.lit("held").alias("locator"))
-    return nation.join(new, "n_name", "left").select(F.col("n_name").alias("bone"), "locator")
+@query("cube_set", f"WITH {CUBES} SELECT bone, idx, CASE WHEN bone = 'b7' AND idx = 2 THEN 5.5 ELSE ox END AS ox, CASE WHEN bone = 'b7' AND idx = 2 THEN 3.0 ELSE sx END AS sx FROM cubes", "part")
+def _(part):
+    return R.edit_cube(cubes(part), "b7", 2, ox=5.5, sx=3)
+
+
+def _locators(nation):
+    return nation.select(F.col("n_name").alias("bone"), F.lit("held").alias("locator"), F.col("n_nationkey").cast("double").alias("x"))
+
+
+@query("locator_add", """SELECT n_name AS bone, 'held' AS locator, CASE WHEN n_regionkey = 1 THEN 9.0 ELSE n_nationkey END AS x FROM nation
+UNION ALL SELECT n_name, 'lead', 9.0 FROM nation WHERE n_regionkey = 2""", *ON)
+def _(region, nation, supplier):
+    held = nation.filter("n_regionkey = 1").select(F.col("n_name").alias("bone"), F.lit("held").alias("locator"), F.lit(9.0).alias("x"))
+    lead = nation.filter("n_regionkey = 2").select(F.col("n_name").alias("bone"), F.lit("lead").alias("locator"), F.lit(9.0).alias("x"))
+    nowhere = nation.sparkSession.createDataFrame([("no such bone", "held", 1.0)], "bone string, locator string, x double")
+    return R.add_locator(_locators(nation), held.unionByName(lead).unionByName(nowhere), bones(region, nation, supplier))
+
+
+@query("mirror_symmetry", f"""WITH {BONES}, c AS (SELECT s_name AS bone, 0 AS idx, CAST(s_suppkey AS DOUBLE) AS ox, 2.0 AS sx FROM supplier)
+SELECT bone, parent, pivot_x, ox FROM bones LEFT JOIN c USING (bone) UNION ALL
+SELECT 'twin', parent, -pivot_x, -ox - sx FROM bones JOIN c USING (bone) WHERE bone = (SELECT min(s_name) FROM supplier)""", *ON)
+def _(region, nation, supplier):
+    c = supplier.select(F.col("s_name").alias("bone"), F.lit(0).alias("idx"), F.col("s_suppkey").cast("double").alias("ox"), F.lit(2.0).alias("sx"))
+    name = supplier.agg(F.min("s_name")).first()[0]
+    b, c, _ = R.mirror_bone(bones(region, nation, supplier), c, _locators(nation), name, "twin")
+    b, c, _ = R.mirror_bone(b, c, _locators(nation), "ASIA", "EUROPE")  # the name is taken
+    return b.join(c, "bone", "left").select("bone", "parent", "pivot_x", "ox")
+
+
+@query("texture_size", "SELECT p_brand AS model, CASE WHEN p_brand = 'Brand#12' THEN 64 ELSE max(p_size) END AS texture_width, CASE WHEN p_brand = 'Brand#12' THEN 32 ELSE min(p_size) END AS texture_height FROM part GROUP BY p_brand", "part")
+def _(part):
+    models = part.groupBy(F.col("p_brand").alias("model")).agg(F.max("p_size").alias("texture_width"), F.min("p_size").alias("texture_height"))
+    return R.set_texture_size(models, "Brand#12", 64, 32)
 
 
 @query("model_summary", f"WITH {CUBES} SELECT bone, count(*) AS cubes FROM cubes GROUP BY bone", "part")
@@ -155,9 +184,43 @@ def _(events):
     return R.anim_summary(keyframes(events))
 
 
-@query("anim_prop", f"WITH {K_SQL} SELECT anim, CASE WHEN anim = 'a1' THEN 'hold_on_last_frame' ELSE 'true' END AS loop, count(*) AS n FROM k GROUP BY anim", "events")
+A_SQL = f"{K_SQL}, a AS (SELECT DISTINCT anim, 'loop' AS prop, 'true' AS value FROM k UNION ALL SELECT anim, 'animation_length', CAST(CAST(max(t) AS INTEGER) AS VARCHAR) FROM k GROUP BY anim)"
+
+
+def animations(k: DataFrame) -> DataFrame:
+    loop = k.select("anim", F.lit("loop").alias("prop"), F.lit("true").alias("value")).distinct()
+    return loop.unionByName(k.groupBy("anim").agg(F.max("t").alias("t")).select("anim", F.lit("animation_length").alias("prop"), F.round("t").cast("int").cast("string").alias("value")))
+
+
+@query("anim_prop", f"WITH {A_SQL} SELECT anim, prop, CASE WHEN anim = 'a1' AND prop = 'loop' THEN 'hold_on_last_frame' ELSE value END AS value FROM a UNION ALL SELECT 'a2', 'blend_weight', '0.5'", "events")
 def _(events):
-    return keyframes(events).groupBy("anim").agg(F.count(F.lit(1)).alias("n")).withColumn("loop", F.when(F.col("anim") == "a1", "hold_on_last_frame").otherwise("true"))
+    a = R.set_anim_prop(animations(keyframes(events)), "a1", "loop", "hold_on_last_frame")
+    return R.set_anim_prop(R.set_anim_prop(a, "a2", "blend_weight", "0.5"), "none", "loop", "true")
+
+
+@query("anim_add", f"WITH {A_SQL} SELECT * FROM a WHERE anim <> 'a2' UNION ALL VALUES ('new', 'loop', 'false'), ('new', 'animation_length', '2.5')", "events")
+def _(events):
+    a = R.add_anim(R.add_anim(animations(keyframes(events)), "new", length=2.5), "a1", "hold_on_last_frame")
+    return R.remove_anim(a, "a2")
+
+
+@query("anim_constant", f"WITH {K_SQL} SELECT anim, bone, channel, t, value FROM k WHERE channel <> 'scale' UNION ALL SELECT DISTINCT anim, bone, 'scale', CAST(NULL AS DOUBLE), 1.0 FROM k WHERE channel = 'scale'", "events")
+def _(events):
+    k = keyframes(events)
+    return R.set_constant(k, k.filter("channel = 'scale'").select("anim", "bone", "channel", F.lit(1.0).alias("value")).distinct())
+
+
+@query("anim_batch", f"""WITH {K_SQL} SELECT anim, bone, channel, t, value FROM k WHERE anim = 'a0'
+UNION ALL SELECT anim, bone, channel, t * 2, value FROM k WHERE anim = 'a1' AND bone <> 'u1' AND NOT (bone = 'u4' AND channel = 'scale')
+UNION ALL VALUES ('a1', 'u4', 'scale', CAST(NULL AS DOUBLE), 2.0), ('a0', 'extra', 'position', 0.25, 7.0)""", "events")
+def _(events):
+    ops = [
+        {"op": "remove_anim", "anim": "a2"}, {"op": "remove_bone_channel", "anim": "a1", "bone": "u1"}, {"op": "set_constant", "anim": "a1", "bone": "u4", "channel": "scale", "value": 2},
+        {"op": "scale_time", "anim": "a1", "factor": 2.0}, {"op": "set_keyframe", "anim": "a0", "bone": "extra", "channel": "position", "t": 0.25, "value": 7},
+        {"op": "set_keyframe", "anim": "a0", "bone": "extra", "channel": "position", "t": 0.5, "value": 8}, {"op": "remove_keyframe", "anim": "a0", "bone": "extra", "channel": "position", "t": 0.5},
+    ]
+    k = keyframes(events)
+    return R.apply_anim_ops(animations(k), k, ops)[1]
 
 
 @query("try_json", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(props->>'$.k' AS VARCHAR) ELSE 'math.sin(' || event_id || ')' END AS value FROM events", "events")
