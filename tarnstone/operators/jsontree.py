@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnstone.sources.files import parse_json
+
 #: The control types that are known.
 TYPES = (
     "button", "collection_panel", "custom", "dropdown", "edit_box", "factory", "grid", "image", "input_panel", "label", "panel", "screen",
@@ -12,30 +18,51 @@ TYPES = (
 )
 
 
+WALKED = "doc_id long, path string, parent string, full string, bare string, base string, depth int, ord int, type string, node string"
+
+
+def nodes_of(tree: object) -> Iterator[tuple]:
+    """(path, parent, full, bare, base, depth, ord, type, node) of every control of one parsed document, each before its
+    children. node is its JSON text without the children. Any depth: the open controls stand on a list, not on the call stack.
+    """
+    tops = [(None, k, v, 0, i) for i, (k, v) in enumerate(sorted(tree.items()))] if isinstance(tree, dict) else []
+    open_ = tops[::-1]
+    while open_:
+        parent, full, node, depth, place = open_.pop()
+        if not isinstance(node, dict):
+            continue
+        bare, _, base = full.partition("@")
+        path = bare if parent is None else f"{parent}/{bare}"
+        own = {k: v for k, v in node.items() if k != "controls"}
+        kind = own.get("type")
+        kind = kind if isinstance(kind, str) or kind is None else json.dumps(kind)
+        yield path, parent, full, bare, base.split("@")[0] or None, depth, place, kind, json.dumps(own, ensure_ascii=False, separators=(",", ":"))
+        entries = node.get("controls")
+        if isinstance(entries, list):
+            open_ += [(path, k, v, depth + 1, i) for i, e in enumerate(entries) if isinstance(e, dict) for k, v in sorted(e.items())][::-1]
+
+
 def walk(docs: DataFrame, json_col: str = "json") -> DataFrame:
-    """doc_id, path, parent, bare, base, depth, ord, type, node of every control. Bare keys make the path; base follows the @.
+    """doc_id, path, parent, full, bare, base, depth, ord, type, node (a variant) of every control.
 
-    One recursive query over variants: top-level objects first, then each controls array. Comments are stripped before
-    parsing, repeated keys keep the last value, and a text that does not parse has no nodes.
+    Bare keys make the path; base follows the @. A tree is one document, so one task walks it, from its top-level objects
+    through their controls arrays, and no count of rows or levels ends the walk. Comments are allowed outside strings,
+    repeated keys keep the last value, and a null text or one that does not parse has no nodes.
     """
-    spark = docs.sparkSession
-    clean = F.regexp_replace(F.regexp_replace(json_col, r"(?m)^\s*//.*$", ""), r"/\*[\s\S]*?\*/", "")
-    parsed = docs.select("doc_id", F.try_parse_json(clean).alias("tree"))
-    out = spark.sql(
-        """
-        WITH RECURSIVE n(doc_id, path, parent, full, depth, ord, node) AS (
-          SELECT d.doc_id, split_part(e.key, '@', 1), CAST(NULL AS STRING), e.key, 0, CAST(e.pos AS INT), e.value
-          FROM {docs} d, LATERAL variant_explode(d.tree) e WHERE schema_of_variant(e.value) LIKE 'OBJECT%'
-          UNION ALL
-          SELECT n.doc_id, concat(n.path, '/', split_part(k.key, '@', 1)), n.path, k.key, n.depth + 1, CAST(c.pos AS INT), k.value
-          FROM n, LATERAL variant_explode(variant_get(n.node, '$.controls', 'variant')) c, LATERAL variant_explode(c.value) k
-          WHERE schema_of_variant(k.value) LIKE 'OBJECT%'
-        ) SELECT doc_id, path, parent, full, split_part(full, '@', 1) AS bare, nullif(split_part(full, '@', 2), '') AS base,
-                 depth, ord, try_variant_get(node, '$.type', 'string') AS type, node FROM n
-        """,
-        docs=parsed,
-    )
-    return out
+
+    def walked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                try:
+                    tree = parse_json(text)
+                except (ValueError, TypeError, RecursionError):
+                    continue
+                rows += [(doc, *n) for n in nodes_of(tree)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in WALKED.split(", ")])
+
+    out = docs.select("doc_id", F.col(json_col).alias("text")).filter("text IS NOT NULL").mapInPandas(walked, WALKED)
+    return out.withColumn("node", F.parse_json("node"))
 
 
 def properties(nodes: DataFrame) -> DataFrame:
@@ -114,7 +141,20 @@ def dangling_references(nodes: DataFrame) -> DataFrame:
 
 
 def missing_namespace(docs: DataFrame, json_col: str = "json") -> DataFrame:
-    return docs.filter(F.expr(f"try_variant_get(try_parse_json({json_col}), '$.namespace', 'string') IS NULL")).select("doc_id")
+    """Documents whose tree has no namespace, or no tree; comments are allowed."""
+
+    @F.pandas_udf("boolean")
+    def spaced(texts: pd.Series) -> pd.Series:
+        def has(text: str | None) -> bool:
+            try:
+                tree = parse_json(text)
+            except (ValueError, TypeError, RecursionError):
+                return False
+            return isinstance(tree, dict) and tree.get("namespace") is not None
+
+        return texts.map(has)
+
+    return docs.filter(~spaced(json_col)).select("doc_id")
 
 
 def line_lints(lines: DataFrame) -> DataFrame:
@@ -124,6 +164,38 @@ def line_lints(lines: DataFrame) -> DataFrame:
     return lines.filter(~F.col("line").rlike(r"^\s*//")).withColumn("rule", rule).filter("rule IS NOT NULL")
 
 
+def diagnose(docs: DataFrame, json_col: str = "json") -> DataFrame:
+    """doc_id, rule, place of all that the nine rules find: siblings of one key, unknown types, sizes, lone anchors, labels
+    under images, placed children of stacks, dangling references, missing namespaces, and faulty lines."""
+    nodes = walk(docs, json_col)
+    lines = docs.select("doc_id", F.posexplode(F.split(json_col, "\n")).alias("line_no", "line"))
+    found = {
+        "duplicate_key": duplicate_keys(nodes).withColumn("place", F.concat_ws("/", "parent", "bare")),
+        "unknown_type": unknown_types(nodes).withColumn("place", F.col("path")),
+        "size": bad_sizes(nodes).withColumn("place", F.col("path")),
+        "anchors": half_anchored(nodes).withColumn("place", F.col("path")),
+        "layers": hidden_labels(nodes).withColumn("place", F.col("parent")),
+        "stack_child": anchored_stack_children(nodes).withColumn("place", F.col("path")),
+        "reference": dangling_references(nodes).withColumn("place", F.col("path")),
+        "namespace": missing_namespace(docs, json_col).withColumn("place", F.lit("")),
+        "line": line_lints(lines).withColumn("place", F.concat_ws(":", "rule", (F.col("line_no") + 1).cast("string"))),
+    }
+    out = None
+    for name, rows in found.items():
+        one = rows.select("doc_id", F.lit(name).alias("rule"), "place")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def patch_top(tops: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """Top-level keys (doc_id, key, value) after removing some (doc_id, key, full or bare) and adding or replacing others."""
+    bare = lambda c: F.split(c, "@")[0]
+    gone = removed.select("doc_id", F.col("key").alias("name"))
+    left = tops.withColumn("name", bare("key")).join(gone, ["doc_id", "name"], "left_anti").drop("name")
+    left = left.join(removed.select("doc_id", "key"), ["doc_id", "key"], "left_anti").join(added.select("doc_id", "key"), ["doc_id", "key"], "left_anti")
+    return left.unionByName(added.select(*left.columns))
+
+
 def patch_set(props: DataFrame, changes: DataFrame) -> DataFrame:
     """props with the changes' values in place of, or added to, theirs. Both: doc_id, path, key, value."""
     return props.join(changes.select("doc_id", "path", "key"), ["doc_id", "path", "key"], "left_anti").unionByName(changes)
@@ -228,7 +300,7 @@ def apply_patches(root: dict, patches: list[dict]) -> dict:
     return tree
 
 
-#: Template types: the controls of the generated screen, in order.
+#: The template types, and the controls of the generated screen in order.
 TEMPLATES = {
     "screen_basic": ["title", "close_button"],
     "screen_list": ["title", "scroll_view", "list_item"],
@@ -243,8 +315,6 @@ TEMPLATES = {
 
 def generate_ui(template: str, namespace: str, mod: str) -> tuple[str, str, str]:
     """(interface JSON, Python stub, definitions entry) of a screen from a template."""
-    import json
-
     if template not in TEMPLATES:
         raise ValueError(f"unknown template {template!r}")
     kind = {"title": "label", "overlay_label": "label", "scroll_view": "scroll_view", "grid": "grid", "edit_box": "edit_box", "toggle": "toggle"}

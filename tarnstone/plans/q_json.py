@@ -135,7 +135,7 @@ def _(*t):
 
 @query("lint_missing_key", "SELECT CAST(r_regionkey AS BIGINT) AS doc_id FROM region WHERE r_regionkey % 2 <> 0", *ON)
 def _(*t):
-    return J.missing_namespace(documents(*t).withColumn("json", F.regexp_replace("json", "^// a tree", "")))
+    return J.missing_namespace(documents(*t))
 
 
 @query("lint_lines", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'binding' ELSE 'spacing' END AS rule FROM supplier WHERE s_suppkey % 3 < 2 AND s_suppkey % 4 <> 0", "supplier")
@@ -148,15 +148,15 @@ def _(supplier):
 @query("diagnose", f"""WITH {NODES}, {LEAF} SELECT rule, count(*) AS n FROM (
 SELECT 'duplicate_key' AS rule FROM (SELECT doc_id, parent, bare FROM nodes WHERE parent IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
 UNION ALL SELECT 'unknown_type' FROM nodes WHERE type = 'lable' UNION ALL SELECT 'anchors' FROM leaf WHERE (s_suppkey % 3 = 1) <> (s_suppkey % 6 = 1)
-UNION ALL SELECT 'reference' FROM nodes WHERE base = 'missing') GROUP BY rule""", *ON)
+UNION ALL SELECT 'reference' FROM nodes WHERE base = 'missing'
+UNION ALL SELECT 'size' FROM leaf WHERE s_suppkey % 5 = 0 OR s_suppkey + 60 > 100 UNION ALL SELECT 'size' FROM nodes WHERE depth = 0 AND bare <> 'shared'
+UNION ALL SELECT 'layers' FROM leaf GROUP BY doc_id, parent HAVING min(CASE WHEN type = 'label' THEN s_suppkey % 5 END) <= max(CASE WHEN type = 'image' THEN s_suppkey % 5 END)
+UNION ALL SELECT 'stack_child' FROM leaf WHERE s_suppkey % 3 = 1
+UNION ALL SELECT 'namespace' FROM region WHERE r_regionkey % 2 <> 0
+UNION ALL SELECT 'line' FROM region WHERE r_regionkey = 3) GROUP BY rule""", *ON)
 def _(*t):
-    nodes = walked(*t)
-    rules = {"duplicate_key": J.duplicate_keys(nodes), "unknown_type": J.unknown_types(nodes), "anchors": J.half_anchored(nodes), "reference": J.dangling_references(nodes)}
-    out = None
-    for name, found in rules.items():
-        one = found.select(F.lit(name).alias("rule"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    faulty = F.when(F.col("doc_id") == 3, F.concat("json", F.lit('\n// "binding_name": "x"\n'), F.lit('/* kept out of the tree:\n "binding_name": "name" */'))).otherwise(F.col("json"))
+    return J.diagnose(documents(*t).withColumn("json", faulty)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Row-form patches on a property table made from parts.
@@ -187,10 +187,14 @@ def _(part):
     return J.patch_merge(p, some.select("doc_id", "path", F.lit("size").alias("key"), F.lit("merged").alias("value")).unionByName(some.select("doc_id", "path", F.lit("layer").alias("key"), F.lit("1").alias("value"))))
 
 
-@query("patch_top", "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n_name AS key FROM nation WHERE n_nationkey > 3 UNION ALL SELECT 1, 'NEW'", "nation")
-def _(nation):
-    top = nation.select(F.col("n_nationkey").cast("long").alias("doc_id"), F.col("n_name").alias("key"))
-    return top.filter("doc_id > 3").unionByName(nation.sparkSession.createDataFrame([(1, "NEW")], "doc_id long, key string"))
+@query("patch_top", """SELECT CAST(n_regionkey AS BIGINT) AS doc_id, n_name || '@base' AS key, CASE WHEN n_nationkey = 7 THEN 'new' ELSE CAST(n_nationkey AS VARCHAR) END AS value FROM nation WHERE n_nationkey > 3
+UNION ALL SELECT CAST(r_regionkey AS BIGINT), 'extra', 'new' FROM region""", "region", "nation")
+def _(region, nation):
+    at = [F.col("n_regionkey").cast("long").alias("doc_id"), F.concat("n_name", F.lit("@base")).alias("key")]
+    tops = nation.select(*at, F.col("n_nationkey").cast("string").alias("value"))
+    added = nation.filter("n_nationkey = 7").select(*at, F.lit("new").alias("value")).unionByName(region.select(F.col("r_regionkey").cast("long").alias("doc_id"), F.lit("extra").alias("key"), F.lit("new").alias("value")))
+    removed = nation.filter("n_nationkey < 3").select("n_regionkey", F.col("n_name").alias("key")).unionByName(nation.filter("n_nationkey = 3").select("n_regionkey", F.concat("n_name", F.lit("@base")).alias("key")))
+    return J.patch_top(tops, added, removed.withColumnRenamed("n_regionkey", "doc_id"))
 
 
 C_SQL = "c AS (SELECT CAST(n_regionkey AS BIGINT) AS parent, n_name AS key, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS ord FROM nation)"
