@@ -18,6 +18,17 @@ BREAKS = re.compile("[ \t\n，。]")
 _ASCII = re.compile("[A-Za-z][A-Za-z0-9]*|[0-9.]+")
 
 
+def _lines(spark, path: str) -> list[str]:
+    """The lines of one file, in order."""
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()).splitlines()
+
+
+def load_weights(spark, path: str) -> dict[str, float]:
+    """word to weight, from a file of a word and a number a line; other lines are passed over."""
+    rows = [x.split() for x in _lines(spark, path)]
+    return {r[0]: float(r[1]) for r in rows if len(r) == 2 and r[1].replace(".", "", 1).isdigit()}
+
+
 @dataclass
 class Lexicon:
     weight: dict[str, float] = field(default_factory=dict)
@@ -43,6 +54,11 @@ class Lexicon:
         out.longest = max((len(w) for w in out.weight), default=1)
         return out
 
+    @staticmethod
+    def load(spark, path: str, user_path: str | None = None) -> Lexicon:
+        """From dictionary files on any store Spark reads; each is one dictionary, so it is small enough for the driver."""
+        return Lexicon.parse(_lines(spark, path), _lines(spark, user_path) if user_path else ())
+
     def insert(self, word: str, freq: float | None = None, tag: str = "", total: float = 1.0) -> None:
         self.weight[word] = math.log(freq / total) if freq else self.median
         self.tag[word] = tag
@@ -71,6 +87,10 @@ class Markov:
         emit = [{pair.rsplit(":", 1)[0]: float(pair.rsplit(":", 1)[1]) for pair in r.split(",") if ":" in pair} for r in rows[5:9]]
         return Markov(numbers[0], numbers[1:5], emit)
 
+    @staticmethod
+    def load(spark, path: str) -> Markov:
+        return Markov.parse(_lines(spark, path))
+
     def cut(self, text: str) -> list[str]:
         """Letter and number runs stay whole; the rest is cut behind the states E and S of the likeliest path."""
         out, at = [], 0

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnstone.sources.files import stored
+
 CHANNELS = ("rotation", "position", "scale")
 #: Bones of the model templates.
 TEMPLATES = {
@@ -26,14 +28,14 @@ def descendants(bones: DataFrame, top: str) -> DataFrame:
 
     Pointer jumping: each bone points to an ancestor and knows how far it is; in each round all pointers double their reach,
     and those to top, to a bone without a parent or to a parent that does not exist stay. So the rounds grow with the logarithm
-    of the depth, and no count of rows or levels ends them; bones in a circle are under no top.
+    of the depth, each is written before the next, and no count of rows or levels ends them; bones in a circle are under no top.
     """
     known = bones.select(F.col("bone").alias("up"), F.when(F.col("bone") != top, F.col("parent")).alias("next")).dropDuplicates(["up"])
     jumps = bones.filter(F.col("bone") != top).select("bone", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"))
     step = known.filter("next IS NOT NULL").select("up", "next", F.lit(1).cast("long").alias("more"))
-    for _ in range(64):
-        moving = jumps.join(step, "up", "left_semi").limit(1).count()
-        if not moving:
+    for _ in range(bones.count().bit_length() + 1):
+        jumps, step = stored(jumps, "bones"), stored(step, "bone-steps")
+        if jumps.join(step, "up", "left_semi").isEmpty():
             break
         new = jumps.join(step, "up", "left")
         jumps = new.select("bone", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))

@@ -40,7 +40,8 @@ def idf_of(n: Column, df: Column) -> Column:
 
 
 def with_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    return docs.select(F.col(key).alias("doc_id"), tokenize_en(F.col(text)).alias("tokens"))
+    """doc_id, tokens; a null text has none."""
+    return docs.select(F.col(key).alias("doc_id"), tokenize_en(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
 
 
 def term_frequency(tokens: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def matched(docs: DataFrame, terms: list[str], text: str = "text", key: str = "d
     Only query terms are exploded; lengths come from the token array. Statistics are taken within parts.
     """
     parts = parts or []
-    rows = docs.select(*parts, F.col(key).alias("doc_id"), tokenize_en(F.col(text)).alias("tokens"))
+    rows = docs.select(*parts, F.col(key).alias("doc_id"), tokenize_en(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
     rows = rows.select(*parts, "doc_id", F.size("tokens").cast("long").alias("dl"), F.filter("tokens", lambda t: t.isin(terms)).alias("hits"))
     hits = rows.select(*parts, "doc_id", "dl", F.explode("hits").alias("term")).groupBy(*parts, "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
@@ -110,9 +111,9 @@ def query_index(index: Index, query: list[str], top_k: int = -1) -> DataFrame:
 
 
 def fallback(primary: DataFrame, second: DataFrame) -> DataFrame:
-    """The rows of primary, or where it has none those of second, decided in the plan."""
-    both = primary.withColumn("phase", F.lit(1)).unionByName(second.withColumn("phase", F.lit(2)))
-    return both.withColumn("least", F.min("phase").over(Window.partitionBy(F.lit(1)))).filter("phase = least").drop("least")
+    """The rows of primary, or where it has none those of second, decided in the plan by a count of one row at most."""
+    some = primary.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return primary.withColumn("phase", F.lit(1)).unionByName(second.filter(some == 0).withColumn("phase", F.lit(2)))
 
 
 def search_all(docs: DataFrame, bucket: str, query: list[str], top_k: int) -> DataFrame:
@@ -131,13 +132,25 @@ def search_identifiers(rows: DataFrame, column: str, query: str, top_k: int) ->
     return scored.withColumn("tier", tier).orderBy("tier", F.desc("score"), column).limit(top_k)
 
 
-def search_assets(rows: DataFrame, keyword: str, query: list[str], top_k: int, path: str = "path", content: str = "content") -> DataFrame:
-    """path, score: content score plus path score, paths with either."""
+def first_line_with(text: Column, query: list[str], most: int = 160) -> Column:
+    """The first line that has a term of the query in any case, trimmed and cut; empty if none has."""
+    any_of = "|".join("".join(c if c.isalnum() else f"\\{c}" for c in t) for t in unique(query)) or "(?!)"
+    line = F.get(F.filter(F.split(text, "\n"), lambda x: x.rlike(f"(?i){any_of}")), F.lit(0))
+    return F.left(F.trim(F.coalesce(line, F.lit(""))), F.lit(most))
+
+
+def search_assets(rows: DataFrame, keyword: str, query: list[str], top_k: int, path: str = "path", content: str = "content", snippet: bool = False) -> DataFrame:
+    """path, score: content score plus path score, paths with either. snippet: also the first line that matches, looked up
+    after the best are known."""
     by_content = top(bm25(rows, query, text=content, key=path), 4 * top_k if top_k > 0 else 800).select(F.col("doc_id").alias(path), F.col("score").alias("s1"))
     by_path = rows.select(path, path_score(F.col(path), keyword, query).alias("s2")).filter("s2 > 0")
     both = by_content.groupBy(path).agg(F.sum("s1").alias("s1")).join(by_path.groupBy(path).agg(F.max("s2").alias("s2")), path, "full_outer")
     scored = both.select(path, (F.coalesce("s1", F.lit(0.0)) + F.coalesce("s2", F.lit(0.0))).alias("score"))
-    return top(scored, top_k if top_k > 0 else 200, path)
+    best = top(scored, top_k if top_k > 0 else 200, path)
+    if not snippet:
+        return best
+    shown = rows.join(F.broadcast(best), path).select(path, "score", first_line_with(F.col(content), [*query, keyword]).alias("snippet"))
+    return shown.orderBy(F.desc("score"), path)
 
 
 def query_tokens(text: str, mode: str = "auto", second: bool = False, chinese=None) -> list[str]:

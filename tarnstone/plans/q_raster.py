@@ -46,9 +46,9 @@ def _(e):
     return R.draw(p, p.select("canvas").distinct().join(F.broadcast(cmds.withColumn("k", F.lit(1))), F.lit(1) == F.col("k")).drop("k"))
 
 
-@query("draw_line", painted("(x, y) IN ((0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3), (7, 3))", RED).replace("(1, 0), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3)", ", ".join(f"({x}, {y})" for x, y in R.line_cells(0, 0, 7, 3)[1:-1])), *E)
+@query("draw_line", painted("(x BETWEEN 0 AND 7 AND y = CAST(round(x * 3 / 7.0) AS INTEGER)) OR (y BETWEEN 0 AND 6 AND x = 6 - CAST(round(y * 2 / 6.0) AS INTEGER))", RED), *E)
 def _(e):
-    return R.draw_cells(pixels(e), R.line_cells(0, 0, 7, 3), RED)
+    return R.draw_cells(R.draw_cells(pixels(e), R.line_cells(0, 0, 7, 3), RED), R.line_cells(4, 6, 6, 0), RED)
 
 
 @query("draw_rect", painted("x BETWEEN 1 AND 5 AND y BETWEEN 2 AND 6 AND (x IN (1, 5) OR y IN (2, 6))", RED), *E)
@@ -145,9 +145,14 @@ def _(e):
     return R.color_count(pixels(e))
 
 
-@query("alpha_blend", f"WITH {P} SELECT p.canvas, p.x, p.y, " + ", ".join(f"CASE WHEN p.a > 0 THEN p.{c} WHEN u.a > 0 THEN u.{c} ELSE 0 END AS {c}" for c in "rgb") + ", CASE WHEN p.a > 0 OR u.a > 0 THEN 255 ELSE 0 END AS a FROM p JOIN p u ON u.canvas = p.canvas AND u.x = 7 - p.x AND u.y = p.y", *E)
+BLEND = "(sa + da * (1 - sa))"
+
+
+@query("alpha_blend", f"""WITH {P}, v AS (SELECT canvas, x, y, r, g, b, (x * 37 + y * 11) % 256 AS a FROM p), u AS (SELECT canvas, 7 - x AS x, y, r AS ur, g AS ug, b AS ub, a AS ua FROM v),
+m AS (SELECT *, a / 255.0::DOUBLE AS sa, ua / 255.0::DOUBLE AS da FROM v JOIN u USING (canvas, x, y))
+SELECT canvas, x, y, """ + ", ".join(f"CAST(CASE WHEN {BLEND} = 0 THEN 0 ELSE floor(({c} * sa + u{c} * da * (1 - sa)) / {BLEND} + 1e-9) END AS INTEGER) AS {c}" for c in "rgb") + f", CAST(floor({BLEND} * 255 + 1e-9) AS INTEGER) AS a FROM m", *E)
 def _(e):
-    p = pixels(e)
+    p = pixels(e).withColumn("a", ((F.col("x") * 37 + F.col("y") * 11) % 256).cast("int"))
     return R.alpha_blend(p, R.flip(p, True, 8, 8))
 
 

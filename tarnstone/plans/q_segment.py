@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from tarnstone.functions import segment as G
 from tarnstone.functions.text import tokenize_en
 from tarnstone.operators import search as S
-from tarnstone.plans.base import QUERIES, query, table
+from tarnstone.plans.base import QUERIES, query, shared_folder, table
 
 #: A small dictionary and model for the queries; users bring their own.
 WORDS = ["今天 900 t", "天气 800 n", "很好 700 a", "我们 950 r", "实体 500 n", "组件 400 n", "实体组件 60 n", "渲染 300 v", "控制器 200 n", "控制 350 v"]
@@ -60,10 +59,20 @@ def _(docs):
     return docs.filter("text IS NOT NULL").select("doc_id", tokenize_en(F.col("text")).alias("words")).mapInPandas(ranked, "doc_id long, word string, weight double")
 
 
-@query("dict_lookup", "SELECT n_name, CAST(length(n_name) AS DOUBLE) AS weight FROM nation WHERE n_nationkey % 2 = 0", "nation")
-def _(nation):
-    inserted = nation.filter("n_nationkey % 2 = 0").select("n_name", F.length("n_name").cast("double").alias("weight"))
-    return nation.select("n_name").join(F.broadcast(inserted), "n_name")
+@query("dict_lookup", """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM documents)
+SELECT word, word IN ('the', 'and', 'of', 'de') AS known, word IN ('the', 'de') AS own FROM w""")
+def _(docs):
+    """The distinct words of all texts, looked up in a dictionary that has had words inserted and deleted."""
+
+    def looked_up(parts):
+        lexicon = G.Lexicon.parse(["the 100 d", "and 50 c", "of 25 p", "la 10 d", "to 5 p"])
+        lexicon.insert("the"), lexicon.insert("de", 7.0, "p")
+        lexicon.delete("la"), lexicon.delete("to"), lexicon.delete("no such word")
+        for pdf in parts:
+            yield pdf.assign(known=[lexicon.find(w) for w in pdf["word"]], own=[lexicon.find(w) and w in lexicon.user for w in pdf["word"]])
+
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("word")).distinct()
+    return words.mapInPandas(looked_up, "word string, known boolean, own boolean")
 
 
 @query("fingerprint_fnv", None, "nation")
@@ -72,8 +81,7 @@ def _(nation):
 
 
 def _index_folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="tarnstone-index-")
-    return f"{base}/index-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
 
 
 def _index_restore(spark, sf_dir):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
-from tarnstone.plans.base import ORACLE_SQL, QUERIES, query
+from tarnstone.plans.base import ORACLE_SQL, QUERIES, query, shared_folder
 from tarnstone.streaming import counters as C
 
 EV = ("events",)
@@ -61,10 +61,7 @@ def _(events):
 
 def _stream_tool_counts(spark, sf_dir):
     """A file stream counted with state and a checkpoint, flushed, and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="tarnstone-stream-")
-    import uuid
-
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = C.stream_events(spark, sf_dir if not _is_dir(spark, f"{sf_dir}/events.parquet") else f"{sf_dir}/events.parquet", schema, "events.parquet" if not _is_dir(spark, f"{sf_dir}/events.parquet") else "*")
     C.count_stream(events, f"{folder}/checkpoint", f"{folder}/counts").awaitTermination()
@@ -80,3 +77,19 @@ def _is_dir(spark, path: str) -> bool:
 
 QUERIES["stream_tool_counts"] = _stream_tool_counts
 ORACLE_SQL["stream_tool_counts"] = "SELECT event_type AS tool, count(*) AS total FROM events GROUP BY event_type"
+
+
+def _stream_windows(spark, sf_dir):
+    """Windows of a stream under a watermark, each written once when it closes; what the watermark still holds back, from the table."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path, whole = f"{sf_dir}/events.parquet", _is_dir(spark, f"{sf_dir}/events.parquet")
+    table = spark.read.parquet(path)
+    events = C.stream_events(spark, path if whole else sf_dir, table.schema, "*" if whole else "events.parquet")
+    C.window_stream(events, f"{folder}/checkpoint", f"{folder}/windows").awaitTermination()
+    closed = spark.read.schema("start timestamp, tool string, n long").parquet(f"{folder}/windows")
+    windows = C.tumbling(table.withColumn("ts", F.col("ts").cast("timestamp")))
+    return closed.unionByName(windows.join(closed, ["start", "tool"], "left_anti")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+QUERIES["stream_windows"] = _stream_windows
+ORACLE_SQL["stream_windows"] = "SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS start, event_type AS tool, count(*) AS n FROM events GROUP BY ALL"

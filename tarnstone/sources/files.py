@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,23 @@ KEEP_EXTENSIONS = ("json", "fragment", "vertex", "material", "h", "lang")
 KEEP_NAMES = ("manifest.json", "contents.json")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Unset, a session on one machine gets a temporary one; a cluster must name one."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tarnstone-")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, which cuts its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/tarnstone/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """path (under root), modified, content (text) of all files under root; unreadable bytes become replacement marks."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
@@ -62,6 +81,26 @@ def pretty(tree: Any, indent: int = 2) -> str:
     return json.dumps(tree, indent=indent, ensure_ascii=False, sort_keys=True)
 
 
+def write_json(spark: SparkSession, trees: DataFrame, folder: str, indent: int = 2) -> None:
+    """Writes each tree (path, json) to its own file under a folder on any store Spark writes to, laid out anew.
+
+    A file is written beside its place and renamed, so a reader sees the old one or the new one. A path that leaves the folder
+    raises, and so does a text that is no JSON; files before it are written then.
+    """
+    jvm = spark.sparkContext._jvm
+    store = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for row in trees.select("path", "json").toLocalIterator():
+        if ".." in row["path"] or row["path"].startswith("/"):
+            raise ValueError(f"not a path under the folder: {row['path']!r}")
+        body = pretty(parse_json(row["json"]), indent).encode()
+        place, beside = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['path']}{end}") for end in ("", ".new"))
+        out = store.create(beside, True)
+        out.write(body)
+        out.close()
+        store.delete(place, False)
+        store.rename(beside, place)
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Pixels of image files, by Spark's image source."""
     from tarnstone.operators.raster import from_images

@@ -55,6 +55,15 @@ def count_stream(events: DataFrame, checkpoint: str, sink: str):
     return counts.writeStream.outputMode("complete").foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def window_stream(events: DataFrame, checkpoint: str, sink: str, every: str = FLUSH, late: str = "10 minutes"):
+    """start, tool, n of fixed windows of a stream, appended when the watermark passes a window's end.
+
+    Events that come later than `late` behind the newest one seen, after their window was written, are left out of it.
+    """
+    counted = tumbling(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), every)
+    return counted.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def session_states(events: DataFrame) -> DataFrame:
     """session, event_id, accepted: a request counts only after its session has begun; 'view' begins one, 'click' needs none."""
     so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -67,3 +67,49 @@ def test_service(spark, tree):
     assert [(r.kind, r.name) for r in service.list_knowledge("BedrockWiki").collect()] == [("file", "a.md"), ("file", "b.md")]
     with pytest.raises(ValueError):
         service.read_knowledge("../x")
+    # The event's name scores by the hundred, so it leads all contents.
+    every = service.search_all("onplayer", 5).collect()
+    assert every[0].score == 1000 - (len("OnPlayerAttackEvent") - len("onplayer")) and every[0].file == "docs/事件/e.md"
+    assert [r.snippet for r in service.search_game_assets("snow golem", 0, 2).collect() if r.path.endswith("snow.lang")] == ["golem snow golem"]
+    assert service.read_resource("file:///BedrockWiki/b.md").first().text.startswith("## Other") and service.resources().count() == 7
+    assert service.call("search_wiki", {"keyword": "loot table", "top_k": 1}).count() == 1
+    for tool, arguments in (("search_wiki", {}), ("search_wiki", {"keyword": ""}), ("search_wiki", {"keyword": "a", "other": 1}), ("none", {}), ("read_resource", {"uri": "file:///../x"})):
+        with pytest.raises(ValueError):
+            service.call(tool, arguments)
+
+
+def test_files_written_and_loaded(spark, tmp_path):
+    from tarnstone.functions.segment import Lexicon, load_weights
+    from tarnstone.sources.files import write_json
+
+    (tmp_path / "old.json").write_text("[]")
+    rows = [("old.json", '{"b": 1, // said\n "a": "/* kept */"}'), ("deep/new.json", '{"a": [1, 2], "a": "last"}')]
+    write_json(spark, spark.createDataFrame(rows, "path string, json string"), f"file://{tmp_path}")
+    assert (tmp_path / "old.json").read_text() == '{\n  "a": "/* kept */",\n  "b": 1\n}' and (tmp_path / "deep/new.json").read_text() == '{\n  "a": "last"\n}'
+    with pytest.raises(ValueError):
+        write_json(spark, spark.createDataFrame([("../x.json", "{}")], "path string, json string"), f"file://{tmp_path}")
+    (tmp_path / "words").write_text("the 10 d\nand 5 c\n")
+    (tmp_path / "own").write_text("tarn 7 n\nstone\n")
+    lexicon = Lexicon.load(spark, str(tmp_path / "words"), str(tmp_path / "own"))
+    assert set(lexicon.weight) == {"the", "and", "tarn", "stone"} and lexicon.user == {"tarn", "stone"}
+    (tmp_path / "idf").write_text("the 1.5\nbroken\nand 2\n")
+    assert load_weights(spark, str(tmp_path / "idf")) == {"the": 1.5, "and": 2.0}
+
+
+def test_trees_and_bones_beyond_the_row_limits(spark):
+    from tarnstone.operators.jsontree import walk
+    from tarnstone.operators.rig import descendants
+
+    deep = '{"type": "panel"}'
+    for i in range(300):
+        deep = f'{{"controls": [{{"c{i}": {deep}}}]}}'
+    text = f'{{"top": {deep}, "note": "no // comment, no /* comment */"}} // the end'
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")
+    try:
+        nodes = walk(spark.createDataFrame([(1, text), (2, None), (3, "{broken"), (4, '{"a": {"text": "x /* y */ z"}}')], "doc_id long, json string"))
+        assert {r.doc_id: (r.n, r.d) for r in nodes.groupBy("doc_id").agg({"path": "count", "depth": "max"}).toDF("doc_id", "n", "d").collect()} == {1: (301, 300), 4: (1, 0)}
+        assert nodes.filter("doc_id = 4").selectExpr("variant_get(node, '$.text', 'string') AS t").first().t == "x /* y */ z"
+        bones = spark.createDataFrame([(f"b{i}", f"b{i - 1}" if i else None) for i in range(130)] + [("x", "y"), ("y", "x"), ("lost", "nowhere"), ("twig", "b5")], "bone string, parent string")
+        assert {r.bone: r.depth for r in descendants(bones, "b3").collect()} == {f"b{i}": i - 3 for i in range(4, 130)} | {"twig": 3}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")

@@ -9,7 +9,7 @@ def test_every_term_is_returned(spark, tmp_path):
     texts = {1: "the nation ate tion cake the end", 2: "cake and thyme", 3: "", 4: None}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {(d, t): n for d, text in texts.items() for t, n in Counter((text or "").split()).items()}
-    rows = entry.queries()["term_frequency_all"](spark, str(tmp_path)).collect()
+    rows = entry.queries()["term_frequency"](spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.term): r.tf for r in rows} == want and len(rows) == len(want)
-    lists = {r.term: r.postings for r in entry.queries()["inverted_index_all"](spark, str(tmp_path)).collect()}
+    lists = {r.term: r.postings for r in entry.queries()["inverted_index"](spark, str(tmp_path)).collect()}
     assert lists == {t: " ".join(f"{d}:{want[d, t]}" for d in sorted(d for d, x in want if x == t)) for t in {t for _, t in want}}
