@@ -18,7 +18,7 @@ from tarnstone.llm.common import read_table
 
 MODEL = "word_bpe_49k.json"
 #: Characters of words (with a share for each entry), and token pairs, that a worker remembers; both memories are emptied when full, results do not depend on them.
-CACHE_CHARS = 60_000_000
+CACHE_CHARS = 50_000_000
 CACHE_PAIRS = 400_000
 
 
@@ -148,6 +148,10 @@ class WordCodec:
                 else:
                     stack.append((depth + 1, s, child))
 
+    def forget(self) -> None:
+        """Words and pairs go, the vocabulary stays: what an idle worker holds is bounded by the vocabulary."""
+        self.words, self.pairs, self.size = {}, {}, 0
+
     def keep(self, word: str, tokens: list[str]) -> None:
         self.size += len(word) + 8 * len(tokens) + 80
         self.words[word] = tuple(map(self.numbers.__getitem__, tokens))
@@ -189,7 +193,7 @@ class WordCodec:
 
 @cache
 def codec_of(model_path: str) -> WordCodec:
-    """One codec a worker process, so that its tasks share what it has learnt."""
+    """One codec a worker process, so that its tasks read the vocabulary once."""
     return WordCodec(model_path)
 
 
@@ -210,9 +214,12 @@ def encode_decode(docs: DataFrame, text_col: str = "text", model_path: str | Non
     def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = codec_of(model_path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for s in texts:
-            rows = [(n, sha(i), sha(d)) if digests else (n, i, d) for i, d, n in codec.encode_batch(s)]
-            yield pd.DataFrame(rows, columns=["n_tokens", *second])
+        try:
+            for s in texts:
+                rows = [(n, sha(i), sha(d)) if digests else (n, i, d) for i, d, n in codec.encode_batch(s)]
+                yield pd.DataFrame(rows, columns=["n_tokens", *second])
+        finally:
+            codec.forget()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("doc_id"), encoded(text).alias("e")).select("doc_id", "e.*")

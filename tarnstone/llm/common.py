@@ -21,9 +21,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one is set for the session."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a session on one machine (tests) gets a temporary one; a cluster
+    has no folder that all its machines see, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tarnstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -37,7 +40,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnstone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Zstandard gives its buffers back at once; the default codec leaves them outside the heap until a collection.
+    df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -29,6 +29,8 @@ BINS = 64
 #: Variance below which a statistic is not told apart, added to the diagonal. The shares of repeated lines and words get a
 #: wide one: repetition by itself is left to the base rule and to deduplication.
 FLOORS = (0.01, 0.0025, 0.09, 2.25, 2.25)
+#: Parts up to which their models, of 21 numbers each, are broadcast; with more, rows are joined with them by part.
+BROADCAST_PARTS = 20_000
 DIMS = range(5)
 PAIRS = [(i, j) for i in DIMS for j in DIMS if j <= i]
 
@@ -118,9 +120,15 @@ def _distance() -> Column:
     return z
 
 
+def _few(staged: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """rows (else the staged table), of one row a part: broadcast if the staged table is counted to have few parts."""
+    rows = staged if rows is None else rows
+    return F.broadcast(rows) if staged.count() <= BROADCAST_PARTS else rows
+
+
 def with_distance(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """rows with d2; null where the model has no estimate. The model has a row a group; Spark broadcasts it only if it is small."""
-    out = rows.join(model, "part", "left")
+    """rows with d2; null where the staged model has no estimate."""
+    out = rows.join(_few(model), "part", "left")
     for i, z in enumerate(_distance()):
         out = out.withColumn(f"z{i}", z)
     return out.select(*rows.columns, sum((F.col(f"z{i}") * F.col(f"z{i}") for i in DIMS[1:]), F.col("z0") * F.col("z0")).alias("d2"))
@@ -151,7 +159,7 @@ def fit(stats: DataFrame, name: str = "quality") -> DataFrame:
     wide = lambda df, p: df.groupBy("part").agg(*[F.max(F.when(F.col("i") == i, (F.col("bin") + 0.5) / BINS)).alias(f"{p}{i}") for i in DIMS])
     binned = lambda x: F.floor(x * BINS).alias("bin")
     centre = stage(wide(_quantile(long(stats, [f"x{i}" for i in DIMS]).select("part", "i", binned(F.col("x"))), ["part", "i"], 0.5), "c"), f"{name}-centre")
-    rows = stats.select("part", *[f"x{i}" for i in DIMS]).join(centre, "part")
+    rows = stats.select("part", *[f"x{i}" for i in DIMS]).join(_few(centre), "part")
     off = long(rows, [F.abs(F.col(f"x{i}") - F.col(f"c{i}")) for i in DIMS]).select("part", "i", binned(F.col("x")))
     spread = wide(_quantile(off, ["part", "i"], 0.5), "s")
     scale = [F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i]) for i in DIMS]
@@ -161,7 +169,7 @@ def fit(stats: DataFrame, name: str = "quality") -> DataFrame:
     for _ in range(STEPS):
         near = with_distance(rows, model).withColumn("bin", bin_of)
         most = _quantile(near.select("part", "bin"), ["part"], COVER).withColumnRenamed("bin", "most")
-        model = stage(_estimate(near.join(most, "part").filter("bin <= most"), CONSISTENT_75), f"{name}-step")
+        model = stage(_estimate(near.join(_few(model, most), "part").filter("bin <= most"), CONSISTENT_75), f"{name}-step")
     return stage(_estimate(with_distance(rows, model).filter(F.col("d2") <= CHI2_975), CONSISTENT_975), f"{name}-model")
 
 
@@ -171,8 +179,10 @@ def judge(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cutof
     kept is false if the base rules fail, else unless the squared distance d2 from the robust centre of the document's
     language and source exceeds the cutoff. Estimates use the documents that pass the base rules; groups too small for one
     take that of their language, and languages too small for one that of all documents. Only if all that pass are fewer
-    than least_language, d2 is null and the base rules decide alone. A null or empty text has no words and fails; null languages and sources form groups of their own; repeated rows are each judged;
-    other columns are not looked at; an empty table gives an empty one.
+    than least_language, d2 is null and the base rules decide alone. A null or empty text has no words and fails; null
+    languages and sources form groups of their own; repeated rows are each judged; very long texts are judged whole, by
+    hashes of at least 44 bits inside one text of up to a million words; other columns are not looked at; an empty table
+    gives an empty one.
     """
     stats = statistics(docs, text_col, id_col)
     stats = stage(stats.select("*", base_failed().alias("base_failed"), *vector()), "quality-stats")
