@@ -229,7 +229,7 @@ def _(events):
     return events.select("event_id", raw.alias("raw")).select("event_id", F.coalesce(F.expr("try_variant_get(try_parse_json(raw), '$.k', 'string')"), F.col("raw")).alias("value"))
 
 
-@query("time_key", None, "events")
+@query("time_key", f"WITH {K_SQL} SELECT DISTINCT t, CASE WHEN t = 0 THEN '0' ELSE rtrim(rtrim(printf('%.4f', t), '0'), '.') END AS key FROM k", "events")
 def _(events):
     times = keyframes(events).select("t").distinct()
     return times.mapInPandas(lambda parts: (p.assign(key=[R.time_text(x) for x in p["t"]]) for p in parts), "t double, key string")

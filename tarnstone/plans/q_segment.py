@@ -75,9 +75,15 @@ def _(docs):
     return words.mapInPandas(looked_up, "word string, known boolean, own boolean")
 
 
-@query("fingerprint_fnv", None, "nation")
-def _(nation):
-    return nation.mapInPandas(lambda parts: (pd.DataFrame({"n_name": p["n_name"], "hash": [G.fnv1a(x.encode()) for x in p["n_name"]]}) for p in parts), "n_name string, hash string")
+FNV = """lpad(lower(to_hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::HUGEINT)),
+lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT)), 16, '0')"""
+
+
+@query("fingerprint_fnv", f"SELECT p_partkey, {FNV} AS hash FROM (SELECT p_partkey, p_name || ':' || p_size AS s FROM part)", "part")
+def _(part):
+    """The fingerprint by which a watcher sees that a file (here a part's name and size) has changed."""
+    said = part.select("p_partkey", F.concat_ws(":", "p_name", F.col("p_size").cast("string")).alias("s"))
+    return said.mapInPandas(lambda parts: (pd.DataFrame({"p_partkey": p["p_partkey"], "hash": [G.fnv1a(x.encode()) for x in p["s"]]}) for p in parts), "p_partkey long, hash string")
 
 
 def _index_folder(spark) -> str:
