@@ -203,7 +203,7 @@ def duplicate_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     lines = stage(line_sets(docs, similarity), "line-keys")
     # Lines with equal token sets: the first one stands for all from here on.
     at = F.min(F.struct("doc_id", "tkey", "line_no")).alias("at")
-    sets = lines.repartition("s1", "s2").groupBy("s1", "s2").agg(at, F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "sign", "half", "prefix")])
+    sets = lines.groupBy("s1", "s2").agg(at, F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "sign", "half", "prefix")])
     sets = stage(sets.select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "at.*", "copies", "n", "sign", "half", "prefix"), "line-sets")
     light = stage(lines.select("doc_id", "tkey", "line_no", "s1", "s2"), "line-light")
     unstage(lines)
