@@ -10,7 +10,9 @@ from tarnstone.llm.common import read_table, stage
 from tarnstone.llm.quality_rules import let
 from tarnstone.llm.repeats import NO_ID
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "term", "secret")
+#: Numbers of the kinds that patterns find; the first four are the base.
+PROTECTED = (0, 1, 2, 3, 5)
 #: The base patterns. A match is tried only where a run of its leading class begins or the last match ended, and repeats
 #: are possessive: the same leftmost matches, in linear time on long runs.
 PATTERNS = {
@@ -18,6 +20,8 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    # Letters and digits mixed over 32 characters or more: no word of a language, but a key that names one thing alone.
+    "secret": r"(?<![A-Za-z0-9_-])(?=[_-]*+[A-Za-z][A-Za-z_-]*+[0-9]|[_-]*+[0-9][0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{32,}+",
 }
 #: A text without these cannot match.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
@@ -63,7 +67,8 @@ def base_matches(docs: DataFrame) -> DataFrame:
     are the neighbouring pieces' nearest CONTEXT code points.
     """
     each = []
-    for no, kind in enumerate(KINDS[:4]):
+    for no in PROTECTED:
+        kind = KINDS[no]
         pattern = PATTERNS[kind]
         some = docs.filter(F.col("text").contains(HINTS[kind])) if kind in HINTS else docs
         some = some.filter(F.col("text").rlike(pattern))
@@ -79,14 +84,14 @@ def base_matches(docs: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("doc_id", "tkey", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("end", F.sum(F.col("gap") + F.length("m")).over(so_far).cast("int"))
     keep = F.lit(False)
-    for no, kind in enumerate(KINDS[:4]):
-        keep = F.when(F.col("kind") == no, _valid(kind, F.col("m"))).otherwise(keep)
+    for no in PROTECTED:
+        keep = F.when(F.col("kind") == no, _valid(KINDS[no], F.col("m"))).otherwise(keep)
     return found.filter(keep).select("doc_id", "tkey", "kind", (F.col("end") - F.length("m")).alias("start"), "end", F.col("m").alias("value"), "before", "after")
 
 
 def _held(base: DataFrame) -> DataFrame:
     """tkey, unit, entity, context of the texts with base spans. Texts of the same entities in the same contexts are one unit."""
-    entity = F.concat(F.col("kind").cast("string"), F.lit(":"), F.lower(F.when(F.col("kind") == 0, F.col("value")).otherwise(F.regexp_replace("value", "[^0-9]", ""))))
+    entity = F.concat(F.col("kind").cast("string"), F.lit(":"), F.lower(F.when(F.col("kind").isin(0, 5), F.col("value")).otherwise(F.regexp_replace("value", "[^0-9]", ""))))
     held = base.select("tkey", entity.alias("entity"), F.xxhash64("before", "after").alias("context")).distinct()
     unit = held.groupBy("tkey").agg(F.xxhash64(F.array_sort(F.collect_set(F.struct("entity", "context")))).alias("unit"))
     return stage(held.join(unit, "tkey"), "pii-entities")
@@ -157,7 +162,7 @@ def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """One row a document: doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans.
+    """One row a document: doc_id, n_email, n_ip, n_card, n_phone, n_term, n_secret, n_private (all spans), base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, by kind in the order of KINDS, then start, joined by commas.
     A null or empty text has none; repeated rows are each reported; other columns are not looked at; long runs of one
@@ -170,7 +175,7 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", suppor
     text = lambda some: F.array_join(F.transform(some, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda no: F.size(F.filter("spans", lambda s: s["kind"] == no)).cast("long")
     return found.select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), *[count(no).alias(f"n_{kind}") for no, kind in enumerate(KINDS)],
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), *[count(no).alias(f"n_{kind}") for no, kind in enumerate(KINDS)], F.size("spans").cast("long").alias("n_private"),
         F.sha2(text(F.filter("spans", lambda s: s["kind"] < 4)), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
     )
 
@@ -181,7 +186,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", su
     rows = _keyed(docs, text_col, id_col)
     ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["share"].alias("share"))))
     found = find_spans(rows, support, disclosure).select("doc_id", "tkey", ordered.alias("spans"))
-    text, names = F.col("text"), F.array(*[F.lit(f"[{k}]") for k in KINDS[:4]], F.lit("[word]"))
+    text, names = F.col("text"), F.array(*[F.lit(f"[{k}]") for k in KINDS[:4]], F.lit("[word]"), F.lit("[secret]"))
     mark = lambda s: F.when((s["kind"] == 4) & (s["share"] >= removal), F.lit("")).otherwise(F.get(names, s["kind"]))
     step = lambda a, s: F.when(s["start"] < a["e"], F.struct(a["t"].alias("t"), F.greatest(a["e"], s["end"]).alias("e"))).otherwise(F.struct(F.concat(a["t"], F.substring(text, a["e"] + 1, s["start"] - a["e"]), mark(s)).alias("t"), s["end"].alias("e")))
     clean = F.aggregate("spans", F.struct(F.lit("").alias("t"), F.lit(0).alias("e")), step, lambda a: F.concat(a["t"], F.substring(text, a["e"] + 1, F.length(text))))

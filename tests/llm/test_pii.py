@@ -100,3 +100,11 @@ def test_copies_hide_no_term(spark):
         rows.append((500 + i, " ".join(rnd.choices(vocab, k=20)) + " Snowdrop ed@whistle.org " + " ".join(rnd.choices(vocab, k=20))))
     got = scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.n_term == (r.doc_id >= 100) for r in got), [r for r in got if r.n_term != (r.doc_id >= 100)][:3]
+
+
+def test_keys_are_secrets(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'a token = "{key}" here'), (2, "a" * 60 + " " + "7" * 60 + " " + "_" * 40), (3, key[:31]), (4, f"{key}.{key}"), (5, f"me@{key}.org {'-' * 50}")]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: r.n_secret for d, r in got.items()} == {1: 1, 2: 0, 3: 0, 4: 2, 5: 1} and got[1].spans == "secret:11:51" and got[5].n_email == 1
+    assert sanitise(spark.createDataFrame(rows[:1], "doc_id long, text string")).first().text == 'a token = "[secret]" here'
