@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_line_dedup import brute as deduped
 from tests.llm.test_ngram_join import brute as linked
@@ -104,13 +105,12 @@ def test_each_stage(spark, sf):
     assert sorted(last, key=repr) == sorted(((d, len(i), sha(" ".join(map(str, i))), sha(TOKENIZER.decode(i, skip_special_tokens=False))) for d, i in ids), key=repr)
 
 
-def test_run(spark, sf):
-    got = corpus_pipeline.run(spark, sf)
-    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for name, step in corpus_pipeline.STAGES:
-        docs = step(spark, docs, sf) if name == "bpe" else corpus_pipeline.stage(step(spark, docs, sf), f"test-{name}")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+def test_run_applies_the_stages_in_order(spark, sf, monkeypatch):
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "decontamination", "bpe"]
+    step = lambda word: lambda spark, docs, sf_dir: docs.filter(F.col("doc_id") % (7 if word == "b" else 3) != 0).withColumn("text", F.concat("text", F.lit(word)))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", step("a")), ("b", step("b")), ("c", lambda spark, docs, sf_dir: docs.select("doc_id", F.right("text", F.lit(2)).alias("end")))])
+    got = {r.doc_id: r.end for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == {r.doc_id: "ab" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect() if r.doc_id % 3 and r.doc_id % 7}
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None, 1, "")], [(1, None, "en", "s", 0, 1, ""), (1, "", "en", "s", 0, 1, ""), (1, "", "en", "s", 0, 1, "")]])
