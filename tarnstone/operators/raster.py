@@ -183,6 +183,17 @@ def color_count(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("canvas").agg(F.countDistinct(*RGBA).alias("colors"))
 
 
+def canvas_info(pixels: DataFrame) -> DataFrame:
+    """canvas, width, height, pixels, colors."""
+    size = [(F.max(c) + 1).cast("long").alias(n) for c, n in (("x", "width"), ("y", "height"))]
+    return pixels.groupBy("canvas").agg(*size, F.count(F.lit(1)).alias("pixels"), F.countDistinct(*RGBA).alias("colors"))
+
+
+def idle_canvases(used: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """canvas, last: canvases whose last use (canvas, ts) lies further back, which their owner may have left open."""
+    return used.groupBy("canvas").agg(F.max("ts").alias("last")).filter(F.col("last") < now - F.expr(f"INTERVAL {int(minutes)} MINUTES"))
+
+
 def alpha_blend(top: DataFrame, under: DataFrame) -> DataFrame:
     """top over under, straight alpha."""
     f = lambda c: F.col(c).cast("double")
@@ -209,6 +220,14 @@ def _frame(canvas, grid: np.ndarray) -> pd.DataFrame:
     return out
 
 
+def _back(pdf: pd.DataFrame, grid: np.ndarray) -> pd.DataFrame:
+    """The places that the canvas has, with their colours from the grid: a sparse canvas gains none."""
+    out = pdf[list(XY)].reset_index(drop=True)
+    for i, c in enumerate(RGBA):
+        out[c] = grid[pdf["y"], pdf["x"], i]
+    return out
+
+
 SCHEMA = "canvas long, x int, y int, r int, g int, b int, a int"
 
 
@@ -218,9 +237,11 @@ def flood_fill(pixels: DataFrame, x: int, y: int, colour, tolerance: int = 0) ->
     def filled(key, pdf: pd.DataFrame) -> pd.DataFrame:
         grid = _grids(pdf)
         if 0 <= y < grid.shape[0] and 0 <= x < grid.shape[1] and tuple(grid[y, x]) != tuple(colour):
-            like = np.abs(grid - grid[y, x]).sum(axis=2) <= tolerance
+            there = np.zeros(grid.shape[:2], bool)
+            there[pdf["y"], pdf["x"]] = True
+            like = there & (np.abs(grid - grid[y, x]).sum(axis=2) <= tolerance)
             front = np.zeros(like.shape, bool)
-            front[y, x] = True
+            front[y, x] = there[y, x]
             area = front.copy()
             while front.any():
                 near = np.zeros_like(front)
@@ -231,7 +252,7 @@ def flood_fill(pixels: DataFrame, x: int, y: int, colour, tolerance: int = 0) ->
                 front = near & like & ~area
                 area |= front
             grid[area] = colour
-        return _frame(key[0], grid)
+        return _back(pdf, grid)
 
     return pixels.groupBy("canvas").applyInPandas(filled, SCHEMA)
 
@@ -252,7 +273,7 @@ def dither(pixels: DataFrame, palette: list[tuple[int, int, int, int]]) -> DataF
                     if 0 <= x + dx < w and y + dy < h:
                         cell = grid[y + dy, x + dx]
                         cell[:3] = np.clip(cell[:3] + (old - new)[:3] * part / 16, 0, 255)
-        return _frame(key[0], grid.astype(np.int64))
+        return _back(pdf, grid.astype(np.int64))
 
     return pixels.groupBy("canvas").applyInPandas(spread, SCHEMA)
 

@@ -145,6 +145,16 @@ def _(e):
     return R.color_count(pixels(e))
 
 
+@query("canvas_info", f"WITH {P} SELECT canvas, CAST(max(x) + 1 AS BIGINT) AS width, CAST(max(y) + 1 AS BIGINT) AS height, count(*) AS pixels, count(DISTINCT (r, g, b, a)) AS colors FROM p GROUP BY canvas", *E)
+def _(e):
+    return R.canvas_info(pixels(e))
+
+
+@query("canvas_idle", "SELECT user_id AS canvas, max(ts) AS last FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE", "events")
+def _(events):
+    return R.idle_canvases(events.select(F.col("user_id").alias("canvas"), "ts"), events.agg(F.max("ts")).scalar())
+
+
 BLEND = "(sa + da * (1 - sa))"
 
 

@@ -76,3 +76,11 @@ def test_segmenter():
     assert G.fnv1a(b"") == "cbf29ce484222325" and G.fnv1a(b"a") == "af63dc4c8601ec8c"
     w = G.textrank(["a", "b", "a", "c"])
     assert max(w.values()) == 1.0 and max(w, key=w.get) == "a"
+
+
+def test_sparse_canvases_gain_no_places(spark):
+    from tarnstone.operators import raster
+
+    rows = [(1, x, y, 9, 9, 9, 255) for x, y in [(0, 0), (1, 0), (3, 0), (0, 2)]]
+    got = raster.flood_fill(spark.createDataFrame(rows, raster.SCHEMA), 0, 0, (1, 2, 3, 255)).collect()
+    assert {(r.x, r.y): r.r for r in got} == {(0, 0): 1, (1, 0): 1, (3, 0): 9, (0, 2): 9}
