@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from tarnstone.llm.common import read_table
 
 MODEL = "word_bpe_49k.json"
-#: Characters of words (with a share for each entry), and token pairs, that a worker remembers; both memories are emptied when full, results do not depend on them.
-CACHE_CHARS = 50_000_000
+#: Characters of words (with a share for each entry) that a worker remembers in each of two generations, and token pairs, which
+#: are forgotten together when so many are known; results do not depend on either.
+CACHE_CHARS = 18_000_000
 CACHE_PAIRS = 400_000
 
 
@@ -70,6 +71,7 @@ class WordCodec:
         self.right_spine: dict[str, list[tuple[str, int]]] = {}
         self.left_spine: dict[str, list[tuple[str, int]]] = {}
         self.words: dict[str, tuple[str, ...]] = {}
+        self.old: dict[str, tuple[str, ...]] = {}
         self.size = 0
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -148,10 +150,6 @@ class WordCodec:
                 else:
                     stack.append((depth + 1, s, child))
 
-    def forget(self) -> None:
-        """Words and pairs go, the vocabulary stays: what an idle worker holds is bounded by the vocabulary."""
-        self.words, self.pairs, self.size = {}, {}, 0
-
     def keep(self, word: str, tokens: list[str]) -> None:
         self.size += len(word) + 8 * len(tokens) + 80
         self.words[word] = tuple(map(self.numbers.__getitem__, tokens))
@@ -180,9 +178,13 @@ class WordCodec:
                 new = set(found).difference(self.words)
                 if new:
                     if self.size > CACHE_CHARS:
-                        self.words.clear()
-                        self.size, new = 0, set(found)
-                    self.learn(new)
+                        # Words not met since the last time go; those met again are taken over.
+                        self.old, self.words, self.size, new = self.words, {}, 0, set(found)
+                    again = {word for word in new if word in self.old}
+                    for word in again:
+                        self.words[word] = tokens = self.old[word]
+                        self.size += len(word) + 8 * len(tokens) + 80
+                    self.learn(new - again)
                 ids.extend(chain.from_iterable(map(self.words.__getitem__, found)))
             yield " ".join(ids), self.decode(ids), len(ids)
 
@@ -193,7 +195,7 @@ class WordCodec:
 
 @cache
 def codec_of(model_path: str) -> WordCodec:
-    """One codec a worker process, so that its tasks read the vocabulary once."""
+    """One codec a worker process, so that its tasks share what it has learnt."""
     return WordCodec(model_path)
 
 
@@ -214,12 +216,9 @@ def encode_decode(docs: DataFrame, text_col: str = "text", model_path: str | Non
     def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = codec_of(model_path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        try:
-            for s in texts:
-                rows = [(n, sha(i), sha(d)) if digests else (n, i, d) for i, d, n in codec.encode_batch(s)]
-                yield pd.DataFrame(rows, columns=["n_tokens", *second])
-        finally:
-            codec.forget()
+        for s in texts:
+            rows = [(n, sha(i), sha(d)) if digests else (n, i, d) for i, d, n in codec.encode_batch(s)]
+            yield pd.DataFrame(rows, columns=["n_tokens", *second])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("doc_id"), encoded(text).alias("e")).select("doc_id", "e.*")
