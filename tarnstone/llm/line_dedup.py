@@ -16,9 +16,9 @@ SIMILARITY = 80
 #: Classes of token hashes whose counts give rarity: one bounded table, whatever the size of the corpus.
 BITS = 18
 CLASSES = 1 << BITS
-#: Steps of the rarity order for each doubling of a count; LEVELS of them fit a byte.
-STEPS = 6
-LEVELS = 256
+#: Steps of the rarity order for each doubling of a count, and steps in all: what fits a character.
+STEPS = 4
+LEVELS = 128
 #: Tokens counted so often give prefixes of token pairs, which keeps what one key gathers from growing with the corpus.
 FREQUENT = 4096
 #: Sets of so many tokens have a parity signature of two words.
@@ -36,8 +36,8 @@ LINE = "\n"
 
 
 def level(count: int) -> int:
-    """The step of a count in the rarity order, as a signed byte."""
-    return min(LEVELS - 1, int(STEPS * math.log2(count + 1))) - LEVELS // 2
+    """The step of a count in the rarity order."""
+    return min(LEVELS - 1, int(STEPS * math.log2(count + 1)))
 
 
 def line_words(line: Column) -> Column:
@@ -49,13 +49,13 @@ def line_words(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """The level of each hash class, from token counts over the whole corpus: a constant array.
+    """The level of each hash class, from token counts over the whole corpus: a constant of CLASSES bytes.
 
     The driver sees one count a class, CLASSES numbers at most.
     """
     token = docs.select(F.explode(line_words(F.replace("text", F.lit(LINE), F.lit(" ")))).alias("w")).select(F.xxhash64("w").bitwiseAND(CLASSES - 1).alias("class"))
     counts = {r["class"]: r["n"] for r in token.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return F.split(F.lit(",".join(str(level(counts.get(c, 0))) for c in range(CLASSES))), ",").cast("array<tinyint>")
+    return F.lit(bytes(level(counts.get(c, 0)) for c in range(CLASSES)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -66,8 +66,8 @@ def ordered_tokens(line: Column, levels: Column) -> Column:
     """The distinct tokens of a line, rarest first, as numbers: the level of the token's class above, 56 bits of its hash below."""
 
     def number(h: Column) -> Column:
-        above = F.shiftleft(F.get(levels, h.bitwiseAND(CLASSES - 1).cast("int")).cast("long"), 56)
-        return above.bitwiseOR(F.shiftrightunsigned(h, 8))
+        above = F.ascii(F.substring(levels, h.bitwiseAND(CLASSES - 1).cast("int") + 1, 1).cast("string"))
+        return F.shiftleft(above.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.sort_array(F.transform(F.array_distinct(F.transform(line_words(line), lambda w: F.xxhash64(w))), number))
 
