@@ -55,4 +55,22 @@ o AS (SELECT doc_id, item_id, n, count(DISTINCT a) AS n_windows, min(p) AS first
 c AS (SELECT doc_id, item_id, count(DISTINCT j) AS n_matched FROM (SELECT doc_id, item_id, unnest(range(a, a + m)) AS j FROM hit) GROUP BY ALL)
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_words, n_windows, n_matched, CAST(first_word AS BIGINT) AS first_word FROM o JOIN c USING (doc_id, item_id)"""
 
-ORACLE_SQL = {"op1_line_dedup": LINES, "op4_ngram_join": NEAR, "op6_decontaminate": LEAKS, "op8_window_dedup": WINDOWS}
+
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    steps = [
+        "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT vec_id, k, list_slice(v, k * (len(v) // {parts}) + 1, (k + 1) * (len(v) // {parts})) AS x FROM e, (SELECT unnest(range({parts})) AS k))",
+        f"b0 AS MATERIALIZED (SELECT k, j, x FROM (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS j FROM p) WHERE j < {entries})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, k, m // {entries} AS error, m % {entries} AS j FROM (SELECT vec_id, k, min(CAST(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * {entries} + j) AS m FROM p JOIN b{r} b USING (k) GROUP BY ALL))")
+        if r < rounds:
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT k, j, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN (SELECT k, j, list(y ORDER BY i) AS x FROM (SELECT k, j, i, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y FROM (SELECT k, j, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM p JOIN a{r} USING (vec_id, k)) GROUP BY ALL) GROUP BY ALL) m USING (k, j))")
+    steps.append(f"c AS (SELECT vec_id, string_agg(printf('%02x', j), '' ORDER BY k) AS code, CAST(sum(error) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL)")
+    steps.append(f"s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY k, j)) AS codebooks_sha256 FROM b{rounds})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN e USING (vec_id), s"
+
+
+CODES = _vector_codes()
+
+ORACLE_SQL = {"op1_line_dedup": LINES, "op4_ngram_join": NEAR, "op6_decontaminate": LEAKS, "op8_window_dedup": WINDOWS, "op12_vector_codes": CODES}
