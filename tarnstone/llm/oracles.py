@@ -73,4 +73,25 @@ def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
 
 CODES = _vector_codes()
 
-ORACLE_SQL = {"op1_line_dedup": LINES, "op4_ngram_join": NEAR, "op6_decontaminate": LEAKS, "op8_window_dedup": WINDOWS, "op12_vector_codes": CODES}
+MIX = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len({words('text')}) AS BIGINT) AS size, CAST('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS key FROM documents),
+s AS (SELECT *, CAST([3, 1, 2][number % 3 + 1] AS DOUBLE) AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM d GROUP BY source)),
+t AS (SELECT CAST(sum(source_size) AS DOUBLE) * 1.5e0 AS budget, CAST(least(128, greatest(1, sum(source_size) // 16384)) AS BIGINT) AS b FROM s),
+l(step, lam) AS (SELECT 0, budget / sum(weight) FROM s, t GROUP BY budget UNION ALL
+  SELECT step + 1, (budget - coalesce(sum(2e0 * source_size) FILTER (weight * lam > 2e0 * source_size), 0)) / sum(weight) FILTER (weight * lam <= 2e0 * source_size) FROM l, s, t WHERE step < 40 GROUP BY step, lam, budget),
+g AS (SELECT source, source_size, number, least(weight * lam, 2e0 * source_size) AS target, CAST(greatest(1, ceil(sqrt(source_size / 1024e0))) AS BIGINT) AS n_shards FROM s, (SELECT lam FROM l ORDER BY step DESC LIMIT 1)),
+p AS (SELECT doc_id, size, key, number, source_size, target, key % n_shards AS shard FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+h AS (SELECT number, shard, CAST(ceil(sum(size) / CAST(b AS DOUBLE)) AS BIGINT) AS blocks FROM p, t GROUP BY number, shard, b),
+v AS (SELECT number, CAST(sum(blocks) AS BIGINT) AS n, target >= 2e0 * source_size AS capped, CASE WHEN source_size > 0 THEN target * CAST(sum(blocks) AS DOUBLE) / source_size ELSE 0e0 END AS votes FROM h JOIN g USING (number) GROUP BY number, target, source_size),
+sq AS (SELECT number, votes / (2e0 * q - 1) AS quotient FROM (SELECT number, votes, unnest(range(1, 2 * n + 1)) AS q FROM v WHERE NOT capped)),
+won AS (SELECT number, count(*) AS quota FROM (SELECT number, row_number() OVER (ORDER BY quotient DESC, number) AS r FROM sq) WHERE r <= (SELECT round_even(sum(votes), 0) FROM v WHERE NOT capped) GROUP BY number),
+quota AS (SELECT number, CASE WHEN capped THEN 2 * n ELSE coalesce(quota, 0) END AS quota FROM v LEFT JOIN won USING (number)),
+hq AS (SELECT number, shard, blocks / (2e0 * q - 1) AS quotient FROM (SELECT number, shard, blocks, unnest(range(1, 2 * blocks + 1)) AS q FROM h)),
+hw AS (SELECT number, shard, count(*) AS quota FROM (SELECT number, shard, row_number() OVER (PARTITION BY number ORDER BY quotient DESC, shard) AS r FROM hq) JOIN quota USING (number) WHERE r <= quota GROUP BY number, shard),
+z AS (SELECT number, shard, blocks, coalesce(quota, 0) AS quota, CASE WHEN blocks > 0 THEN CAST('0x' || substr(md5('11:' || number || ':' || shard), 1, 15) AS BIGINT) % blocks ELSE 0 END AS start FROM h LEFT JOIN hw USING (number, shard)),
+a AS (SELECT doc_id, key, size, source_size, target, blocks, quota, start, b, CAST(sum(size) OVER (PARTITION BY number, shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS pos, row_number() OVER () AS id FROM p JOIN z USING (number, shard), t),
+j AS (SELECT *, unnest(range(pos // b, (pos + size - 1) // b + 1)) AS j FROM a WHERE size > 0),
+k AS (SELECT id, sum((least(pos + size, (j + 1) * b) - greatest(pos, j * b)) * (quota // blocks + ((j + 1 + start) * (quota % blocks)) // blocks - ((j + start) * (quota % blocks)) // blocks)) AS taken FROM j GROUP BY id)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM a LEFT JOIN k USING (id)"""
+
+ORACLE_SQL = {"op1_line_dedup": LINES, "op4_ngram_join": NEAR, "op6_decontaminate": LEAKS, "op8_window_dedup": WINDOWS, "op11_source_mix": MIX, "op12_vector_codes": CODES}

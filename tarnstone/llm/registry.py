@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnstone.llm import bpe_codec, decontaminate, html_text, line_dedup, ngram_join, pii, quality_rules, suffix_dedup, token_counts, vector_codes, window_dedup
+from tarnstone.llm import bpe_codec, decontaminate, html_text, line_dedup, ngram_join, pii, quality_rules, source_mix, spelling, suffix_dedup, token_counts, vector_codes, window_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +29,9 @@ QUERIES: dict[str, Query] = {
     "op8_window_dedup": window_dedup.query,
     "op9_bpe_codec": bpe_codec.query,
     "op10_html_text": html_text.query,
+    "op11_source_mix": source_mix.query,
     "op12_vector_codes": vector_codes.query,
+    "op13_spelling_variants": spelling.query,
     "pipeline": _pipeline,
 }
 
