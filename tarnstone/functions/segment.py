@@ -29,6 +29,64 @@ def load_weights(spark, path: str) -> dict[str, float]:
     return {r[0]: float(r[1]) for r in rows if len(r) == 2 and r[1].replace(".", "", 1).isdigit()}
 
 
+class Words:
+    """All words of a dictionary inside a text in one pass over it, by a prefix trie with links between its nodes.
+
+    A node stands for a prefix of a word. Its link leads to the longest proper suffix of that prefix that is a prefix of a
+    word, too; its exit leads to the longest that is a word. Time goes with the text and the words found, however long the
+    dictionary's longest word is.
+    """
+
+    CODES = 0x110000
+
+    def __init__(self, words: Iterable[str]):
+        self.next: dict[int, int] = {}
+        self.size, parent, letter = [0], [0], [0]
+        for word in words:
+            at = 0
+            for c in word:
+                key = at * self.CODES + ord(c)
+                to = self.next.get(key)
+                if to is None:
+                    to = self.next[key] = len(self.size)
+                    self.size.append(0)
+                    parent.append(at)
+                    letter.append(ord(c))
+                at = to
+            self.size[at] = len(word)
+        depth = [0] * len(parent)
+        for node in range(1, len(parent)):  # a node comes after its parent
+            depth[node] = depth[parent[node]] + 1
+        self.link, self.exit = [0] * len(parent), [0] * len(parent)
+        for node in sorted(range(1, len(parent)), key=depth.__getitem__):
+            at = parent[node]
+            while at:
+                at = self.link[at]
+                to = self.next.get(at * self.CODES + letter[node])
+                if to is not None:
+                    self.link[node] = to
+                    break
+            link = self.link[node]
+            self.exit[node] = link if self.size[link] else self.exit[link]
+
+    def starting(self, text: str) -> list[list[int]]:
+        """For each place of the text the lengths of the words that start there, ascending."""
+        found: list[list[int]] = [[] for _ in text]
+        step, at = self.next.get, 0
+        for i, c in enumerate(text):
+            code = ord(c)
+            to = step(at * self.CODES + code)
+            while to is None and at:
+                at = self.link[at]
+                to = step(at * self.CODES + code)
+            at = to or 0
+            node = at if self.size[at] else self.exit[at]
+            while node:
+                found[i + 1 - self.size[node]].append(self.size[node])
+                node = self.exit[node]
+        return found
+
+
 @dataclass
 class Lexicon:
     weight: dict[str, float] = field(default_factory=dict)
@@ -36,7 +94,17 @@ class Lexicon:
     user: set[str] = field(default_factory=set)
     lowest: float = 0.0
     median: float = 0.0
-    longest: int = 1
+    _words: Words | None = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        """Without the trie, which each process builds when it first cuts a text."""
+        return {k: v for k, v in self.__dict__.items() if k != "_words"} | {"_words": None}
+
+    def starting(self, text: str) -> list[list[int]]:
+        """For each place the lengths of the dictionary's words that start there, ascending."""
+        if self._words is None:
+            self._words = Words(self.weight)
+        return self._words.starting(text)
 
     @staticmethod
     def parse(lines: Iterable[str], user: Iterable[str] = ()) -> Lexicon:
@@ -51,7 +119,6 @@ class Lexicon:
             parts = line.strip().split(" ")
             if parts[0]:
                 out.insert(parts[0], float(parts[1]) if len(parts) == 3 and parts[1].isdigit() else None, parts[-1] if len(parts) > 1 else "", total)
-        out.longest = max((len(w) for w in out.weight), default=1)
         return out
 
     @staticmethod
@@ -63,9 +130,10 @@ class Lexicon:
         self.weight[word] = math.log(freq / total) if freq else self.median
         self.tag[word] = tag
         self.user.add(word)
-        self.longest = max(self.longest, len(word))
+        self._words = None
 
     def delete(self, word: str) -> bool:
+        self._words = None
         return self.weight.pop(word, None) is not None
 
     def find(self, word: str) -> bool:
@@ -125,6 +193,11 @@ class Segmenter:
     def __init__(self, lexicon: Lexicon, markov: Markov | None = None):
         self.lexicon, self.markov = lexicon, markov
 
+    def described(self) -> tuple:
+        """What its tokens depend on, for a fingerprint."""
+        m = self.markov
+        return sorted(self.lexicon.weight.items()), sorted(self.lexicon.user), m and (m.start, m.trans, [sorted(e.items()) for e in m.emit])
+
     @staticmethod
     def runs(text: str) -> list[str]:
         """Runs between separators, each separator a run of its own."""
@@ -132,13 +205,10 @@ class Segmenter:
 
     def _longest_path(self, text: str, longest: int) -> list[str]:
         weight, n = self.lexicon.weight, len(text)
-        best, step = [0.0] * (n + 1), [1] * n
+        best, step, starting = [0.0] * (n + 1), [1] * n, self.lexicon.starting(text)
         for i in range(n - 1, -1, -1):
             options = [(weight.get(text[i], self.lexicon.lowest) + best[i + 1], 1)]
-            for size in range(2, min(longest, self.lexicon.longest, n - i) + 1):
-                w = weight.get(text[i : i + size])
-                if w is not None:
-                    options.append((w + best[i + size], size))
+            options += [(weight[text[i : i + size]] + best[i + size], size) for size in starting[i] if 1 < size <= longest]
             best[i], step[i] = max(options, key=lambda o: (o[0], -o[1]))
         out, i = [], 0
         while i < n:
@@ -181,8 +251,8 @@ class Segmenter:
         out = []
         for run in self.runs(text):
             reach = 0
-            for i in range(len(run)):
-                words = [run[i : i + n] for n in range(2, min(self.lexicon.longest, len(run) - i) + 1) if run[i : i + n] in self.lexicon.weight]
+            for i, sizes in enumerate(self.lexicon.starting(run)):
+                words = [run[i : i + n] for n in sizes if n > 1]
                 if not words and i >= reach:
                     words = [run[i]]
                 out += words

@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RGBA = ("r", "g", "b", "a")
 XY = ("canvas", "x", "y")
 #: Widest and tallest canvas.
 MOST = 4096
+#: Side of the tiles in which rectangles and pixels meet.
+TILE = 32
 
 
 def from_hex(text: str) -> tuple[int, int, int, int]:
@@ -94,6 +96,31 @@ def rect(pixels: DataFrame, x: int, y: int, w: int, h: int, colour, filled: bool
     return paint(pixels, inside if filled else inside & edge, colour)
 
 
+def rects(pixels: DataFrame, commands: DataFrame, tile: int = TILE) -> DataFrame:
+    """Rectangles painted on canvases; the last that covers a place wins.
+
+    commands: canvas, seq (all different on a canvas), x, y, w, h, filled, r, g, b, a. An outline is four thin rectangles.
+    Rectangles and pixels meet in square tiles of the canvas; of those that cover a whole tile, the last hides all before
+    it. Rectangles without area, or off the canvas, paint nothing; a null in filled counts as filled.
+    """
+    side = lambda x, y, w, h: F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+    x, y, w, h, one = F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(1)
+    edges = F.array(side(x, y, w, one), side(x, y + h - 1, w, one), side(x, y, one, h), side(x + w - 1, y, one, h))
+    boxes = commands.filter((w > 0) & (h > 0)).select("canvas", "seq", F.struct(*RGBA).alias("new"), F.explode(F.when(F.coalesce("filled", F.lit(True)), F.array(side(x, y, w, h))).otherwise(edges)).alias("box")).select("canvas", "seq", "new", "box.*")
+    sized = pixels.groupBy("canvas").agg(F.max("x").alias("right"), F.max("y").alias("low"))
+    inside = boxes.join(sized, "canvas").select(
+        "canvas", "seq", "new", F.greatest(x, F.lit(0)).alias("x0"), F.least(x + w - 1, "right").alias("x1"), F.greatest(y, F.lit(0)).alias("y0"), F.least(y + h - 1, "low").alias("y1")
+    ).filter("x0 <= x1 AND y0 <= y1")
+    tiles = inside.withColumn("tx", F.explode(F.expr(f"sequence(x0 div {tile}, x1 div {tile})"))).withColumn("ty", F.explode(F.expr(f"sequence(y0 div {tile}, y1 div {tile})")))
+    whole = (F.col("x0") <= F.col("tx") * tile) & (F.col("x1") >= F.col("tx") * tile + tile - 1) & (F.col("y0") <= F.col("ty") * tile) & (F.col("y1") >= F.col("ty") * tile + tile - 1)
+    hides = F.max(F.when(whole, F.col("seq"))).over(Window.partitionBy("canvas", "tx", "ty"))
+    seen = tiles.withColumn("hides", hides).filter("hides IS NULL OR seq >= hides").select("canvas", "tx", "ty", "seq", "new", "x0", "x1", "y0", "y1")
+    at = pixels.select(*XY, *RGBA).withColumns({"tx": F.expr(f"x div {tile}"), "ty": F.expr(f"y div {tile}")})
+    hit = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
+    painted = at.join(seen, ["canvas", "tx", "ty"]).filter(hit).groupBy(*XY).agg(F.max_by("new", "seq").alias("new"))
+    return pixels.join(painted, list(XY), "left").select(*XY, *[F.coalesce(F.col("new")[c], F.col(c)).alias(c) for c in RGBA])
+
+
 def gradient(pixels: DataFrame, x: int, y: int, w: int, h: int, first, last, horizontal: bool = True) -> DataFrame:
     at, n = (F.col("x") - x, w) if horizontal else (F.col("y") - y, h)
     t = (at.cast("float") / F.lit(float(max(1, n - 1))).cast("float")).cast("float")
@@ -257,47 +284,58 @@ def flood_fill(pixels: DataFrame, x: int, y: int, colour, tolerance: int = 0) ->
     return pixels.groupBy("canvas").applyInPandas(filled, SCHEMA)
 
 
+def dithered(grid: np.ndarray, colours: np.ndarray) -> np.ndarray:
+    """Error diffusion over one grid. A cell hangs on its left neighbour and three cells of the row above, so all cells with the
+    same x + 2 y are settled in one step.
+
+    Shares are clipped as they come: a cell gets 1/16 and 5/16 in earlier steps, then 3/16 from its upper right and 7/16 from
+    its left in this order, as row by row.
+    """
+    grid = grid.astype(float)
+    h, w = grid.shape[:2]
+    for step in range(w + 2 * (h - 1)):
+        y = np.arange(max(0, (step - w + 2) // 2), min(h - 1, step // 2) + 1)
+        x = step - 2 * y
+        old = grid[y, x]
+        new = colours[((colours[None] - old[:, None]) ** 2).sum(axis=2).argmin(axis=1)]
+        grid[y, x] = new
+        for dx, dy, part in ((-1, 1, 3), (1, 0, 7), (0, 1, 5), (1, 1, 1)):
+            on = (x + dx >= 0) & (x + dx < w) & (y + dy < h)
+            to = (y[on] + dy, x[on] + dx)
+            cells = grid[to]
+            cells[:, :3] = np.clip(cells[:, :3] + (old - new)[on, :3] * part / 16, 0, 255)
+            grid[to] = cells
+    return grid.astype(np.int64)
+
+
 def dither(pixels: DataFrame, palette: list[tuple[int, int, int, int]]) -> DataFrame:
-    """Error diffusion 7/16, 3/16, 5/16, 1/16 row by row to the nearest palette colour by squared distance."""
+    """Error diffusion 7/16, 3/16, 5/16, 1/16 row by row to the nearest palette colour by squared distance. A canvas is at most
+    4096 x 4096 and is settled in width + 2 height steps."""
     colours = np.array(palette, float)
 
     def spread(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = _grids(pdf).astype(float)
-        h, w = grid.shape[:2]
-        for y in range(h):
-            for x in range(w):
-                old = grid[y, x].copy()
-                new = colours[np.argmin(((colours - old) ** 2).sum(axis=1))]
-                grid[y, x] = new
-                for dx, dy, part in ((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)):
-                    if 0 <= x + dx < w and y + dy < h:
-                        cell = grid[y + dy, x + dx]
-                        cell[:3] = np.clip(cell[:3] + (old - new)[:3] * part / 16, 0, 255)
-        return _back(pdf, grid.astype(np.int64))
+        return _back(pdf, dithered(_grids(pdf), colours))
 
     return pixels.groupBy("canvas").applyInPandas(spread, SCHEMA)
 
 
 def extract_palette(pixels: DataFrame, most: int = 16) -> DataFrame:
-    """Median cut: canvas, at, r, g, b, a. Boxes of opaque pixels are halved at the median of their widest channel."""
-    depth = max(0, int(np.ceil(np.log2(most))))
-
-    def cut(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = [pdf[pdf["a"] > 0][list(RGBA)].to_numpy()]
-        for _ in range(depth):
-            split = []
-            for box in boxes:
-                if len(box) < 2:
-                    split.append(box)
-                    continue
-                widest = int(np.argmax(box[:, :3].max(axis=0) - box[:, :3].min(axis=0)))
-                box = box[np.argsort(box[:, widest], kind="stable")]
-                split += [box[: len(box) // 2], box[len(box) // 2 :]]
-            boxes = split
-        means = [box.sum(axis=0) // len(box) for box in boxes if len(box)][:most]
-        return pd.DataFrame([(key[0], i, *m) for i, m in enumerate(means)], columns=["canvas", "at", *RGBA])
-
-    return pixels.groupBy("canvas").applyInPandas(cut, "canvas long, at int, r int, g int, b int, a int")
+    """Median cut: canvas, at, r, g, b, a. Boxes of opaque pixels are halved at the median of their widest channel.
+
+    All boxes of all canvases are halved at once, level by level, by ranks inside the box; among equals of the channel the
+    order of the level before holds, at first by row and column. Canvases without opaque pixels have no palette.
+    """
+    rows = pixels.filter("a > 0").select("canvas", *RGBA, F.lit(0).cast("long").alias("box"), F.struct("y", "x").alias("at"))
+    for _ in range(max(0, int(np.ceil(np.log2(most))))):
+        box = Window.partitionBy("canvas", "box")
+        spans = [(F.max(c).over(box) - F.min(c).over(box)).alias(f"span_{c}") for c in "rgb"]
+        rows = rows.select("*", *spans, F.count(F.lit(1)).over(box).alias("n"))
+        widest = F.when((F.col("span_r") >= F.col("span_g")) & (F.col("span_r") >= F.col("span_b")), F.col("r")).when(F.col("span_g") >= F.col("span_b"), F.col("g")).otherwise(F.col("b"))
+        rows = rows.withColumn("value", widest).withColumn("rank", F.row_number().over(box.orderBy("value", "at")))
+        rows = rows.select("canvas", *RGBA, (2 * F.col("box") + F.when(F.col("rank") > F.floor(F.col("n") / 2), F.when(F.col("n") > 1, 1).otherwise(0)).otherwise(0)).alias("box"), F.struct(F.col("rank").alias("y"), F.lit(0).alias("x")).alias("at"))
+    means = rows.groupBy("canvas", "box").agg(*[F.floor(F.sum(c) / F.count(F.lit(1))).cast("int").alias(c) for c in RGBA])
+    numbered = means.withColumn("at", F.row_number().over(Window.partitionBy("canvas").orderBy("box")) - 1)
+    return numbered.filter(F.col("at") < most).select("canvas", "at", *RGBA)
 
 
 def encode_png(grid: np.ndarray) -> bytes:

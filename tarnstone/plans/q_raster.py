@@ -173,16 +173,52 @@ def _(e):
     return R.flood_fill(pixels(e), 3, 3, RED, 300)
 
 
-@query("dither", None, *E)
+STEP = "[" + ", ".join(f"{{'d': pow(r[i] - {c[0]}, 2) + pow(g[i] - {c[1]}, 2) + pow(b[i] - {c[2]}, 2) + pow(a[i] - {c[3]}, 2), 'k': {k}}}" for k, c in enumerate(PALETTE)) + "]"
+
+
+def _diffused(c: str, k: int) -> str:
+    to = "[" + ", ".join(f"{p[k]}e0" for p in PALETTE) + "][pick + 1]"
+    share = lambda part: f"greatest(0e0, least(255e0, v + (o{c} - {to}) * {part} / 16))"
+    return f"""list_transform({c}, lambda v, j: CASE WHEN j = i THEN {to} WHEN j = i + 1 AND i % 8 <> 0 THEN {share(7)} WHEN j = i + 7 AND i % 8 <> 1 THEN {share(3)}
+WHEN j = i + 8 THEN {share(5)} WHEN j = i + 9 AND i % 8 <> 0 THEN {share(1)} ELSE v END) AS {c}"""
+
+
+@query("dither", f"""WITH RECURSIVE {P}, s AS (SELECT canvas, 1 AS i, {', '.join(f'list(CAST({c} AS DOUBLE) ORDER BY y, x) AS {c}' for c in 'rgba')} FROM p GROUP BY canvas),
+f AS (SELECT * FROM s UNION ALL SELECT canvas, i + 1 AS i, {', '.join(_diffused(c, k) for k, c in enumerate('rgb'))}, list_transform(a, lambda v, j: CASE WHEN j = i THEN [{', '.join(f'{p[3]}e0' for p in PALETTE)}][pick + 1] ELSE v END) AS a
+FROM (SELECT *, r[i] AS "or", g[i] AS og, b[i] AS ob, list_min({STEP}).k AS pick FROM f WHERE i <= 64))
+SELECT canvas, CAST((j - 1) % 8 AS INTEGER) AS x, CAST((j - 1) // 8 AS INTEGER) AS y, {', '.join(f'CAST({c}[j] AS INTEGER) AS {c}' for c in 'rgba')} FROM f, (SELECT unnest(range(1, 65)) AS j) WHERE i = 65""".replace("(or -", '("or" -'), *E)
 def _(e):
     return R.dither(pixels(e), PALETTE)
 
 
-@query("median_cut", None, *E)
+def _halved(level: int) -> str:
+    box = "PARTITION BY canvas, box"
+    span = {c: f"max({c}) OVER ({box}) - min({c}) OVER ({box})" for c in "rgb"}
+    return f"""m{level} AS (SELECT *, count(*) OVER ({box}) AS n, CASE WHEN {span['r']} >= {span['g']} AND {span['r']} >= {span['b']} THEN r WHEN {span['g']} >= {span['b']} THEN g ELSE b END AS v FROM l{level}),
+l{level + 1} AS (SELECT canvas, r, g, b, a, 2 * box + CASE WHEN n > 1 AND k > n // 2 THEN 1 ELSE 0 END AS box, k AS pos FROM (SELECT *, row_number() OVER ({box} ORDER BY v, pos) AS k FROM m{level}))"""
+
+
+@query("median_cut", f"""WITH {P}, l0 AS (SELECT canvas, r, g, b, a, 0 AS box, y * 8 + x AS pos FROM p WHERE a > 0), {_halved(0)}, {_halved(1)}
+SELECT canvas, row_number() OVER (PARTITION BY canvas ORDER BY box) - 1 AS at, {', '.join(f'CAST(floor(sum({c}) / count(*)) AS INTEGER) AS {c}' for c in 'rgba')} FROM l2 GROUP BY canvas, box""", *E)
 def _(e):
     return R.extract_palette(pixels(e), 4)
 
 
+COMMANDS = """c AS (SELECT CAST(p_partkey % 500 AS BIGINT) AS canvas, p_partkey AS seq, p_size % 9 - 1 AS cx, (p_partkey // 8) % 9 - 1 AS cy, 1 + p_size % 5 AS w, 1 + p_partkey % 4 AS h, p_size % 2 = 0 AS filled,
+CAST(p_partkey % 256 AS INTEGER) AS nr, CAST(p_size AS INTEGER) AS ng, CAST((p_partkey * 7) % 256 AS INTEGER) AS nb, 255 AS na FROM part)"""
+
+
+@query("draw_rects", f"""WITH {P}, {COMMANDS}, h AS (SELECT p.canvas, x, y, arg_max({{'r': nr, 'g': ng, 'b': nb, 'a': na}}, seq) AS c FROM p JOIN c ON c.canvas = p.canvas AND x BETWEEN cx AND cx + w - 1 AND y BETWEEN cy AND cy + h - 1
+WHERE filled OR x IN (cx, cx + w - 1) OR y IN (cy, cy + h - 1) GROUP BY p.canvas, x, y)
+SELECT p.canvas, p.x, p.y, {', '.join(f'coalesce(h.c.{c}, p.{c}) AS {c}' for c in 'rgba')} FROM p LEFT JOIN h USING (canvas, x, y)""", "embeddings", "part")
+def _(e, part):
+    """A rectangle for each part, drawn on the canvas that its key names."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    colour = [(key % 256).cast("int").alias("r"), size.cast("int").alias("g"), ((key * 7) % 256).cast("int").alias("b"), F.lit(255).alias("a")]
+    place = [(size % 9 - 1).cast("int").alias("x"), (F.floor(key / 8) % 9 - 1).cast("int").alias("y"), (1 + size % 5).cast("int").alias("w"), (1 + key % 4).cast("int").alias("h")]
+    return R.rects(pixels(e), part.select((key % 500).cast("long").alias("canvas"), key.alias("seq"), *place, (size % 2 == 0).alias("filled"), *colour), tile=4)
+
+
 @query("png_preview", None, *E)
 def _(e):
     return R.to_png(pixels(e)).select("canvas", F.base64("png").alias("png"))

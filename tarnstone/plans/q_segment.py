@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tarnstone.functions import segment as G
 from tarnstone.functions.text import tokenize_en
 from tarnstone.operators import search as S
+from tarnstone.operators.knowledge import Knowledge, chinese, impact, posting_blocks
 from tarnstone.plans.base import QUERIES, query, shared_folder, table
 
 #: A small dictionary and model for the queries; users bring their own.
@@ -108,6 +109,49 @@ def _index_save(spark, sf_dir):
     return one("postings").unionByName(one("doc_stats")).unionByName(one("terms")).unionByName(one("corpus"))
 
 
+def _fragments(docs: DataFrame) -> DataFrame:
+    """The documents as fragments: a source is a file, a language a category."""
+    return docs.select("doc_id", F.col("source").alias("file"), F.col("lang").alias("category"), F.lit(1).cast("long").alias("line_start"), F.lit(1).cast("long").alias("line_end"), F.col("text").alias("content"))
+
+
+def _indexed(index: Knowledge, fragments: DataFrame) -> Knowledge:
+    """Refreshes the index with fragments: a file's length is its rows' number, its time the sum of their lengths."""
+    files = fragments.groupBy(F.col("file").alias("path")).agg(F.sum(F.length("content")).alias("modified"), F.count(F.lit(1)).alias("length")).filter("path IS NOT NULL")
+    index.refresh(files, lambda paths: fragments.join(paths.withColumnRenamed("path", "file"), "file", "left_semi"))
+    return index
+
+
+def _index_refreshed(spark, sf_dir):
+    """The ranking of search_wiki from an index first written without the labelled documents and then refreshed with all."""
+    from tarnstone.plans.q_search import WORDS as TERMS
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    index = Knowledge(spark, _index_folder(spark))
+    _indexed(index, _fragments(docs.join(labels.select("doc_id"), "doc_id", "left_anti")))
+    return _indexed(index, _fragments(docs)).search("en", TERMS, 6).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _posting_blocks(spark, sf_dir):
+    """category, term, n, first, last of each term's blocks put together, and whether each holds 64 postings at most, in order."""
+    docs = table(spark, sf_dir, "documents")
+    tokens = docs.select(F.col("lang").alias("category"), "doc_id", tokenize_en(F.coalesce("text", F.lit(""))).alias("tokens"))
+    postings = tokens.select("category", "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("category", "term", "doc_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    blocks = posting_blocks(postings.withColumn("impact", impact(F.lit(100.0))), 64)
+    right = (F.col("n") <= 64) & (F.size("docs") == F.col("n")) & (F.sort_array("docs") == F.col("docs")) & (F.element_at("docs", 1) == F.col("first")) & (F.element_at("docs", -1) == F.col("last"))
+    sums = [F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("occurrences"), F.min(right).alias("whole")]
+    return blocks.groupBy("category", "term").agg(*sums)
+
+
+def _search_cn(spark, sf_dir):
+    """Texts behind a Chinese phrase each, ranked by content through the segmenter's index."""
+    segmenter = G.Segmenter(G.Lexicon.parse(WORDS), model())
+    docs = table(spark, sf_dir, "documents")
+    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
+    rows = _fragments(docs.withColumn("text", F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit("")))).withColumn("lang", F.lit("Guide")))
+    index = _indexed(Knowledge(spark, _index_folder(spark), {"Guide": chinese(spark, segmenter)}), rows)
+    return index.search("Guide", segmenter.tokens("渲染实体组件"), 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
 def _resource_list(spark, sf_dir):
     """name, bytes of the files of a folder, as the resource reader sees them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/nation.parquet")
@@ -121,4 +165,9 @@ QUERIES["index_restore"] = _index_restore
 ORACLE_SQL["index_restore"] = f"{BASE}, {HITS} SELECT doc_id, round(sum({W}), 6) AS score FROM h GROUP BY doc_id ORDER BY sum({W}) DESC, doc_id LIMIT 20"
 QUERIES["index_save"] = _index_save
 ORACLE_SQL["index_save"] = f"{BASE} SELECT 'postings' AS part, count(*) AS rows FROM p UNION ALL SELECT 'doc_stats', count(*) FROM s UNION ALL SELECT 'terms', count(*) FROM f UNION ALL SELECT 'corpus', 1"
+QUERIES["index_refreshed"] = _index_refreshed
+ORACLE_SQL["index_refreshed"] = ORACLE_SQL["search_wiki"]
+QUERIES["posting_blocks"] = _posting_blocks
+ORACLE_SQL["posting_blocks"] = f"{BASE} SELECT lang AS category, term, count(*) AS n, min(p.doc_id) AS first, max(p.doc_id) AS last, CAST(sum(tf) AS BIGINT) AS occurrences, true AS whole FROM p JOIN s USING (doc_id) GROUP BY lang, term"
+QUERIES["search_cn"] = _search_cn
 QUERIES["resource_list"] = _resource_list

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import inspect
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnstone.functions.segment import Segmenter
 from tarnstone.functions.text import longest_identifier, media_type
 from tarnstone.operators import search as S
 from tarnstone.operators.fragments import list_dir, read_range
+from tarnstone.operators.knowledge import ENGLISH, Knowledge, chinese
 from tarnstone.sources import files
 
 #: Default number of hits of a tool call, and of an asset search without one.
@@ -20,6 +23,8 @@ TOP_K, ASSETS_K = 6, 200
 
 #: What the uris of files start with.
 RESOURCE = "file:///"
+#: Categories whose contents are cut by the Chinese segmenter; all others by the English rule.
+CHINESE = ("API", "Event", "Enum", "QuMod", "NeteaseGuide")
 
 
 def plain_words(keyword: str) -> bool:
@@ -41,17 +46,47 @@ def checked(function: Callable, arguments: dict) -> dict:
     return {k: v for k, v in arguments.items() if v is not None}
 
 
+class Subscription:
+    """Changes of the files under a folder since the last look, by time and length."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self.seen = self._listed()
+
+    def _listed(self) -> DataFrame:
+        return files.stored(files.listing(self.spark, self.root), "listing")
+
+    def updates(self) -> DataFrame:
+        """uri, kind (added, changed, gone) of what differs from the listing of the last call; this one's is kept for the next."""
+        before, self.seen = self.seen, self._listed()
+        return files.differences(before, self.seen).select(F.concat(F.lit(RESOURCE), "path").alias("uri"), "kind")
+
+
 class SearchService:
     """Searches return DataFrames of doc_id, score, file, line_start, line_end, content, best first.
 
-    The content of a fragment is joined only after the best rows are known.
+    The content of a fragment is joined only after the best rows are known. segmenter, stop: of Chinese contents and
+    queries; without one, all is cut by the English rule. index: the folder of the stored index, which is brought up to the
+    files when the service starts and by refresh(); without it, a new one in the shared folder.
     """
 
-    def __init__(self, spark: SparkSession, root: str, chinese: Callable[[str], list[str]] | None = None):
-        self.spark, self.chinese = spark, chinese
-        self.fragments = files.markdown_fragments(spark, root).cache()
+    def __init__(self, spark: SparkSession, root: str, segmenter: Segmenter | None = None, stop: frozenset[str] = frozenset(), index: str | None = None):
+        self.spark, self.root = spark, root
+        self.chinese = (lambda text: segmenter.tokens(text, stop)) if segmenter else None
+        own = chinese(spark, segmenter, stop) if segmenter else ENGLISH
+        self.index = Knowledge(spark, index or f"{files.shared_folder(spark)}/tarnstone/knowledge-{uuid.uuid4().hex}", dict.fromkeys(CHINESE, own))
         self.assets = files.assets(spark, root).cache()
         self.files = files.scan(spark, root).select("path", F.col("content").alias("text"))
+        self.refresh()
+
+    def refresh(self) -> dict[str, int]:
+        """Reads what has changed since the index was written; how many files were added, changed and gone."""
+        moved = self.index.refresh(files.indexed(files.listing(self.spark, self.root)), lambda paths: files.markdown_fragments(self.spark, self.root, paths))
+        self.fragments = self.index.table("docs").drop("dl")
+        return moved
+
+    def subscribe(self) -> Subscription:
+        return Subscription(self.spark, self.root)
 
     def _event(self, keyword: str, top_k: int) -> DataFrame:
         """Plain English words go against event names first; what finds none, and all else, is ranked by content."""
@@ -62,13 +97,11 @@ class SearchService:
         named = S.search_identifiers(events, "name", keyword, min(top_k, 8) if top_k > 0 else 8).select("doc_id", "score")
         return S.fallback(named, ranked).drop("phase")
 
-    def _ranked(self, category: str, keyword: str, top_k: int, second: str | None = None) -> DataFrame:
-        part = self.fragments.filter(F.col("category") == category)
-        mode = "english" if category == "Wiki" else "auto"
-        scored = S.bm25(part, S.query_tokens(keyword, mode, chinese=self.chinese), top_k, text="content")
-        if second:
-            scored = S.fallback(scored, S.bm25(part, S.query_tokens(keyword, second, True, self.chinese), top_k, text="content")).drop("phase")
-        return scored
+    def _ranked(self, category: str, keyword: str, top_k: int, mode: str = "auto") -> DataFrame:
+        mode = "english" if category == "Wiki" else mode
+        first, second = (S.query_tokens(keyword, mode, again, self.chinese) for again in (False, True))
+        scored = self.index.search(category, first, top_k)
+        return scored if first == second else S.fallback(scored, self.index.search(category, second, top_k)).drop("phase")
 
     def _with_content(self, scored: DataFrame) -> DataFrame:
         return scored.join(self.fragments.drop("category"), "doc_id").orderBy(F.desc("score"), "file", "line_start")

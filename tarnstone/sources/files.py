@@ -36,6 +36,46 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str):
+    """(file system, path) of a path on any store Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, place = _place(spark, path)
+    return store.exists(place)
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a pattern of the store matches, in order."""
+    store, place = _place(spark, pattern)
+    return sorted(x.getPath().toString() for x in store.globStatus(place) or [])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A file, or a folder with all that is in it; nothing if it is not there."""
+    store, place = _place(spark, path)
+    store.delete(place, True)
+
+
+def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """path (under root), modified, length of all files under root; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    path = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("://")[-1]) + "/", "")
+    return files.select(path.alias("path"), F.col("modificationTime").alias("modified"), "length")
+
+
+def differences(before: DataFrame, after: DataFrame) -> DataFrame:
+    """path, kind of what differs between two listings (path, modified, length): added, changed (time or length) or gone.
+
+    A path is listed once in each; rows without a path say nothing.
+    """
+    old, new = (x.filter("path IS NOT NULL").select("path", F.struct("modified", "length").alias(n)) for x, n in ((before, "old"), (after, "new")))
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "gone").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
+    return old.join(new, "path", "full_outer").select("path", kind.alias("kind")).filter("kind IS NOT NULL")
+
+
 def scan(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """path (under root), modified, content (text) of all files under root; unreadable bytes become replacement marks."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
@@ -43,13 +83,19 @@ def scan(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return files.select(path.alias("path"), F.col("modificationTime").alias("modified"), F.decode(F.make_valid_utf8(F.col("content").cast("string")).cast("binary"), "utf-8").alias("content"))
 
 
-def markdown_fragments(spark: SparkSession, root: str) -> DataFrame:
-    """doc_id, category, file, line_start, line_end, content of the fragments of .md and .MD files in indexed categories.
+def indexed(files: DataFrame) -> DataFrame:
+    """The rows of .md and .MD files in indexed categories."""
+    return files.filter(F.col("path").rlike(r"\.(md|MD)$") & classify_path(F.col("path")).isin(*INDEXED))
+
+
+def markdown_fragments(spark: SparkSession, root: str, paths: DataFrame | None = None) -> DataFrame:
+    """doc_id, category, file, line_start, line_end, content of the fragments of indexed files, or of those in paths (path).
 
     doc_id numbers fragments by file and line, as a hash of both: no task numbers the whole table.
     """
-    files = scan(spark, root).filter(F.col("path").rlike(r"\.(md|MD)$"))
-    files = files.select(F.col("path").alias("doc_id"), F.col("content").alias("text"), classify_path(F.col("path")).alias("category")).filter(F.col("category").isin(*INDEXED))
+    files = indexed(scan(spark, root))
+    files = files if paths is None else files.join(paths, "path", "left_semi")
+    files = files.select(F.col("path").alias("doc_id"), F.col("content").alias("text"), classify_path(F.col("path")).alias("category"))
     found = fragments(files).join(files.select("doc_id", "category"), "doc_id").withColumnRenamed("doc_id", "file")
     return found.select(F.xxhash64("file", "line_start").alias("doc_id"), "category", "file", "line_start", "line_end", "content")
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnstone.sources.files import delete, matching
+
 FLUSH = "30 minutes"
 IDLE = "60 minutes"
 EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
@@ -42,17 +46,50 @@ def stream_events(spark: SparkSession, folder: str, schema: T.StructType = EVENT
     return spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*").parquet(folder)
 
 
-def count_stream(events: DataFrame, checkpoint: str, sink: str):
-    """Counts of a stream kept in state and flushed to a table folder at each trigger: each flush replaces the one before.
+def epochs(spark: SparkSession, sink: str) -> list[int]:
+    """The flushes that were written whole, oldest first."""
+    return sorted(int(x.rsplit("/", 2)[1].removeprefix("epoch=")) for x in matching(spark, f"{sink}/epoch=*/_SUCCESS"))
+
+
+def flush_counters(changed: DataFrame, epoch: int, sink: str, keep: int = 2) -> None:
+    """Writes counters after a flush: the newest whole flush before this epoch, with the changed ones (tool, total) put in.
+
+    Each flush has a folder of its own, so what readers have open stays whole until `keep` later ones are written; an epoch
+    that is flushed again gives the same rows again.
+    """
+    spark = changed.sparkSession
+    whole = epochs(spark, sink)
+    before = [e for e in whole if e < epoch]
+    new = changed.select("tool", "total", F.lit(epoch).cast("long").alias("changed"))
+    if before:
+        old = spark.read.parquet(f"{sink}/epoch={before[-1]}")
+        new = new.unionByName(old.join(changed.select(F.col("tool").alias("of")), F.col("tool").eqNullSafe(F.col("of")), "left_anti"))
+    new.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+    for old_epoch in before[: -keep] if len(before) > keep else []:
+        delete(spark, f"{sink}/epoch={old_epoch}")
+
+
+def flushed_counters(spark: SparkSession, sink: str, base: DataFrame | None = None) -> DataFrame:
+    """tool, total of the newest whole flush, added to the base that was loaded when the counting began."""
+    whole = epochs(spark, sink)
+    now = spark.read.parquet(f"{sink}/epoch={whole[-1]}").select("tool", "total") if whole else spark.createDataFrame([], "tool string, total long")
+    return now if base is None else merge_counters(base, now)
+
+
+def count_stream(events: DataFrame, checkpoint: str, sink: str, trigger: dict[str, Any] | None = None):
+    """Counts of a stream kept in state; each trigger flushes those that have changed (see flush_counters).
 
-    The write is a folder of its own for each batch, named last in a one-row manifest, so that a reader never sees a part.
+    In service, the trigger is {"processingTime": FLUSH}; unset, the query ends when all that is there has been counted.
     """
     counts = events.groupBy(F.col("event_type").alias("tool")).agg(F.count(F.lit(1)).alias("total"))
 
     def flush(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        batch.persist()
+        if not batch.isEmpty():
+            flush_counters(batch, epoch, sink)
+        batch.unpersist()
 
-    return counts.writeStream.outputMode("complete").foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counts.writeStream.outputMode("update").foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def window_stream(events: DataFrame, checkpoint: str, sink: str, every: str = FLUSH, late: str = "10 minutes"):

@@ -75,3 +75,38 @@ def test_full_and_search(segmenter):
         assert "".join(mixed) == text and segmenter.search(text) == want
         rest = iter(mixed)
         assert all(w in rest for w in segmenter.mp(text) if len(w) > 1), "the dictionary's words stay, in order"
+
+
+def test_words_in_one_pass():
+    rnd = random.Random(5)
+    for _ in range(200):
+        words = {"".join(rnd.choices("abc", k=rnd.randint(1, 6))) for _ in range(rnd.randint(0, 12))}
+        text = "".join(rnd.choices("abcd", k=30))
+        want = [[n for n in range(1, len(text) - i + 1) if text[i : i + n] in words] for i in range(len(text))]
+        assert G.Words(words).starting(text) == want
+
+
+def test_a_long_word_costs_no_time():
+    from time import perf_counter
+
+    long = "".join(random.Random(1).choices(CHARS, k=512))
+    text = (long[:511] + "龙") * 200
+
+    def taken(words):
+        s = G.Segmenter(G.Lexicon.parse(words))
+        s.mp("今")
+        begin = perf_counter()
+        out = s.mp(text)
+        return perf_counter() - begin, out
+
+    with_long, out = taken([*WORDS, f"{long} 5 n"])
+    without, same = taken(WORDS)
+    assert out == same and with_long < 4 * without + 0.2
+
+
+def test_inserted_and_deleted_words_count_at_once(segmenter):
+    assert segmenter.mp("龙与地下城") == list("龙与地下城")
+    segmenter.lexicon.insert("地下城")
+    assert segmenter.mp("龙与地下城") == ["龙", "与", "地下城"]
+    segmenter.lexicon.delete("地下城")
+    assert segmenter.mp("龙与地下城") == list("龙与地下城")

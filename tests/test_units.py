@@ -84,3 +84,69 @@ def test_sparse_canvases_gain_no_places(spark):
     rows = [(1, x, y, 9, 9, 9, 255) for x, y in [(0, 0), (1, 0), (3, 0), (0, 2)]]
     got = raster.flood_fill(spark.createDataFrame(rows, raster.SCHEMA), 0, 0, (1, 2, 3, 255)).collect()
     assert {(r.x, r.y): r.r for r in got} == {(0, 0): 1, (1, 0): 1, (3, 0): 9, (0, 2): 9}
+
+
+def test_dithering_is_that_of_row_by_row():
+    def plain(grid, colours):
+        grid = grid.astype(float)
+        h, w = grid.shape[:2]
+        for y in range(h):
+            for x in range(w):
+                old = grid[y, x].copy()
+                new = colours[np.argmin(((colours - old) ** 2).sum(axis=1))]
+                grid[y, x] = new
+                for dx, dy, part in ((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)):
+                    if 0 <= x + dx < w and y + dy < h:
+                        cell = grid[y + dy, x + dx]
+                        cell[:3] = np.clip(cell[:3] + (old - new)[:3] * part / 16, 0, 255)
+        return grid.astype(np.int64)
+
+    rnd = np.random.default_rng(4)
+    for h, w, k in ((1, 1, 2), (1, 9, 2), (9, 1, 3), (2, 2, 2), (13, 17, 5), (30, 8, 1)):
+        grid, colours = rnd.integers(0, 256, (h, w, 4)), rnd.integers(0, 256, (k, 4)).astype(float)
+        assert (R.dithered(grid, colours) == plain(grid, colours)).all()
+    from time import perf_counter
+
+    begin = perf_counter()
+    R.dithered(rnd.integers(0, 256, (400, 400, 4)), rnd.integers(0, 256, (16, 4)).astype(float))
+    assert perf_counter() - begin < 5
+
+
+def test_median_cut(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(c, x, y, *map(int, rnd.integers(0, 8, 3)), int(rnd.choice([0, 255]))) for c in (1, 2) for x in range(9) for y in range(5)] + [(3, 0, 0, 1, 2, 3, 255), (4, 0, 0, 1, 2, 3, 0)]
+    for most in (1, 3, 8, 64):
+        want = []
+        for c in (1, 2, 3):
+            boxes = [np.array([r[3:] for r in sorted(rows, key=lambda r: (r[2], r[1])) if r[0] == c and r[6] > 0])]
+            for _ in range(int(np.ceil(np.log2(most)))):
+                split = []
+                for box in boxes:
+                    if len(box) > 1:
+                        box = box[np.argsort(box[:, int(np.argmax(np.ptp(box[:, :3], axis=0)))], kind="stable")]
+                        split += [box[: len(box) // 2], box[len(box) // 2 :]]
+                    else:
+                        split.append(box)
+                boxes = split
+            want += [(c, i, *(b.sum(axis=0) // len(b)).tolist()) for i, b in enumerate(boxes[:most])]
+        assert sorted(map(tuple, R.extract_palette(spark.createDataFrame(rows, R.SCHEMA), most).collect())) == want
+
+
+def test_thousands_of_rectangles(spark):
+    rnd = np.random.default_rng(8)
+    w, h = 70, 50
+    grid = np.zeros((3, h, w, 4), int)
+    rows = []
+    for seq in range(3000):
+        c, x, y, rw, rh, filled = int(rnd.integers(0, 3)), int(rnd.integers(-20, 80)), int(rnd.integers(-20, 60)), int(rnd.integers(0, 60)), int(rnd.integers(-1, 60)), bool(rnd.integers(0, 2))
+        colour = tuple(map(int, rnd.integers(0, 256, 4)))
+        rows.append((c, seq, x, y, rw, rh, filled, *colour))
+        ys, xs = np.mgrid[0:h, 0:w]
+        hit = (xs >= x) & (xs < x + rw) & (ys >= y) & (ys < y + rh)
+        grid[c][hit if filled else hit & ((xs == x) | (xs == x + rw - 1) | (ys == y) | (ys == y + rh - 1))] = colour
+    pixels = R.new_canvas(spark, w, h, canvas=0).unionByName(R.new_canvas(spark, w, h, canvas=1)).unionByName(R.new_canvas(spark, w, h, canvas=2))
+    commands = spark.createDataFrame(rows, "canvas long, seq long, x int, y int, w int, h int, filled boolean, r int, g int, b int, a int")
+    out = R.rects(pixels, commands, 16)
+    assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
+    got = out.toPandas()
+    assert len(got) == 3 * w * h and (grid[got["canvas"], got["y"], got["x"]] == got[["r", "g", "b", "a"]].to_numpy()).all()
