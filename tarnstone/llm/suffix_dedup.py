@@ -31,11 +31,11 @@ def suffix_array(text: np.ndarray, reach: int | None = None) -> tuple[np.ndarray
 
     Suffixes are ordered by their first 8 bytes; then, for 8, 16, 32 ... bytes, only the groups that are still tied are
     ordered by the rank of the suffix that many bytes further on. With reach, suffixes that agree in so many bytes may
-    stay tied.
+    stay tied, and then stand in text order.
     """
     n = len(text)
     key = _eights(text)
-    order = np.argsort(key)
+    order = np.argsort(key, kind="stable")
     key = key[order]
     fresh = np.ones(n, bool)
     fresh[1:] = key[1:] != key[:-1]
@@ -49,7 +49,7 @@ def suffix_array(text: np.ndarray, reach: int | None = None) -> tuple[np.ndarray
         # Behind the end, a shorter suffix goes first.
         after = np.where(on < n, rank[np.minimum(on, n - 1)] + h + 1, n - sub)
         pair = rank[sub] * np.int64(n + h + 1) + after
-        by = np.argsort(pair)
+        by = np.argsort(pair, kind="stable")
         sub, pair = sub[by], pair[by]
         order[tied] = sub
         fresh = np.ones(len(tied), bool)
@@ -60,33 +60,48 @@ def suffix_array(text: np.ndarray, reach: int | None = None) -> tuple[np.ndarray
     return order, rank
 
 
-def kasai(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Common prefix length of each suffix with the one before it in the suffix array, in text order.
+def kasai(text: np.ndarray, order: np.ndarray, reach: int | None = None) -> np.ndarray:
+    """Common prefix length of each suffix with the one before it in the suffix array, in text order; with reach, lengths from
+    there on count as that.
 
     Kasai's rule: going one byte on in the text, the common prefix is shorter by one at most; it is so exactly where the
     neighbour goes on with it and the bytes passed are equal. So only the other suffixes are measured, eight bytes at a
-    time, and the rest follow by counting down.
+    time, and the rest follow by counting down. Measuring stops at twice the reach; suffixes that would follow a longer one
+    and come out below the reach are measured themselves, so that no suffix costs more steps than the reach has bytes.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     at = np.arange(n)
+    most = n if reach is None else 2 * reach
+    eights, steps = _eights(text), np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
+
+    def measured(places: np.ndarray, most: int) -> np.ndarray:
+        size = np.zeros(len(places), np.int64)
+        open_ = np.arange(len(places))
+        while len(open_):
+            x, y = places[open_] + size[open_], before[places[open_]] + size[open_]
+            room = n - np.maximum(x, y)
+            equal = 8 - np.searchsorted(steps, eights[x] ^ eights[y], side="right")
+            size[open_] += np.minimum(equal, room)
+            open_ = open_[(equal == 8) & (room > 8) & (size[open_] < most)]
+        return size
+
     follows = np.zeros(n, bool)
     follows[1:] = (before[:-1] >= 0) & (before[1:] == before[:-1] + 1) & (text[:-1] == text[before[:-1]])
     lone = np.flatnonzero(~follows & (before >= 0))
-    size = np.zeros(len(lone), np.int64)
-    eights, steps = _eights(text), np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
-    open_ = np.arange(len(lone))
-    while len(open_):
-        x, y = lone[open_] + size[open_], before[lone[open_]] + size[open_]
-        room = n - np.maximum(x, y)
-        equal = 8 - np.searchsorted(steps, eights[x] ^ eights[y], side="right")
-        size[open_] += np.minimum(equal, room)
-        open_ = open_[(equal == 8) & (room > 8)]
     total = at.copy()  # of a suffix without a neighbour before it: nothing
+    size = measured(lone, most)
     total[lone] += size
     source = np.maximum.accumulate(np.where(follows, 0, at))
-    return total[source] - at
+    out = total[source] - at
+    if reach is not None:
+        cut = np.zeros(n, bool)
+        cut[lone] = size >= most
+        short = np.flatnonzero(follows & cut[source] & (out < reach))
+        out[short] = measured(short, reach)
+        out = np.minimum(out, reach)
+    return out
 
 
 def shard_repeats(doc: np.ndarray, start: np.ndarray, nwin: np.ndarray, parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +112,7 @@ def shard_repeats(doc: np.ndarray, start: np.ndarray, nwin: np.ndarray, parts: l
     """
     text = np.frombuffer(b"".join(parts), np.uint8)
     order, _ = suffix_array(text, length)
-    common = kasai(text, order)[order]
+    common = kasai(text, order, length)[order]
     size = np.array([len(p) for p in parts], np.int64)
     base = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(parts)), size)
@@ -138,7 +153,10 @@ def removal_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
     segments = repeated_segments(docs, windows, "bytes")
     runs, left, firsts = settle(segments, "bytes")
     size = F.col("nwin") + F.lit(length - 1)
-    left = stage(left, "bytes-open")
+    # A segment of more windows than a shard has bytes is cut; its pieces overlap by the window's length, less one.
+    pieces = F.explode(F.sequence(F.lit(0), (F.col("nwin") - 1).cast("int"), F.lit(shard_bytes)))
+    left = left.withColumn("piece", pieces).withColumn("nwin", F.least(F.lit(shard_bytes), F.col("nwin") - F.col("piece")).cast("int"))
+    left = stage(left.select("mhash", *DOC, (F.col("start") + F.col("piece")).cast("int").alias("start"), "nwin"), "bytes-open")
     total = left.agg(F.sum(size.cast("long")).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // shard_bytes))
     large = left.groupBy("mhash").agg(F.sum(size.cast("long")).alias("size")).filter(F.col("size") > shard_bytes)

@@ -107,3 +107,37 @@ def test_texts_that_share_an_id(spark, number):
         assert len(rows) == 4 and gone[sizes[1]] == 0
         # Of the other two texts, the one with the greater hash loses what it shares, and the longer one its second half.
         assert gone[sizes[0]] + gone[sizes[2]] == 2 * least, (size, gone)
+
+
+def test_capped_prefixes_are_those_of_whole_ones():
+    import numpy as np
+
+    rnd = random.Random(3)
+    texts = [b"a" * 3000, b"-=" * 1500, bytes(rnd.choices(b"ab", k=2000)), b"one line of it\n" * 200, b"x" * 500 + bytes(rnd.choices(b"abc", k=300)) + b"x" * 700 + b"y" * 40 + b"x" * 300]
+    for text in texts:
+        data = np.frombuffer(text, np.uint8)
+        for reach in (8, 20, 100):
+            order, _ = suffix_array(data, reach)
+            assert (kasai(data, order, reach) == np.minimum(kasai(data, order), reach)).all()
+
+
+def test_repetitive_texts_take_seconds():
+    from time import perf_counter
+
+    import numpy as np
+
+    from tarnstone.llm.suffix_dedup import shard_repeats
+
+    size = 4 << 20
+    line = b"".join(b"%d," % (i * i) for i in range(30)) + b"\n"
+    for text in (b"a" * size, b"-=" * (size // 2), line * (size // len(line)), bytes(random.Random(1).choices(b"ab", k=5000)) * (size // 5000)):
+        begin = perf_counter()
+        doc, pos, first, _ = shard_repeats(np.array([7]), np.array([0]), np.array([len(text) - 99]), [text], 100)
+        assert len(pos) == len(text) - 99 and first.sum() == len({text[i : i + 100] for i in range(min(len(text) - 99, 6000))})
+        assert perf_counter() - begin < 40
+
+
+def test_a_long_repetitive_document(spark):
+    rows = [(1, "=" * 3_000_000), (2, "abc" + "=" * 150), (3, "-+" * 200_000)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in dedup_suffixes(spark.createDataFrame([(d, t, 0, "") for d, t in rows], SCHEMA)).collect()}
+    assert got == {1: (3_000_000 - 1, 1), 2: (150, 1), 3: (400_000 - 2, 1)}
