@@ -22,6 +22,39 @@ MODEL = "word_bpe_49k.json"
 CACHE_CHARS = 18_000_000
 CACHE_PAIRS = 400_000
 
+#: Ranges of marks that Unicode gained after version 9, whose tables the library's normaliser has. To it, they are
+#: no marks: nothing is ordered past them. The pair 0x11930, 0x11938 is one composition of that kind.
+YOUNG = [
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715),
+    (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50),
+    (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x11938, 0x11938),
+    (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42),
+    (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE),
+    (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+#: Capitals that unicodedata does not know as such yet, and their small letters.
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+#: Ranges that hold the letters and digits of Unicode 16, which the library's pattern knows and unicodedata does
+#: not; what the pattern library counts as letter or digit beyond these and unicodedata is none to the library.
+SIXTEEN = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D4F), (0x10D50, 0x10D65), (0x10D6F, 0x10EC4),
+    (0x11380, 0x116E3), (0x11BC0, 0x11BF9), (0x13460, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FA),
+]
+#: A code point that is no letter, digit or blank in any version.
+NONE = "\uffff"
+
+
+def ranges(codes: list[int]) -> str:
+    """The inside of a character class of ascending code points."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
 
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte that byte-level vocabularies use."""
@@ -62,6 +95,13 @@ class WordCodec:
         # The same pattern where a text has no other letters, digits and blanks than these.
         plain = split.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r\x20")
         self.find_ascii = re.compile(plain).findall if r"\p" not in plain else self.find
+        # Letters and digits that the pattern library knows and unicodedata does not, and those that the library does not know.
+        known = regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000))
+        fresh = [ord(c) for c in known if unicodedata.category(c) == "Cn"]
+        self.fresh = re.compile(f"[{ranges(fresh)}]")
+        self.newer = re.compile(f"[{ranges([c for c in fresh if not any(a <= c <= b for a, b in SIXTEEN)])}]")
+        self.young = re.compile(f"([{''.join(f'{chr(a)}-{chr(b)}' for a, b in YOUNG)}])")
+        self.finditer = regex.compile(split.replace(r"\s", r"\p{White_Space}")).finditer
         self.find_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes = byte_alphabet()
         self.longest = max(len(t) for t in self.vocab)
@@ -158,7 +198,19 @@ class WordCodec:
         """Words to encode. Blanks fall away here, so those that the normaliser makes equal need not be."""
         if text.isascii():
             return self.find_ascii(text.lower())
-        return self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if self.young.search(text):
+                text = "".join(x if i % 2 else unicodedata.normalize("NFC", x) for i, x in enumerate(self.young.split(text)))
+            else:
+                text = unicodedata.normalize("NFC", text)
+            text = text.replace("Σ", "σ").lower()
+            if self.fresh.search(text):
+                text = text.translate(CAPITALS)
+                return [text[m.start() : m.end()] for m in self.finditer(self.newer.sub(NONE, text))]
+            return self.find(text)
+        return self.find(text.lower())
 
     def parts(self, text: str) -> list[tuple[bool, str]]:
         """The text cut at special strings: (is special, piece)."""

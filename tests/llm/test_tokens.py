@@ -68,3 +68,19 @@ def test_the_text_is_decoded_from_the_identifiers():
     ids, names, _ = next(codec.encode_batch(["the end"]))
     codec.names[ids.split()[0]] = "changed"
     assert next(codec.encode_batch(["the end"]))[1] == " ".join(["changed", *names.split(" ")[1:]])
+
+
+def test_every_code_point():
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 50_000):
+        texts = [f"a{chr(c)}-{chr(c)}a" for c in points[i : i + 50_000]]
+        want = WORDS.encode_batch(texts, add_special_tokens=False)
+        got = CODEC.encode_batch(texts)
+        assert [t for t, w, (ids, _, _) in zip(texts, want, got, strict=True) if " ".join(map(str, w.ids)) != ids] == []
+
+
+def test_marks_in_any_order():
+    rnd = random.Random(4)
+    marks = [chr(c) for c in [0x301, 0x323, 0x327, 0x334, 0x345, 0x94D, 0xC3C, 0x7FD, 0x898, 0x1ABF, 0x1715, 0x1E08F, 0x11930, 0x11935, 0x11938, 0x1193D, 0x20D0]]
+    for _ in range(3000):
+        check("".join(rnd.choices(["a", "e", "ẛ", "ά", "한", "ᄒ", "ᅡ", " ", *marks], k=rnd.randint(1, 8))))
