@@ -52,7 +52,8 @@ def repeated_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more, the first included.
 
     Each window becomes one number, its hash above and its position below (as many bits as positions need). Sorted, equal
-    windows are neighbours; the positions of those are sorted again and their cover is added up. Linear but for sorting.
+    windows are neighbours, whose words are compared; the positions of those that agree are sorted again and their cover is
+    added up. Linear but for sorting.
     """
     n = F.size(words)
 
@@ -63,9 +64,11 @@ def repeated_words(words: Column) -> Column:
 
         def twice(s: Column) -> Column:
             high = lambda x: F.call_function("shiftright", x, bits)
-            same = lambda x, y: F.coalesce(high(x) == high(y), F.lit(False))
-            at = F.filter(s, lambda x, k: same(x, F.get(s, k + 1)) | same(x, F.get(s, k - 1)))
             low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+            word = lambda x, d: F.get(words, x.bitwiseAND(low).cast("int") + d)
+            same = lambda x, y: F.when(high(x) == high(y), (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))).otherwise(False)
+            # Neighbours but one count too, so that another window of the same hash between two equal ones hides nothing.
+            at = F.filter(s, lambda x, k: same(x, F.get(s, k + 1)) | same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 2)) | same(x, F.get(s, k - 2)))
             return F.sort_array(F.transform(at, lambda x: x.bitwiseAND(low)))
 
         windows = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), hashed))
