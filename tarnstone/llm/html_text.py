@@ -269,8 +269,9 @@ def rule(wrapper: list) -> tuple[list[str], list[int]]:
     """(path of keys to the main element, empty for the whole page; hashes of the host's own texts), as the wrapper tells.
 
     A slot outside repeated groups that shows one text on TEMPLATE_PAGES different pages, while others vary, is the host's
-    own. The main element is the article or main of the most text; without one, from the page inwards, the part that alone
-    holds MAIN_SHARE of the varying text.
+    own. The main element is found from the page inwards, as the part that alone holds MAIN_SHARE of the varying text, up to
+    an article or main. Where the varying text is spread over parts, the tag decides: the article or main of the most text,
+    if it holds what MAIN_SHARE leaves.
     """
     own: list[int] = []
 
@@ -301,17 +302,21 @@ def rule(wrapper: list) -> tuple[list[str], list[int]]:
                     yield mass(x[3], False), [*path, x[0]], x[3]
                 yield from named(x[3], [*path, x[0]])
 
-    best = max(named(wrapper, []), key=lambda f: (f[0], f[1]), default=None)
-    if best is not None:
-        path, items = best[1], best[2]
-    else:
-        path, items = [], wrapper
-        while True:
-            parts = [(mass(x[3], False), x) for x in items if x[0] != "#" and not x[2] and x[1] not in ("+", "*") and x[0].split(".")[0] not in LISTED]
-            most, x = max(parts, key=lambda f: (f[0], f[1][0]), default=(0.0, None))
-            if x is None or most <= 0 or most < MAIN_SHARE * mass(items, False):
-                break
-            path, items = [*path, x[0]], x[3]
+    tag = lambda key: key.split(".")[0]
+    path: list[str] = []
+    items = wrapper
+    while not (path and tag(path[-1]) in CONTENT):
+        parts = [(mass(x[3], False), tag(x[0]) in CONTENT, x) for x in items if x[0] != "#" and not x[2] and x[1] not in ("+", "*") and tag(x[0]) not in LISTED]
+        most, _, x = max(parts, key=lambda f: (f[0], f[1], f[2][0]), default=(0.0, False, None))
+        if x is None or most <= 0 or most < MAIN_SHARE * mass(items, False):
+            break
+        path, items = [*path, x[0]], x[3]
+    # Where no part holds enough, and where an article or main holds as much as the part it stands in, the tag decides.
+    inner = max(named(items, path), key=lambda f: (f[0], f[1]), default=None)
+    if inner is not None:
+        least = mass(items, False) if path and tag(path[-1]) in CONTENT else (1 - MAIN_SHARE) * mass(items, False)
+        if inner[0] >= least:
+            path, items = inner[1], inner[2]
     if mass(items, False) > 0:  # else all its pages are alike, and nothing tells the host's texts from theirs
         owned(items)
     return path, own

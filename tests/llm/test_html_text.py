@@ -145,3 +145,45 @@ def test_what_stands_in_the_article_stays():
     assert path == ["article"] and main_text(page, path) == "T Related work One Two Three Four If x = 4 Kept"
     assert main_text("<div id=cookie-notice>C</div><figure>F</figure><math><mi>x</mi></math><p>t") == "F x t"
     assert main_text('<div class="layout no-sidebar"><p>Main words here</div>') == "Main words here"
+
+
+def test_the_wrapper_alone_finds_the_text_of_the_table(monkeypatch):
+    """With no list of elements or classes, on the given pages: all texts by the hosts' wrappers, none without them."""
+    import collections
+    import re
+
+    import pyarrow.parquet as pq
+
+    from tarnstone.llm import html_text as H
+
+    hosts = collections.defaultdict(list)
+    for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        hosts[re.match("[a-z]+://([^/?#]*)", r["url"])[1]].append(r["html"])
+    want = {p: H.main_text(p, *_ruled(H, [p])) for pages in hosts.values() for p in pages}
+    monkeypatch.setattr(H, "is_dropped", lambda name, marks, inside=False: False)
+    found = without = 0
+    for pages in hosts.values():
+        rule = _ruled(H, pages)
+        found += sum(H.main_text(p, *rule) == want[p] for p in pages)
+        without += sum(H.main_text(p) == want[p] for p in pages)
+    assert found == len(want) >= 200 and without == 0
+
+
+def _ruled(H, pages):
+    wrapper = None
+    for p in pages:
+        wrapper = H.stream(p) if wrapper is None else H.align(wrapper, H.stream(p))
+    path, own = H.rule(wrapper)
+    return path, frozenset(own)
+
+
+def test_varying_text_goes_before_the_tag():
+    from tarnstone.llm import html_text as H
+
+    page = lambda i: f"<html><body><article>teaser {i}</article><div class='story'><p>{'long text of the story ' * 20}{i}</p></div></body></html>"
+    path, _ = _ruled(H, [page(i) for i in range(6)])
+    assert path == ["div.story"]
+    page = lambda i: f"<html><body><article><p>{'text of it ' * 12}{i}</p></article><div class='more'><p>{'other text ' * 11}{i}</p></div></body></html>"
+    assert _ruled(H, [page(i) for i in range(6)])[0] == ["article"]
+    page = lambda i: f"<html><body><main><div><article><p>{'text of it ' * 12}{i}</p></article></div></main></body></html>"
+    assert _ruled(H, [page(i) for i in range(6)])[0] == ["main", "div", "article"]
