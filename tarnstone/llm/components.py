@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tarnstone.llm.common import stage, unstage
@@ -23,16 +23,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node that is not its component's least, and that least. edges: long columns a, b; loops are dropped.
 
     A round only joins nodes with the least of their neighbours, so no neighbour list is ever gathered in one task. Each
-    round is written to the shared folder; the driver sees a count and a checksum.
+    round is written to the shared folder; the driver sees a count and a checksum, taken as the rows are written.
     """
     edges = stage(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(MOST_ROUNDS):
-        new = stage(_stars(edges), "stars")
+        told = Observation()
+        new = stage(_stars(edges).observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "stars")
         unstage(edges)
         edges = new
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == seen:
+        if told.get == seen:
             return edges
-        seen = now
+        seen = told.get
     raise RuntimeError("components did not settle")

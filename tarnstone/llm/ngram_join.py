@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     sized = 100 * F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")
     overlap = F.ceil((F.col("nx") + F.col("ny")) * similarity / (100 + similarity))
     placed = F.least("ix", "iy") + F.least("rx", "ry") >= overlap
-    links, found = None, None
+    found = None
     for turn in range(PIVOT_ROUNDS):
         have = posting if found is None else posting.join(found.select(F.col("a").alias("doc_id"), "b"), "doc_id", "left")
         have = have.withColumn("part", F.col("doc_id") if found is None else F.coalesce("b", "doc_id"))
@@ -168,10 +168,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
         pivot = have.groupBy("h").agg(F.min_by(F.struct("doc_id", "n", "part", "i", "rest"), F.xxhash64(F.lit(turn), "doc_id")).alias("v"))
         pairs = have.join(pivot, "h").filter("part != v.part").select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("rest").alias("rx"), F.col("v.doc_id").alias("y"), F.col("v.n").alias("ny"), F.col("v.i").alias("iy"), F.col("v.rest").alias("ry"))
         new = _verified(pairs.filter(sized & placed).select("x", "y").distinct(), sets, similarity)
-        links = stage(new if links is None else links.select("a", "b").unionByName(new), "links")
-        if found is not None:
-            unstage(found)
-        found = components(links)
+        # What was found keeps its parts together, so that old links need not be looked at again.
+        before, found = found, components(new if found is None else found.select("a", "b").unionByName(new))
+        if before is not None:
+            unstage(before)
     have = postings.join(found.select(F.col("a").alias("doc_id"), "b"), "doc_id", "left").withColumn("part", F.coalesce("b", "doc_id"))
     open_ = have.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("h")
     have = stage(have.join(open_, "h").select("h", "doc_id", "n", "base", "level", "part", "i", "rest", "before"), "shingle-open")
@@ -191,9 +191,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     differ = sum((F.bit_count(F.col("gx")[k].bitwiseXOR(F.col("gy")[k])) for k in range(1, PARITY)), F.bit_count(F.col("gx")[0].bitwiseXOR(F.col("gy")[0])))
     alike = differ <= F.col("ix") + F.col("rx") + F.col("iy") + F.col("ry") - 2 * overlap
     pairs = probe.join(index, (probe.h == index.h) & (F.col("y") < F.col("x")) & (F.col("px") != F.col("py")) & sized & within & alike & enough).select("x", "y").distinct()
-    links = links.unionByName(_verified(pairs, sets, similarity))
-    found = components(links)
-    unstage(alive, sets, postings, opened)
+    before, found = found, components(found.select("a", "b").unionByName(_verified(pairs, sets, similarity)))
+    unstage(before, alive, sets, postings, opened)
     out = classes.join(found.select(F.col("a").alias("rep"), "b"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("b", "rep").alias("component_id"))
     if several is not None:
         known = out.withColumnRenamed("doc_id", "node").join(names, "node")
