@@ -318,7 +318,7 @@ def generate_ui(template: str, namespace: str, mod: str) -> tuple[str, str, str]
     if template not in TEMPLATES:
         raise ValueError(f"unknown template {template!r}")
     kind = {"title": "label", "overlay_label": "label", "scroll_view": "scroll_view", "grid": "grid", "edit_box": "edit_box", "toggle": "toggle"}
-    name = "".join(p.capitalize() for p in mod.replace("-", "_").replace(" ", "_").split("_"))
+    name = "".join(p[:1].upper() + p[1:] for p in mod.replace("-", "_").replace(" ", "_").split("_"))
     controls = [{c: {"type": kind.get(c, "button" if "button" in c else "panel"), "size": [100, 20]}} for c in TEMPLATES[template]]
     ui = {"namespace": namespace, f"{template}": {"type": "screen" if template.startswith("screen") else "panel", "controls": controls}}
     stub = f"class {name}Screen(object):\n    UI = '{namespace}.{template}'\n"

@@ -45,6 +45,13 @@ def new_canvas(spark, width: int, height: int, colour: tuple[int, int, int, int]
     return rows.select("*", *[F.lit(v).alias(c) for c, v in zip(RGBA, colour, strict=True)])
 
 
+def new_canvases(wanted: DataFrame) -> DataFrame:
+    """The canvases that a table asks for (canvas, width, height, r, g, b, a); those without area or beyond the bounds are left out."""
+    right = F.col("width").between(1, MOST) & F.col("height").between(1, MOST)
+    rows = wanted.filter(right).select("canvas", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"), "width", *RGBA)
+    return rows.select("canvas", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"), "y", *RGBA)
+
+
 def draw(pixels: DataFrame, commands: DataFrame) -> DataFrame:
     """commands: canvas, seq, x, y, r, g, b, a. The last of each place wins; places off the canvas are ignored."""
     last = commands.groupBy(*XY).agg(F.max_by(F.struct(*RGBA), "seq").alias("new"))

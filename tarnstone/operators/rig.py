@@ -13,15 +13,6 @@ from pyspark.sql import functions as F
 from tarnstone.sources.files import stored
 
 CHANNELS = ("rotation", "position", "scale")
-#: Bones of the model templates.
-TEMPLATES = {
-    "blank": ["root"],
-    "humanoid": ["root", "waist", "body", "head", "hat", "leftArm", "leftSleeve", "leftItem", "rightArm", "rightSleeve", "rightItem", "leftLeg", "leftPants", "rightLeg", "rightPants", "jacket", "cape"],
-    "sword": ["root", "handle", "guard", "blade"],
-    "item_flat": ["root", "item"],
-    "quadruped": ["root", "body", "head", "tail", "leg0", "leg1", "leg2", "leg3"],
-}
-
 
 def descendants(bones: DataFrame, top: str) -> DataFrame:
     """bone, depth of all bones under top.
@@ -122,13 +113,6 @@ def model_summary(bones: DataFrame, cubes: DataFrame) -> DataFrame:
     return bones.join(n, "bone", "left").select("bone", "parent", F.coalesce("cubes", F.lit(0)).cast("long").alias("cubes"))
 
 
-def model_template(spark, template: str) -> DataFrame:
-    if template not in TEMPLATES:
-        raise ValueError(f"unknown template {template!r}")
-    root, *rest = TEMPLATES[template]
-    return spark.createDataFrame([(root, None, 0.0, 0.0, 0.0)] + [(b, root, 0.0, 0.0, 0.0) for b in rest], "bone string, parent string, pivot_x double, pivot_y double, pivot_z double")
-
-
 def apply_ops(bones: DataFrame, ops: list[dict]) -> DataFrame:
     """A batch of bone operations, in order; a wrong one raises before anything runs."""
     known = {
@@ -177,6 +161,16 @@ def phase_shift(keyframes: DataFrame, phase: float, length: float) -> DataFrame:
     return shifted.groupBy("anim", "bone", "channel", "t").agg(F.max_by("value", "from_t").alias("value"))
 
 
+def mirror_rotation(keyframes: DataFrame, source: str, target: str, phase: float = 0.0, length: float = 0.0) -> DataFrame:
+    """The target bone's rotation in place of what it had: the source's, with its sign changed, moved in time by phase (modulo
+    length where that is positive); a constant stays one. In animations in which the source has no rotation, nothing changes."""
+    turned = keyframes.filter((F.col("bone") == source) & (F.col("channel") == "rotation"))
+    moved = phase_shift(turned.filter("t IS NOT NULL"), phase, length).select(*keyframes.columns).unionByName(turned.filter("t IS NULL").withColumn("value", -F.col("value")).select(*keyframes.columns))
+    new = moved.withColumn("bone", F.lit(target))
+    there = turned.select("anim", F.lit(target).alias("bone"), F.lit("rotation").alias("channel")).distinct()
+    return keyframes.join(there, ["anim", "bone", "channel"], "left_anti").select(*keyframes.columns).unionByName(new)
+
+
 def scale_time(keyframes: DataFrame, factor: float) -> DataFrame:
     if factor <= 0:
         raise ValueError("the factor must be positive")
@@ -235,6 +229,7 @@ def apply_anim_ops(animations: DataFrame, keyframes: DataFrame, ops: list[dict])
         "set_constant": lambda a, k, o: (a, set_constant(k, one(k, o))),
         "remove_keyframe": lambda a, k, o: (a, k.filter(~((F.col("anim") == o["anim"]) & (F.col("bone") == o["bone"]) & (F.col("channel") == o["channel"]) & F.coalesce(F.col("t") == float(o["t"]), F.lit(False))))),
         "remove_bone_channel": lambda a, k, o: (a, remove_channel(k, o["anim"], o["bone"], o.get("channel", ""))),
+        "mirror_bone_rotation": lambda a, k, o: (a, mirror_rotation(k.filter(F.col("anim") == o["anim"]), o["source_bone"], o["target_bone"], o.get("phase_offset", 0.0), o.get("anim_length", 0.0)).unionByName(k.filter(F.col("anim") != o["anim"]))),
         "scale_time": lambda a, k, o: (a, scale_time(k.filter(F.col("anim") == o["anim"]), o["factor"]).unionByName(k.filter(F.col("anim") != o["anim"]))),
     }
     for o in ops:

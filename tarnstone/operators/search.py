@@ -65,17 +65,20 @@ def unique(tokens: list[str]) -> list[str]:
 def matched(docs: DataFrame, terms: list[str], text: str = "text", key: str = "doc_id", parts: list[str] | None = None) -> DataFrame:
     """Postings of the query's terms straight from the documents: (*parts, doc_id, term, tf, dl, df, n, avg_dl).
 
-    Only query terms are exploded; lengths come from the token array. Statistics are taken within parts.
+    Texts are cut twice: for the statistics, one row a part, in which each term of the query is counted, and for the hits,
+    which are told without a shuffle. A row is a document of its own.
     """
-    parts = parts or []
+    parts, terms = parts or [], terms or [""]
     rows = docs.select(*parts, F.col(key).alias("doc_id"), tokenize_en(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
     rows = rows.select(*parts, "doc_id", F.size("tokens").cast("long").alias("dl"), F.filter("tokens", lambda t: t.isin(terms)).alias("hits"))
-    hits = rows.select(*parts, "doc_id", "dl", F.explode("hits").alias("term")).groupBy(*parts, "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
-    df = hits.groupBy(*parts, "term").agg(F.count(F.lit(1)).alias("df"))
+    df = F.map_from_arrays(F.array(*map(F.lit, terms)), F.array(*[F.count_if(F.array_contains("hits", t)) for t in terms]))
+    stats = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"), df.alias("dfs"))
+    counted = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).cast("long").alias("tf")))
+    hits = rows.filter(F.size("hits") > 0).select(*parts, "doc_id", "dl", F.inline(counted))
     if parts:
-        return hits.join(df, [*parts, "term"]).join(stats, parts)
-    return hits.join(F.broadcast(df), "term").withColumns({"n": stats.select("n").scalar(), "avg_dl": stats.select("avg_dl").scalar()})
+        return hits.join(stats, parts).withColumn("df", F.element_at("dfs", F.col("term"))).drop("dfs")
+    known = hits.withColumn("stats", stats.select(F.struct("n", "avg_dl", "dfs")).scalar())
+    return known.select("doc_id", "term", "tf", "dl", F.element_at("stats.dfs", F.col("term")).alias("df"), "stats.n", "stats.avg_dl")
 
 
 def weight() -> Column:

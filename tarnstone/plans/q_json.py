@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -238,5 +239,11 @@ def _(region, nation, supplier):
 
 @query("template_render", None, "nation")
 def _(nation):
-    rows = [(t, *J.generate_ui(t, "demo", "my-mod")) for t in sorted(J.TEMPLATES)]
-    return nation.sparkSession.createDataFrame(rows, "template string, ui string, code string, defs string")
+    """Every template's screen for each nation, whose name is the namespace."""
+
+    def rendered(parts):
+        for pdf in parts:
+            rows = [(n, t, *J.generate_ui(t, n.lower().replace(" ", "_"), n.lower())) for n in pdf["n_name"] for t in sorted(J.TEMPLATES)]
+            yield pd.DataFrame(rows, columns=["nation", "template", "ui", "code", "defs"])
+
+    return nation.select("n_name").mapInPandas(rendered, "nation string, template string, ui string, code string, defs string")

@@ -33,9 +33,12 @@ def _(e):
     return pixels(e)
 
 
-@query("canvas_new", "SELECT CAST(0 AS BIGINT) AS canvas, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, 255 AS r, 0 AS g, 0 AS b, 255 AS a FROM range(20) t(x), range(10) u(y)", *E)
-def _(e):
-    return R.new_canvas(e.sparkSession, 20, 10, RED)
+@query("canvas_new", """SELECT CAST(p_partkey AS BIGINT) AS canvas, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(p_size AS INTEGER) AS r, 0 AS g, 0 AS b, 255 AS a
+FROM part, range(8) t(x), range(20) u(y) WHERE x < p_size % 8 AND y < 1 + p_size % 20""", "part")
+def _(part):
+    """A canvas for each part, as wide and tall as its size says; a width of 0 is no canvas."""
+    size = F.col("p_size").cast("int")
+    return R.new_canvases(part.select(F.col("p_partkey").cast("long").alias("canvas"), (size % 8).alias("width"), (1 + size % 20).alias("height"), size.alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"), F.lit(255).alias("a")))
 
 
 @query("draw_batch", painted("x = 2 AND y = 3", BLUE), *E)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnstone.operators import models as M
 from tarnstone.operators import rig as R
 from tarnstone.plans.base import query
 
@@ -142,9 +143,67 @@ def _(part):
     return R.model_summary(b, c).select("bone", "cubes")
 
 
-@query("model_template", "SELECT unnest(['root', 'handle', 'guard', 'blade']) AS bone", "nation")
-def _(nation):
-    return R.model_template(nation.sparkSession, "sword").select("bone")
+KIND = "CASE p_size % 5 WHEN 0 THEN 'blank' WHEN 1 THEN 'humanoid' WHEN 2 THEN 'sword' WHEN 3 THEN 'item_flat' ELSE 'quadruped' END"
+TEMPLATE_ROWS = ", ".join(f"('{t}', '{b}', {p!r}, {[float(x) for x in at]})".replace("None", "NULL") for t, rows in M.TEMPLATES.items() for b, p, at in rows)
+
+
+def _kinds(part):
+    kind = F.element_at(F.array(*[F.lit(t) for t in ("blank", "humanoid", "sword", "item_flat", "quadruped")]), (F.col("p_size") % 5 + 1).cast("int"))
+    return part.select(F.col("p_partkey").cast("string").alias("model"), kind.alias("template"), F.lit(64).alias("texture_width"), F.col("p_size").alias("texture_height"))
+
+
+@query("model_template", f"SELECT CAST(p_partkey AS VARCHAR) AS model, bone, parent, CAST(place[1] AS DOUBLE) AS x, CAST(place[2] AS DOUBLE) AS y, CAST(place[3] AS DOUBLE) AS z FROM (SELECT *, {KIND} AS template FROM part) JOIN (VALUES {TEMPLATE_ROWS}) t(template, bone, parent, place) USING (template)", "part")
+def _(part):
+    """A model for each part, from the template that its size names."""
+    bones = M.from_templates(_kinds(part)).bones
+    return bones.select("model", "bone", "parent", *[F.col("pivot")[i].alias(c) for i, c in enumerate("xyz")])
+
+
+#: On models with a leg2 all operations run; swords, flat and blank items and humanoids fail at the one for leg2.
+OPS = [
+    {"op": "set_texture_size", "tex_width": 32, "tex_height": 16}, {"op": "add_cube", "bone_name": "root", "origin": [1, 2, 3], "size": [4, 5, 6], "uv": "[0, 8]", "cube_pivot": [7, 0, 0]},
+    {"op": "add_cube", "bone_name": "root", "origin": [0, 0, 0], "size": [2, 2, 2], "uv": "[1, 1]", "inflate": 0.5}, {"op": "mirror_bone", "bone_name": "root", "new_name": "twin"},
+    {"op": "mirror_bone", "bone_name": "leg2", "new_name": "leg4"}, {"op": "edit_cube", "bone_name": "root", "cube_index": 1, "size": [3, 3, 3], "cube_rotation": [0, 45, 0]},
+    {"op": "remove_cube", "bone_name": "root", "cube_index": 0}, {"op": "rename_bone", "bone_name": "body", "new_name": "trunk"}, {"op": "set_bone_transform", "bone_name": "leg4", "rotation": [0, 0, 90]},
+    {"op": "add_locator", "bone_name": "head", "locator_name": "eye", "position": [0, 15, 9]}, {"op": "remove_bone", "bone_name": "tail"}, {"op": "add_bone", "bone_name": "flag", "parent": "trunk", "pivot": [0, 1, 2]},
+]
+
+
+@query("model_batch", f"""WITH w AS (SELECT CAST(p_partkey AS VARCHAR) AS model, {KIND} AS template FROM part), b AS (SELECT model, template, bone, parent, place FROM w JOIN (VALUES {TEMPLATE_ROWS}) t(template, bone, parent, place) USING (template)),
+n AS (SELECT model, CASE bone WHEN 'body' THEN 'trunk' ELSE bone END AS bone, CASE parent WHEN 'body' THEN 'trunk' ELSE parent END AS parent, place, NULL AS turn FROM b WHERE template = 'quadruped' AND bone <> 'tail'
+UNION ALL SELECT model, 'leg4', 'trunk', [3.0, 6.0, -5.0], 90.0 FROM w WHERE template = 'quadruped' UNION ALL SELECT model, 'twin', NULL, [0.0, 0.0, 0.0], NULL FROM w WHERE template = 'quadruped'
+UNION ALL SELECT model, 'flag', 'trunk', [0.0, 1.0, 2.0], NULL FROM w WHERE template = 'quadruped' UNION ALL SELECT model, bone, parent, place, NULL FROM b WHERE template <> 'quadruped')
+SELECT model, bone, parent, CAST(place[1] AS DOUBLE) AS x, CAST(place[2] AS DOUBLE) AS y, CAST(place[3] AS DOUBLE) AS z, CAST(turn AS DOUBLE) AS turn FROM n""", "part")
+def _(part):
+    """Bones of all models after one batch; models in which an operation cannot run keep what they had."""
+    bones = M.apply_model_ops(M.from_templates(_kinds(part)), OPS)[0].bones
+    return bones.select("model", "bone", "parent", *[F.col("pivot")[i].alias(c) for i, c in enumerate("xyz")], F.get("rotation", F.lit(2)).alias("turn"))
+
+
+@query("model_batch_cubes", f"""WITH w AS (SELECT CAST(p_partkey AS VARCHAR) AS model, {KIND} AS template FROM part)
+SELECT model, c.* FROM w, (VALUES ('root', 0, 0.0::DOUBLE, 3.0::DOUBLE, '[1, 1]', 0.5::DOUBLE, CAST(NULL AS DOUBLE), 45.0::DOUBLE, CAST(NULL AS BOOLEAN)), ('twin', 0, -5.0, 4.0, '[0, 8]', NULL, -7.0, NULL, true), ('twin', 1, -2.0, 2.0, '[1, 1]', 0.5, NULL, NULL, true))
+c(bone, idx, x, width, uv, inflate, pivot_x, turn, mirror) WHERE template = 'quadruped'""", "part")
+def _(part):
+    """Cubes of the same batch."""
+    cubes = M.apply_model_ops(M.from_templates(_kinds(part)), OPS)[0].cubes
+    at = lambda c, i: F.get(c, F.lit(i))
+    return cubes.select("model", "bone", F.col("idx").cast("int").alias("idx"), at("origin", 0).alias("x"), at("size", 0).alias("width"), "uv", "inflate", at("pivot", 0).alias("pivot_x"), at("rotation", 1).alias("turn"), "mirror")
+
+
+@query("model_batch_failures", f"""WITH w AS (SELECT CAST(p_partkey AS VARCHAR) AS model, {KIND} AS template, p_size FROM part)
+SELECT model, CASE WHEN template = 'quadruped' THEN NULL ELSE 4 END AS at, CASE WHEN template = 'quadruped' THEN NULL ELSE 'no such bone' END AS reason, CASE WHEN template = 'quadruped' THEN 32 ELSE 64 END AS texture_width, CASE WHEN template = 'quadruped' THEN 16 ELSE CAST(p_size AS INTEGER) END AS texture_height FROM w""", "part")
+def _(part):
+    """Where the batch failed, and each model's texture size after it."""
+    g, failed = M.apply_model_ops(M.from_templates(_kinds(part)), OPS)
+    return g.models.join(failed, "model", "left").select("model", "at", "reason", "texture_width", "texture_height")
+
+
+@query("anim_mirror", f"""WITH {K_SQL}, s AS (SELECT anim, round((t + 0.5) % 4.0, 6) AS t2, arg_max(-value, t) AS v FROM k WHERE anim = 'a1' AND bone = 'u1' AND channel = 'rotation' GROUP BY anim, t2)
+SELECT anim, bone, channel, t, value FROM k WHERE NOT (anim = 'a1' AND bone = 'u4' AND channel = 'rotation' AND EXISTS (SELECT 1 FROM s)) UNION ALL SELECT anim, 'u4', 'rotation', t2, v FROM s""", "events")
+def _(events):
+    """One bone's rotation mirrored onto another, in a batch."""
+    k = keyframes(events)
+    return R.apply_anim_ops(animations(k), k, [{"op": "mirror_bone_rotation", "anim": "a1", "source_bone": "u1", "target_bone": "u4", "phase_offset": 0.5, "anim_length": 4.0}])[1]
 
 
 @query("keyframes", f"WITH {K_SQL} SELECT * FROM k WHERE channel = 'rotation'", "events")

@@ -130,11 +130,15 @@ def pretty(tree: Any, indent: int = 2) -> str:
 def write_json(spark: SparkSession, trees: DataFrame, folder: str, indent: int = 2) -> None:
     """Writes each tree (path, json) to its own file under a folder on any store Spark writes to, laid out anew.
 
-    A file is written beside its place and renamed, so a reader sees the old one or the new one. A path that leaves the folder
-    raises, and so does a text that is no JSON; files before it are written then.
+    A file is written beside its place and moved over it in one step, so a reader sees the old one or the new one. A path that
+    leaves the folder raises, and so does a text that is no JSON; files before it are written then. Texts come to the driver
+    one partition at a time.
     """
-    jvm = spark.sparkContext._jvm
-    store = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    store, _ = _place(spark, folder)
+    over = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), spark._jsparkSession.sessionState().newHadoopConf())
     for row in trees.select("path", "json").toLocalIterator():
         if ".." in row["path"] or row["path"].startswith("/"):
             raise ValueError(f"not a path under the folder: {row['path']!r}")
@@ -143,8 +147,7 @@ def write_json(spark: SparkSession, trees: DataFrame, folder: str, indent: int =
         out = store.create(beside, True)
         out.write(body)
         out.close()
-        store.delete(place, False)
-        store.rename(beside, place)
+        files.rename(beside, place, over)
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
