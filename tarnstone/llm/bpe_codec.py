@@ -99,6 +99,10 @@ class WordCodec:
         known = regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000))
         fresh = [ord(c) for c in known if unicodedata.category(c) == "Cn"]
         self.fresh = re.compile(f"[{ranges(fresh)}]")
+        # What a pattern of few ranges tells at once: texts without any of these need no normaliser and hold nothing fresh or young.
+        self.rare = re.compile("[\u0300-\u2001\u2070-\u209f\u20d0-\U0010ffff]")
+        self.beyond = re.compile("[\U00010000-\U0010ffff]")
+        self.fresh_below = re.compile(f"[{ranges([c for c in fresh if c < 0x10000])}]")
         self.newer = re.compile(f"[{ranges([c for c in fresh if not any(a <= c <= b for a, b in SIXTEEN)])}]")
         self.young = re.compile(f"([{''.join(f'{chr(a)}-{chr(b)}' for a, b in YOUNG)}])")
         self.finditer = regex.compile(split.replace(r"\s", r"\p{White_Space}")).finditer
@@ -198,19 +202,15 @@ class WordCodec:
         """Words to encode. Blanks fall away here, so those that the normaliser makes equal need not be."""
         if text.isascii():
             return self.find_ascii(text.lower())
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            if self.young.search(text):
-                text = "".join(x if i % 2 else unicodedata.normalize("NFC", x) for i, x in enumerate(self.young.split(text)))
-            else:
-                text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ").lower()
-            if self.fresh.search(text):
-                text = text.translate(CAPITALS)
-                return [text[m.start() : m.end()] for m in self.finditer(self.newer.sub(NONE, text))]
-            return self.find(text)
-        return self.find(text.lower())
+        if self.rare.search(text) is None:
+            return self.find(text.lower())
+        if not unicodedata.is_normalized("NFC", text) or self.young.search(text):
+            text = "".join(x if i % 2 else unicodedata.normalize("NFC", x) for i, x in enumerate(self.young.split(text)))
+        text = text.replace("Σ", "σ").lower()
+        if self.fresh_below.search(text) or self.beyond.search(text) and self.fresh.search(text):
+            text = text.translate(CAPITALS)
+            return [text[m.start() : m.end()] for m in self.finditer(self.newer.sub(NONE, text))]
+        return self.find(text)
 
     def parts(self, text: str) -> list[tuple[bool, str]]:
         """The text cut at special strings: (is special, piece)."""
