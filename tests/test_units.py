@@ -150,3 +150,20 @@ def test_thousands_of_rectangles(spark):
     assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
     got = out.toPandas()
     assert len(got) == 3 * w * h and (grid[got["canvas"], got["y"], got["x"]] == got[["r", "g", "b", "a"]].to_numpy()).all()
+
+
+def test_query_tokens_by_mode():
+    """The decision table: text kind by mode, in both phases; a segmenter that finds nothing falls back to English."""
+    from tarnstone.operators.search import query_tokens
+
+    def cut(text):
+        return [c for c in text if not c.isascii()]
+
+    rows = [
+        ("Set_Pos x", "auto", False, ["set_pos", "x"]), ("Set_Pos x", "auto", True, ["set_pos", "x"]), ("?!", "auto", False, []),
+        ("Set 位置", "auto", False, ["位", "置"]), ("Set 位置", "english", False, ["set"]), ("Set 位置", "prefer_english_fallback", False, ["位", "置"]),
+        ("Set 位置", "prefer_english_fallback", True, ["set"]), ("Set Pos", "prefer_english_fallback", False, ["set", "pos"]), ("", "auto", False, []),
+    ]
+    for text, mode, second, want in rows:
+        assert query_tokens(text, mode, second, cut) == want, (text, mode, second)
+    assert query_tokens("Set 位置") == ["set"]
