@@ -90,12 +90,12 @@ def _(spark, events, folder):
     return C.flushed_counters(spark, f"{folder}/counts")
 
 
-@_streamed("stream_windows", """WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS start, event_type AS tool, count(*) AS n FROM events GROUP BY ALL)
-SELECT * FROM w WHERE start + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+@_streamed("stream_windows", "SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS start, event_type AS tool, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, events, folder):
-    """Windows of a stream under a watermark, each told once when it closes; those that the watermark has not passed are not told."""
+    """Windows of a stream under a watermark: those that it has told when they closed, and those that it still holds open."""
     C.window_stream(events, f"{folder}/checkpoint", f"{folder}/windows").awaitTermination()
-    return spark.read.schema("start timestamp, tool string, n long").parquet(f"{folder}/windows").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    told = spark.read.schema("start timestamp, tool string, n long").parquet(f"{folder}/windows")
+    return told.unionByName(C.open_windows(spark, f"{folder}/checkpoint")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 CLOSED = """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 60 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events),

@@ -101,6 +101,13 @@ def window_stream(events: DataFrame, checkpoint: str, sink: str, every: str = FL
     return counted.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """start, tool, n of the windows that a window_stream which has ended still holds in its state, not told yet."""
+    held = spark.read.format("statestore").load(checkpoint)
+    window, tool = held.schema["key"].dataType.names
+    return held.select(F.col("key").getField(window)["start"].alias("start"), F.col("key").getField(tool).alias("tool"), F.col("value.count").alias("n"))
+
+
 def session_states(events: DataFrame) -> DataFrame:
     """session, event_id, accepted: a request counts only after its session has begun; 'view' begins one, 'click' needs none."""
     so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)

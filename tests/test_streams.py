@@ -103,3 +103,19 @@ def test_counters_over_restarts_and_replays(spark, tmp_path):
     # A flush that was not written whole is not read.
     (tmp_path / f"out/epoch={done[-1] + 5}").mkdir()
     assert rows_of(C.flushed_counters(spark, sink)) == before
+
+
+def test_told_and_open_windows_are_all_windows(spark, tmp_path):
+    rows = made(4)
+    schema = "start timestamp, tool string, n long"
+    told = run(spark, tmp_path, [rows[:200], rows[200:]], C.window_stream, schema)
+    held = C.open_windows(spark, str(tmp_path / "checkpoint"))
+    want = C.tumbling(spark.createDataFrame(rows, SCHEMA)).select("start", "tool", "n")
+    assert rows_of(told.unionByName(held)) == rows_of(want) and 0 < held.count() < told.count()
+
+
+def test_stream_windows_tells_the_newest_windows(spark, sf):
+    import __spark_entry__ as entry
+
+    newest = spark.read.parquet(f"{sf}/events.parquet").agg(F.date_trunc("hour", F.max("ts")).cast("timestamp_ntz").alias("t")).scalar()
+    assert entry.queries()["stream_windows"](spark, sf).filter(F.col("start") >= newest).count() > 0
