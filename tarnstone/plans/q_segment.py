@@ -6,6 +6,7 @@ import math
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +32,13 @@ def segmented(docs: DataFrame, how: str) -> DataFrame:
     def cut(parts):
         s = G.Segmenter(G.Lexicon.parse(WORDS), model())
         call = {"seg_mp": s.mp, "seg_hmm": s.hmm, "seg_mix": s.mix, "seg_search": s.search, "seg_full": s.full, "seg_small": lambda t: s.small(t, 2), "tokenize_cn": s.tokens, "seg_tags": lambda t: [f"{w}/{k}" for w, k in s.tags(t)]}[how]
-        for pdf in parts:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "words": ["|".join(call(t)) for t in pdf["text"]]})
+        for batch in parts:
+            for some in G.slices(batch, "text"):
+                words = pa.array(["|".join(call(t)) for t in some["text"].to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([some["doc_id"], words], ["doc_id", "words"])
 
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
-    return docs.filter("text IS NOT NULL").select("doc_id", F.concat(phrase, F.lit(" "), F.col("text")).alias("text")).mapInPandas(cut, "doc_id long, words string")
+    return docs.filter("text IS NOT NULL").select("doc_id", F.concat(phrase, F.lit(" "), F.col("text")).alias("text")).mapInArrow(cut, "doc_id long, words string")
 
 
 for _how in ("seg_mp", "seg_hmm", "seg_mix", "seg_search", "seg_full", "seg_small", "tokenize_cn", "seg_tags"):

@@ -110,3 +110,34 @@ def test_inserted_and_deleted_words_count_at_once(segmenter):
     assert segmenter.mp("龙与地下城") == ["龙", "与", "地下城"]
     segmenter.lexicon.delete("地下城")
     assert segmenter.mp("龙与地下城") == list("龙与地下城")
+
+
+def test_text_without_dictionary_words_is_cut_at_once(segmenter):
+    from time import perf_counter
+
+    text = "今天天气很好 " + "It rained, on the 3rd of May; nobody (but déjà-vu) minded.\n" * 12_000
+    begin = perf_counter()
+    mixed, path, tags = segmenter.mix(text), segmenter.mp(text), segmenter.tags(text)
+    assert perf_counter() - begin < 4  # 8.2 s before
+    assert "".join(mixed) == "".join(path) == "".join(w for w, _ in tags) == text and mixed[:5] == ["今天", "天气", "很好", " ", "It"]
+
+
+@pytest.mark.parametrize("own", [(), ("很", "Z")])
+def test_parts_are_cut_as_the_whole(own):
+    """The parts that no dictionary word can begin in, beside the path over every character and the model over what is loose."""
+    s = G.Segmenter(G.Lexicon.parse([*WORDS, "T恤 5 n", "，今 9 n", "天 4 n"], own), model())
+    rnd = random.Random(7)
+    for _ in range(1500):
+        text = "".join(rnd.choices(CHARS + "，。 \t\n\rab12.Zé龙-T恤😀", k=rnd.randint(0, 40)))
+        path = [w for run in s.runs(text) for w in s._longest_path(run, 512)]
+        assert s.mp(text) == path and s.mix(text) == s._mixed(path)
+        assert s.hmm(text) == [w for run in s.runs(text) for w in s.markov.cut(run)]
+        assert s.tokens(text) == [w for w in s.search(text) if w not in (" ", "\t", "\n")]
+
+
+def test_rows_become_python_objects_in_bounded_parts():
+    import pyarrow as pa
+
+    texts = ["x" * (i % 50 * 40) if i % 7 else None for i in range(3000)] + ["y" * 50_000] + [""] * 5
+    parts = [p.to_pylist() for p in G.slices(pa.array(texts), most=10_000)]
+    assert sum(parts, []) == texts and all(len(p) == 1 or sum(len(t or "") for t in p) <= 10_000 for p in parts) and len(parts) < 600
