@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import uuid
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,14 +55,16 @@ def _(docs):
     """doc_id, word, weight of each text's five best words."""
 
     def ranked(parts):
-        for pdf in parts:
-            rows = []
-            for d, words in zip(pdf["doc_id"], pdf["words"], strict=True):
-                best = sorted(G.textrank(list(words)).items(), key=lambda x: (-x[1], x[0]))[:5]
-                rows += [(d, w, round(v, 6)) for w, v in best]
-            yield pd.DataFrame(rows, columns=["doc_id", "word", "weight"])
-
-    return docs.filter("text IS NOT NULL").select("doc_id", tokenize_en(F.col("text")).alias("words")).mapInPandas(ranked, "doc_id long, word string, weight double")
+        for batch in parts:
+            for some in G.slices(batch, "words"):
+                words = some["words"]
+                row, word, weight = G.textranks(pc.list_parent_indices(words).to_numpy(), words.flatten())
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                five = pa.array(np.flatnonzero(place < 5))
+                weights = pa.array([round(v, 6) for v in weight[place < 5].tolist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([some["doc_id"].take(pa.array(row[place < 5])), word.take(five), weights], ["doc_id", "word", "weight"])
+
+    return docs.filter("text IS NOT NULL").select("doc_id", tokenize_en(F.col("text")).alias("words")).mapInArrow(ranked, "doc_id long, word string, weight double")
 
 
 @query("dict_lookup", """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM documents)

@@ -141,3 +141,20 @@ def test_rows_become_python_objects_in_bounded_parts():
     texts = ["x" * (i % 50 * 40) if i % 7 else None for i in range(3000)] + ["y" * 50_000] + [""] * 5
     parts = [p.to_pylist() for p in G.slices(pa.array(texts), most=10_000)]
     assert sum(parts, []) == texts and all(len(p) == 1 or sum(len(t or "") for t in p) <= 10_000 for p in parts) and len(parts) < 600
+
+
+def test_texts_ranked_together_are_ranked_as_alone():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rnd = random.Random(3)
+    docs = [[], ["a"], ["a"] * 9, ["b", "a"], sorted(f"w{i:04}" for i in range(300)), *[[f"w{min(int(rnd.expovariate(0.1)), 90)}" for _ in range(rnd.randint(0, 120))] for _ in range(300)]]
+    got = [[] for _ in docs]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs, pa.list_(pa.string()))], ["doc_id", "words"])
+    for part in G.slices(rows, "words", 20_000):
+        at, words, weights = G.textranks(pc.list_parent_indices(part["words"]).to_numpy(), part["words"].flatten())
+        for i, w, x in zip(at.tolist(), words.to_pylist(), weights.tolist(), strict=True):
+            got[part["doc_id"][i].as_py()].append((w, x))
+    for words, have in zip(docs, got, strict=True):
+        want = sorted(G.textrank(words).items(), key=lambda x: (-x[1], x[0]))
+        assert [w for w, _ in have] == [w for w, _ in want] and all(math.isclose(x, y, rel_tol=1e-12) for (_, x), (_, y) in zip(have, want, strict=True))
