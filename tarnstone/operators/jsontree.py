@@ -160,7 +160,10 @@ def missing_namespace(docs: DataFrame, json_col: str = "json") -> DataFrame:
 def line_lints(lines: DataFrame) -> DataFrame:
     """line_no, rule of lines with a bound name that does not start with # or $, or a percentage that runs into its offset."""
     bound = F.regexp_extract("line", r'"binding_name"\s*:\s*"([^"]*)"', 1)
-    rule = F.when((bound != "") & ~bound.rlike("^[#$]"), "binding").when(F.col("line").rlike(r'"size".*[0-9]%[+-][0-9]'), "spacing")
+    # What follows the first "size" is looked at once: after each of them, a tree written in one line takes the square of its length.
+    after = lambda x: F.substr(x, F.instr(x, '"size"') + 6).rlike("[0-9]%[+-][0-9]")
+    spaced = F.exists(F.split("line", r"[\r\x{85}\x{2028}\x{2029}]"), lambda x: F.when(F.instr(x, '"size"') > 0, after(x)).otherwise(False))
+    rule = F.when((bound != "") & ~bound.rlike("^[#$]"), "binding").when(spaced, "spacing")
     return lines.filter(~F.col("line").rlike(r"^\s*//")).withColumn("rule", rule).filter("rule IS NOT NULL")
 
 

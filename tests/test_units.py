@@ -167,3 +167,16 @@ def test_query_tokens_by_mode():
     for text, mode, second, want in rows:
         assert query_tokens(text, mode, second, cut) == want, (text, mode, second)
     assert query_tokens("Set 位置") == ["set"]
+
+
+def test_line_rules_on_a_tree_in_one_line(spark):
+    """Each "size" of a line was followed to the line's end, which takes the square of its length."""
+    from time import perf_counter
+
+    from tarnstone.operators.jsontree import line_lints
+
+    long = '{"size":[1,20]},' * 60_000
+    rows = [(1, long), (2, long + '"size": "100%+5px"'), (3, '"x": "3%-4", "size": 5'), (4, '"size": 5\r"x": "3%+4"'), (5, '"size": 1\r "size": "9%-1"'), (6, "// \"size\": 3%+4"), (7, None)]
+    begin = perf_counter()
+    assert [r.line_no for r in line_lints(spark.createDataFrame(rows, "line_no int, line string")).filter("rule = 'spacing'").orderBy("line_no").collect()] == [2, 5]
+    assert perf_counter() - begin < 30
