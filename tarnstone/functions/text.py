@@ -36,7 +36,7 @@ def ascii_lower(c: Column) -> Column:
 
 def tokenize_en(c: Column) -> Column:
     """ASCII word runs in lower case, in order, repeats kept. Runs are cut before lowering, so folding makes no tokens."""
-    return F.transform(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), ascii_lower)
+    return F.transform(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), F.lower)  # a run is ASCII, where lower folds A-Z alone
 
 
 def normalize_tokens(tokens: Column) -> Column:

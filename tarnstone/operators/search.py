@@ -25,10 +25,13 @@ class Index:
     corpus: DataFrame
 
     def save(self, path: str) -> None:
-        """postings are ranged and sorted by term, so that a search reads the row groups of its terms."""
+        """postings are ranged and sorted by term, so that a search reads the row groups of its terms. What follows from the
+        postings and lengths is counted from them as they were written, so texts are not cut again for it."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("doc_stats", "terms", "corpus"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        read = self.postings.sparkSession.read
+        corpus_of(read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(f"{path}/corpus")
+        terms_of(read.parquet(f"{path}/postings"), read.parquet(f"{path}/corpus")).write.mode("overwrite").parquet(f"{path}/terms")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
@@ -52,10 +55,17 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Ind
     tokens = with_tokens(docs, text, key)
     postings = term_frequency(tokens).select("term", "doc_id", "tf")
     stats = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"))
-    corpus = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
+    corpus = corpus_of(stats)
+    return Index(postings, stats, terms_of(postings, corpus), corpus)
+
+
+def corpus_of(stats: DataFrame) -> DataFrame:
+    return stats.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
+
+
+def terms_of(postings: DataFrame, corpus: DataFrame) -> DataFrame:
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = df.select("term", "df", idf_of(corpus.select("n").scalar(), F.col("df")).alias("idf"))
-    return Index(postings, stats, terms, corpus)
+    return df.select("term", "df", idf_of(corpus.select("n").scalar(), F.col("df")).alias("idf"))
 
 
 def unique(tokens: list[str]) -> list[str]:
@@ -167,15 +177,31 @@ def query_tokens(text: str, mode: str = "auto", second: bool = False, chinese=No
     return (chinese(text) if chinese else []) or english
 
 
-def tfidf_keywords(docs: DataFrame, top_n: int) -> DataFrame:
-    """doc_id, term, weight, rank: term frequency times idf, best top_n of each document, ties by term. Single letters do not count."""
-    tokens = with_tokens(docs)
-    tf = term_frequency(tokens).filter(F.length("term") > 1)
+#: So many of the commonest terms have their document counts sent to all tasks.
+COMMON = 65536
+
+
+def tfidf_keywords(docs: DataFrame, top_n: int, common: int = COMMON) -> DataFrame:
+    """doc_id, term, weight, rank: term frequency times idf, best top_n of each document, ties by term. Single letters do not count.
+
+    Texts are shuffled once, whole, by document. The commonest terms are weighed where they are counted, and only the best
+    top_n of them in a document go on; only the rows of all other terms are shuffled to their counts.
+    """
+    tf = term_frequency(with_tokens(docs.select("doc_id", "text").repartition("doc_id"))).filter(F.length("term") > 1)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = tokens.agg(F.count(F.lit(1)).alias("n")).scalar()
-    scored = tf.join(df, "term").withColumn("weight", F.round(F.col("tf") * idf_of(n, F.col("df")), 6))
+    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    known = F.broadcast(df.orderBy(F.desc("df"), "term").limit(common))
     best = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_n).select("doc_id", "term", "weight", F.col("rank").cast("long").alias("rank"))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_n)
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", "term", F.round(F.col("tf") * idf_of(n, F.col("df")), 6).alias("weight"))
+
+    first = ranked(weighed(tf.join(known, "term"))).drop("rank")
+    rest = weighed(tf.join(known.select("term"), "term", "left_anti").join(df, "term"))
+    return ranked(first.unionByName(rest)).select("doc_id", "term", "weight", F.col("rank").cast("long").alias("rank"))
 
 
 __all__ = ["Index", "bm25", "build_index", "fallback", "looks_english", "matched", "query_index", "query_tokens", "search_all", "search_assets", "search_identifiers", "tfidf_keywords", "top"]

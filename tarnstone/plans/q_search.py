@@ -52,8 +52,8 @@ def _(docs):
 
 
 def posting_lists(p):
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["tf"].cast("string")))
-    return p.groupBy("term").agg(F.array_join(listed, " ").alias("postings"))
+    said = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("tf").cast("string")).alias("said")
+    return p.groupBy("term").agg(F.array_join(F.sort_array(F.collect_list(F.struct("doc_id", said)))["said"], " ").alias("postings"))
 
 
 @query("inverted_index", f"{BASE} SELECT term, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM p GROUP BY term")

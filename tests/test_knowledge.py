@@ -207,3 +207,33 @@ def test_refresh_and_subscription(spark, tree):
     assert service.search_wiki("zebra").count() == 1 and service.search_wiki("okapi").count() == 1
     again = SearchService(spark, str(tree), index=f"file://{index}")
     assert again.index.manifest().epoch == 2 and again.search_wiki("okapi").first().content == "## Other\nokapi\n"
+
+
+def test_saved_terms_are_counted_from_saved_postings(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tarnstone.operators import search as S
+
+    cuts = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(text):
+        cuts.add(1)
+        return text
+
+    docs = spark.createDataFrame([(1, "The cat, the Dog"), (2, "a dog"), (3, None), (4, "x_1 X_1 É İ \u212a")], "doc_id long, text string")
+    S.build_index(docs.withColumn("text", said("text"))).save(str(tmp_path / "i"))
+    print("cuts", cuts.value)
+    assert cuts.value <= 16  # postings, with the sample for their ranges, and lengths; terms and statistics need no text
+    kept, whole = S.Index.load(spark, str(tmp_path / "i")), S.build_index(docs)
+    for name in ("postings", "doc_stats", "terms", "corpus"):
+        assert sorted(map(tuple, getattr(kept, name).select(*getattr(whole, name).columns).collect())) == sorted(map(tuple, getattr(whole, name).collect()))
+    assert {r.term for r in kept.terms.collect()} == {"the", "cat", "dog", "a", "x_1"}
+
+
+def test_keywords_of_rare_and_common_terms(spark, sf):
+    from tarnstone.operators import search as S
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = lambda common: sorted(map(tuple, S.tfidf_keywords(docs, 5, common).collect()))
+    assert rows(50) == rows(S.COMMON) and len(rows(50)) > 500
