@@ -223,7 +223,6 @@ def test_saved_terms_are_counted_from_saved_postings(spark, tmp_path):
 
     docs = spark.createDataFrame([(1, "The cat, the Dog"), (2, "a dog"), (3, None), (4, "x_1 X_1 É İ \u212a")], "doc_id long, text string")
     S.build_index(docs.withColumn("text", said("text"))).save(str(tmp_path / "i"))
-    print("cuts", cuts.value)
     assert cuts.value <= 16  # postings, with the sample for their ranges, and lengths; terms and statistics need no text
     kept, whole = S.Index.load(spark, str(tmp_path / "i")), S.build_index(docs)
     for name in ("postings", "doc_stats", "terms", "corpus"):
