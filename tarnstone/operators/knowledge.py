@@ -1,7 +1,7 @@
 """A stored search index over files: fragments, posting blocks and a manifest, refreshed file by file.
 
-Each refresh writes a generation of its own: files (path, modified, length), docs (fragments with their token count), terms
-(df), stats (n, avg_dl of each category) and blocks. A one-row manifest with version, set-up and fingerprint is written
+Each refresh writes a generation of its own: files (path, modified, length), docs (fragments with their token count and their
+terms), terms (df), stats (n, avg_dl of each category) and blocks. A one-row manifest with version, set-up and fingerprint is written
 last, so that readers see whole generations only. Categories may have tokenisers of their own; all share one table of
 postings.
 """
@@ -14,23 +14,26 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnstone.functions.segment import Segmenter
+from tarnstone.functions.segment import Segmenter, slices
 from tarnstone.functions.text import tokenize_en
 from tarnstone.operators.search import K1, B, idf_of, top, unique
 from tarnstone.sources.files import delete, differences, exists, stored
 
 #: Of the layout of the tables; an index of another version is built anew.
-VERSION = 1
+VERSION = 3
 #: Postings of a block at most.
 BLOCK = 1024
+#: Documents of a range of ids, about, and postings of one term that travel together at most.
+RANGE, RUN = 65536, 64
 FRAGMENT = ["doc_id", "file", "category", "line_start", "line_end", "content"]
 MANIFEST = "epoch long, version int, setup string, fingerprint string, generation string"
 BLOCKS = "category string, term string, first long, last long, n int, impact double, docs array<long>, tfs array<int>, dls array<int>"
+RUNS = "category string, term string, range int, docs array<long>, tfs array<int>, dls array<int>, avg_dl double"
 
 
 @dataclass(frozen=True)
@@ -48,15 +51,130 @@ def chinese(spark: SparkSession, segmenter: Segmenter, stop: frozenset[str] = fr
     """The segmenter's search tokens without stop words, in Arrow batches; its dictionary is sent to each worker once."""
     shared = spark.sparkContext.broadcast((segmenter, stop))
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
         own, without = shared.value
-        return texts.map(lambda t: own.tokens(t, without))
+        parts = [pa.array([own.tokens(t, without) for t in some.to_pylist()], pa.list_(pa.string())) for some in slices(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
     said = hashlib.sha256(repr((segmenter.described(), sorted(stop))).encode()).hexdigest()
     return Tokenizer(f"chinese-1-{said[:16]}", cut)
 
 
+def _cut(category: pa.Array, term: pa.Array, doc: np.ndarray, tf: np.ndarray, dl: np.ndarray, impact: np.ndarray, block: int) -> pa.RecordBatch:
+    """BLOCKS rows of postings (one at least) that are in the order of category, term and document."""
+    new = np.append(True, _changes(category) | _changes(term))
+    run = np.flatnonzero(new)
+    inside = np.arange(len(doc)) - np.repeat(run, np.diff(np.append(run, len(doc))))
+    begin = np.flatnonzero(inside % block == 0)
+    ends = np.append(begin[1:], len(doc))
+    offsets = pa.array(np.append(begin, len(doc)), pa.int32())
+    at = pa.array(begin)
+    columns = [
+        category.take(at), term.take(at), pa.array(doc[begin]), pa.array(doc[ends - 1]), pa.array((ends - begin).astype(np.int32)), pa.array(np.maximum.reduceat(impact, begin)),
+        *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (doc, tf.astype(np.int32), dl.astype(np.int32))],
+    ]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in BLOCKS.split(", ")])
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether a row differs from the one before, from the second row on; a null counts as empty."""
+    column = column.fill_null("")
+    return pc.not_equal(column.slice(1), column.slice(0, max(len(column) - 1, 0))).to_numpy(zero_copy_only=False)
+
+
+def counted(tokens: Column) -> Column:
+    """Of lists of tokens, none null: dl, their length, and their distinct tokens laid end to end (terms), with the bytes of each
+    (sizes) and how often it occurs (tfs), both as 32-bit numbers."""
+
+    def count(lists: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_counted(some) for some in slices(lists, most=1 << 24)] or [_counted(lists)])
+
+    return F.arrow_udf(count, "struct<dl int, terms binary, sizes binary, tfs binary>")(tokens)
+
+
+def _counted(tokens: pa.Array) -> pa.Array:
+    coded = tokens.flatten().dictionary_encode()
+    width = max(len(coded.dictionary), 1)
+    keys, tf = np.unique(pc.list_parent_indices(tokens).to_numpy().astype(np.int64) * width + coded.indices.to_numpy(), return_counts=True)
+    row, code = np.divmod(keys, width)
+    terms = coded.dictionary.take(pa.array(code))
+    sizes = pc.binary_length(terms).to_numpy()
+    at = np.searchsorted(row, np.arange(len(tokens) + 1))
+    ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    columns = [(ends[at], terms.buffers()[2]), (at * 4, pa.py_buffer(sizes.astype("<i4"))), (at * 4, pa.py_buffer(tf.astype("<i4")))]
+    laid = [pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(offsets.astype(np.int32)), body]) for offsets, body in columns]
+    return pa.StructArray.from_arrays([pc.list_value_length(tokens), *laid], ["dl", "terms", "sizes", "tfs"])
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """The 32-bit numbers of all rows of a column that begins at its buffer's start."""
+    n = pc.sum(pc.binary_length(column)).as_py() or 0
+    return np.frombuffer(column.buffers()[2], "<i4", n // 4) if n else np.empty(0, "<i4")
+
+
+def document_blocks(docs: DataFrame, bounds: list[int], block: int = BLOCK) -> DataFrame:
+    """The blocks of posting_blocks, from documents with their terms: category, doc_id, dl, terms, sizes, tfs (see counted), avg_dl.
+
+    bounds: ids, ascending, that cut the documents into ranges. A task packs the postings of its documents into runs of one
+    term and range, so that a term travels once for many documents; runs are ranged by term and range together, and those
+    of one term and range, which are put in order in one task, hold no more documents than the range.
+    """
+    names = [x.split()[0] for x in RUNS.split(", ")]
+    split = np.array(bounds, np.int64)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "terms", 1 << 24):
+                some = some.take(pc.sort_indices(some["doc_id"]))
+                sizes, tf = _numbers(some["sizes"]), _numbers(some["tfs"])
+                if len(sizes) == 0:
+                    continue
+                row = np.repeat(np.arange(len(some)), pc.binary_length(some["sizes"]).to_numpy() // 4)
+                terms = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), some["terms"].buffers()[2]])
+                coded, category = terms.dictionary_encode(), some["category"].dictionary_encode(null_encoding="encode")
+                doc = some["doc_id"].to_numpy()
+                key = (category.indices.to_numpy()[row].astype(np.int64) * len(coded.dictionary) + coded.indices.to_numpy()) * (len(split) + 1) + np.searchsorted(split, doc, "right")[row]
+                by = np.argsort(key, kind="stable")
+                key, row = key[by], row[by]
+                group = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                inside = np.arange(len(key)) - np.repeat(group, np.diff(np.append(group, len(key))))
+                begin = np.flatnonzero(inside % RUN == 0)
+                offsets, first = pa.array(np.append(begin, len(key)), pa.int32()), pa.array(row[begin])
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (doc[row], tf[by], some["dl"].to_numpy()[row])]
+                term = coded.dictionary.take(coded.indices.take(pa.array(by[begin])))
+                yield pa.RecordBatch.from_arrays([some["category"].take(first), term, pa.array((key[begin] % (len(split) + 1)).astype(np.int32)), *lists, some["avg_dl"].take(first)], names)
+
+    def merged(runs: pa.Table) -> pa.RecordBatch:
+        runs = runs.combine_chunks().to_batches()[0]
+        group = np.cumsum(np.append(False, _changes(runs["category"]) | _changes(runs["term"])))
+        run = pc.list_parent_indices(runs["docs"]).to_numpy()
+        doc, tf, dl = (runs[x].flatten().to_numpy() for x in ("docs", "tfs", "dls"))
+        by = np.lexsort((doc, group[run]))
+        doc, tf, dl, run = doc[by], tf[by], dl[by], run[by]
+        avg = np.maximum(runs["avg_dl"].to_numpy()[run], 1e-9)
+        return _cut(runs["category"].take(pa.array(run)), runs["term"].take(pa.array(run)), doc, tf, dl, tf / (tf + K1 * (1 - B + B * dl / avg)), block)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            rows = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+            one = rows.combine_chunks().to_batches()[0]
+            new = _changes(one["category"]) | _changes(one["term"]) | pc.not_equal(one["range"].slice(1), one["range"].slice(0, len(one) - 1)).to_numpy(zero_copy_only=False)
+            last = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
+            if last:
+                yield merged(rows.slice(0, last))
+            kept = rows.slice(last)
+        if kept is not None:
+            yield merged(kept)
+
+    by = ["category", "term", "range"]
+    runs = docs.select("category", "doc_id", "dl", "terms", "sizes", "tfs", "avg_dl").mapInArrow(pack, RUNS)
+    return runs.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(merge, BLOCKS)
+
+
 def posting_blocks(postings: DataFrame, block: int = BLOCK) -> DataFrame:
     """category, term, first, last, n, impact, docs, tfs, dls: a term's postings in document order, in blocks of at most `block`.
 
@@ -66,23 +184,8 @@ def posting_blocks(postings: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch) == 0:
-                continue
-            category, term = (batch.column(i).fill_null("").to_numpy(zero_copy_only=False) for i in (0, 1))
-            new = np.ones(len(batch), bool)
-            new[1:] = (term[1:] != term[:-1]) | (category[1:] != category[:-1])
-            run = np.flatnonzero(new)
-            inside = np.arange(len(batch)) - np.repeat(run, np.diff(np.append(run, len(batch))))
-            begin = np.flatnonzero(inside % block == 0)
-            ends = np.append(begin[1:], len(batch))
-            offsets = pa.array(np.append(begin, len(batch)), pa.int32())
-            doc, tf, dl, impact = (batch.column(i).to_numpy() for i in (2, 3, 4, 5))
-            at = pa.array(begin)
-            columns = [
-                batch.column(0).take(at), batch.column(1).take(at), pa.array(doc[begin]), pa.array(doc[ends - 1]), pa.array((ends - begin).astype(np.int32)), pa.array(np.maximum.reduceat(impact, begin)),
-                *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (doc, tf.astype(np.int32), dl.astype(np.int32))],
-            ]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in BLOCKS.split(", ")])
+            if len(batch):
+                yield _cut(*batch.columns[:2], *[x.to_numpy() for x in batch.columns[2:]], block)
 
     by = ["category", "term", "doc_id"]
     return postings.select(*by, "tf", "dl", "impact").repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(cut, BLOCKS)
@@ -124,14 +227,18 @@ class Knowledge:
         found = self.usable()
         if found is None:
             raise ValueError(f"no index of this version and set-up in {self.folder}")
-        return self.spark.read.parquet(f"{self.folder}/{found.generation}/{name}")
+        return self._read(found.generation, name)
+
+    def _read(self, generation: str, name: str) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.folder}/{generation}/{name}")
+        return rows.drop("terms", "sizes", "tfs") if name == "docs" else rows
 
     def refresh(self, files: DataFrame, fragments: Callable[[DataFrame], DataFrame]) -> dict[str, int]:
         """Brings the index up to the files and tells how many were added, changed and gone; without any, nothing is written.
 
         files: path, modified, length. fragments: from a table of paths to FRAGMENT rows, read for added and changed files
-        only. Of all other files, fragments and postings are carried over. An index of another version or set-up is built
-        anew. Null contents have no tokens; an empty table of files gives an empty index.
+        only, and cut into tokens once. Of all other files, fragments and their terms are carried over. An index of another
+        version or set-up is built anew. Null contents have no tokens; an empty table of files gives an empty index.
         """
         files = stored(files.select("path", "modified", "length"), "index-files")
         stamp = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("path", "modified", "length").cast("decimal(38,0)")).alias("h")).first()
@@ -140,39 +247,43 @@ class Knowledge:
             return {"added": 0, "changed": 0, "gone": 0}
         old = self.table("files") if now is not None else files.limit(0)
         moved = stored(differences(old, files), "index-moved")
-        fresh = stored(fragments(moved.filter("kind <> 'gone'").select("path")).select(*FRAGMENT), "index-fresh")
-        tokens = stored(self._tokens(fresh), "index-tokens")
-        docs = fresh.join(tokens.select("doc_id", F.size("tokens").alias("dl")), "doc_id")
-        postings = tokens.select("category", "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("category", "term", "doc_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        docs = self._counted(fragments(moved.filter("kind <> 'gone'").select("path")).select(*FRAGMENT))
         if now is not None:
-            same = self.table("docs").join(moved.select(F.col("path").alias("file")), "file", "left_anti")
-            listed = self.table("blocks").select("category", "term", F.inline(F.arrays_zip("docs", "tfs", "dls")))
-            carried = listed.select("category", "term", F.col("docs").alias("doc_id"), F.col("dls").alias("dl"), F.col("tfs").alias("tf")).join(same.select("doc_id"), "doc_id", "left_semi")
-            docs, postings = docs.unionByName(same), postings.unionByName(carried)
-        path = f"{self.folder}/generation-{uuid.uuid4().hex}"
+            same = self.spark.read.parquet(f"{self.folder}/{now.generation}/docs")
+            docs = docs.unionByName(same.join(moved.select(F.col("path").alias("file")), "file", "left_anti"))
+        generation = f"generation-{uuid.uuid4().hex}"
+        path = f"{self.folder}/{generation}"
         docs.write.parquet(f"{path}/docs")
         docs = self.spark.read.parquet(f"{path}/docs")
         docs.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl")).write.parquet(f"{path}/stats")
-        postings = stored(postings, "index-postings")
-        postings.groupBy("category", "term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("category", "term").sortWithinPartitions("category", "term").write.parquet(f"{path}/terms")
-        stats = self.spark.read.parquet(f"{path}/stats").select(F.col("category").alias("of"), "avg_dl")
-        weighed = postings.join(stats, F.col("category").eqNullSafe(F.col("of"))).withColumn("impact", impact(F.col("avg_dl")))
-        posting_blocks(weighed, self.block).write.parquet(f"{path}/blocks")
+        stats = self._read(generation, "stats").select(F.col("category").alias("of"), "avg_dl")
+        known = docs.join(F.broadcast(stats), F.col("category").eqNullSafe(F.col("of")))
+        document_blocks(known, self._bounds(docs), self.block).write.parquet(f"{path}/blocks")
+        terms = self._read(generation, "blocks").groupBy("category", "term").agg(F.sum("n").alias("df"))
+        terms.repartitionByRange("category", "term").sortWithinPartitions("category", "term").write.parquet(f"{path}/terms")
         files.write.parquet(f"{path}/files")
-        row = (found.epoch + 1 if found else 1, VERSION, self._setup(), fingerprint, path.rsplit("/", 1)[1])
+        row = (found.epoch + 1 if found else 1, VERSION, self._setup(), fingerprint, generation)
         self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
         counts = {r.kind: r.n for r in moved.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
         return {kind: counts.get(kind, 0) for kind in ("added", "changed", "gone")}
 
-    def _tokens(self, fresh: DataFrame) -> DataFrame:
-        """doc_id, category, tokens: each tokeniser works on the rows of its categories alone."""
-        out = fresh.filter(F.coalesce(~F.col("category").isin(*self.tokenizers), F.lit(True)))
-        text = F.coalesce("content", F.lit(""))
-        out = out.select("doc_id", "category", self.other.tokens(text).alias("tokens"))
-        for one in set(self.tokenizers.values()):
-            mine = fresh.filter(F.col("category").isin(*[c for c, t in self.tokenizers.items() if t == one]))
-            out = out.unionByName(mine.select("doc_id", "category", one.tokens(text).alias("tokens")))
-        return out
+    def _counted(self, fresh: DataFrame) -> DataFrame:
+        """The fragments with dl, terms, tfs, in one reading: each tokeniser gets the texts of its categories, and empty ones else."""
+        text, none = F.coalesce("content", F.lit("")), F.lit("")
+        mine = {one: F.coalesce(F.col("category").isin(*[c for c, t in self.tokenizers.items() if t == one]), F.lit(False)) for one in set(self.tokenizers.values())}
+        rest = F.coalesce(~F.col("category").isin(*self.tokenizers), F.lit(True))
+        said = counted(self.other.tokens(F.when(rest, text).otherwise(none)))
+        for one, here in mine.items():
+            said = F.when(here, counted(one.tokens(F.when(here, text).otherwise(none)))).otherwise(said)
+        return fresh.withColumn("said", said).select(*FRAGMENT, "said.*")
+
+    def _bounds(self, docs: DataFrame) -> list[int]:
+        """Ids that cut the documents into ranges of about RANGE each."""
+        parts = -(-docs.count() // RANGE)
+        if parts < 2:
+            return []
+        cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10000, 10 * parts))).first()[0]
+        return sorted(set(cuts))
 
     def clear(self) -> None:
         """Deletes the generations that the newest manifest does not name; readers of those must have ended."""

@@ -236,3 +236,36 @@ def test_keywords_of_rare_and_common_terms(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = lambda common: sorted(map(tuple, S.tfidf_keywords(docs, 5, common).collect()))
     assert rows(50) == rows(S.COMMON) and len(rows(50)) > 500
+
+
+def test_terms_travel_in_runs_and_come_back_in_order(spark):
+    from tarnstone.operators.knowledge import counted, document_blocks
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["A", "B", None]), d * 7 - 900, rnd.choices(["a", "é", "", "\n", "x\x1fy", "common", f"w{d % 50}"], k=rnd.randint(0, 12))) for d in range(700)]
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame(rows, "category string, doc_id long, tokens array<string>").repartition(6)
+    said = docs.select("category", "doc_id", counted(F.col("tokens")).alias("said")).select("category", "doc_id", "said.*", F.lit(5.0).alias("avg_dl"))
+    want = sorted((c or "", t, d, n, len(x)) for c, d, x in rows for t, n in Counter(x).items())
+    for bounds in ([], [-900, 0, 1000, 1007, 9999]):
+        got = document_blocks(said, bounds, 16).collect()
+        assert sorted((r.category or "", r.term, *p) for r in got for p in zip(r.docs, r.tfs, r.dls, strict=True)) == want
+        assert all(len(r.docs) == r.n <= 16 and r.docs == sorted(r.docs) and (r["first"], r["last"]) == (r.docs[0], r.docs[-1]) for r in got)
+        assert all(math.isclose(r.impact, max(t / (t + 1.5 * (0.25 + 0.75 * n / 5)) for t, n in zip(r.tfs, r.dls, strict=True))) for r in got)
+        spans = sorted((r.category or "", r.term, r["first"], r["last"]) for r in got)
+        assert all(a[:2] != b[:2] or a[3] < b[2] for a, b in zip(spans, spans[1:]))
+
+
+def test_a_refresh_writes_contents_and_terms_once(spark, tmp_path, monkeypatch):
+    from tarnstone.operators import knowledge
+
+    names = []
+    kept = knowledge.stored
+    monkeypatch.setattr(knowledge, "stored", lambda df, name: names.append(name) or kept(df, name))
+    monkeypatch.setattr(knowledge, "RANGE", 16)
+    rows = corpus(4, 80)
+    index, _, _ = build(spark, tmp_path, rows)
+    assert set(names) == {"index-files", "index-moved"}
+    assert index.table("docs").columns == [*FRAGMENT, "dl"] and len(index._bounds(index.table("docs"))) == 4
+    for category in "AB":
+        same(index.search(category, ["w0", "w3"]).collect(), bm25({r[0]: r[5].split() for r in rows if r[2] == category}, ["w0", "w3"]))
