@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnstone.functions.text import identifier_score, looks_english, path_score, tokenize_en
+from tarnstone.functions.text import TOKEN, identifier_score, looks_english, path_score, tokenize_en
 
 K1, B = 1.5, 0.75
 UNLIMITED = 64
@@ -78,17 +78,25 @@ def matched(docs: DataFrame, terms: list[str], text: str = "text", key: str = "d
     Texts are cut twice: for the statistics, one row a part, in which each term of the query is counted, and for the hits,
     which are told without a shuffle. A row is a document of its own.
     """
+    hits = _matched(docs, terms, text, key, parts)
+    return hits if parts else hits.drop("dfs")
+
+
+def _matched(docs: DataFrame, terms: list[str], text: str, key: str, parts: list[str] | None) -> DataFrame:
+    """matched, without parts also with dfs, the document frequencies of all terms."""
     parts, terms = parts or [], terms or [""]
-    rows = docs.select(*parts, F.col(key).alias("doc_id"), tokenize_en(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    rows = rows.select(*parts, "doc_id", F.size("tokens").cast("long").alias("dl"), F.filter("tokens", lambda t: t.isin(terms)).alias("hits"))
+    rows = docs.select(*parts, F.col(key).alias("doc_id"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    told = F.transform(F.filter("tokens", lambda t: (F.octet_length(t) <= max(map(len, terms))) & F.lower(t).isin(terms)), F.lower)
+    rows = rows.select(*parts, "doc_id", F.size("tokens").cast("long").alias("dl"), told.alias("hits"))
     df = F.map_from_arrays(F.array(*map(F.lit, terms)), F.array(*[F.count_if(F.array_contains("hits", t)) for t in terms]))
     stats = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"), df.alias("dfs"))
     counted = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).cast("long").alias("tf")))
-    hits = rows.filter(F.size("hits") > 0).select(*parts, "doc_id", "dl", F.inline(counted))
+    # A filter on the lists would be put before they are told, and texts be cut for it once more; one on the terms is not.
+    hits = rows.select(*parts, "doc_id", "dl", F.inline_outer(counted)).filter("term IS NOT NULL")
     if parts:
         return hits.join(stats, parts).withColumn("df", F.element_at("dfs", F.col("term"))).drop("dfs")
     known = hits.withColumn("stats", stats.select(F.struct("n", "avg_dl", "dfs")).scalar())
-    return known.select("doc_id", "term", "tf", "dl", F.element_at("stats.dfs", F.col("term")).alias("df"), "stats.n", "stats.avg_dl")
+    return known.select("doc_id", "term", "tf", "dl", F.element_at("stats.dfs", F.col("term")).alias("df"), "stats.n", "stats.avg_dl", "stats.dfs")
 
 
 def weight() -> Column:
@@ -129,6 +137,15 @@ def fallback(primary: DataFrame, second: DataFrame) -> DataFrame:
     return primary.withColumn("phase", F.lit(1)).unionByName(second.filter(some == 0).withColumn("phase", F.lit(2)))
 
 
+def bm25_fallback(docs: DataFrame, first: list[str], second: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, score, phase: all hits of the first query, or where it has none those of the second. Texts are cut for both at once."""
+    first, second = unique(first) or [""], unique(second) or [""]
+    hits = _matched(docs, unique([*first, *second]), text, key, None)
+    some = F.greatest(F.lit(0), *[F.coalesce(F.try_element_at("dfs", F.lit(t)), F.lit(0)) for t in first]) > 0
+    hits = hits.filter(F.when(some, F.col("term").isin(first)).otherwise(F.col("term").isin(second)))
+    return hits.groupBy("doc_id", F.when(some, 1).otherwise(2).alias("phase")).agg(F.sum(weight()).alias("score")).select("doc_id", "score", "phase")
+
+
 def search_all(docs: DataFrame, bucket: str, query: list[str], top_k: int) -> DataFrame:
     """Each bucket's best max(3k, 30) (60 without a limit), put together by raw score and cut to k."""
     each = max(3 * top_k, 30) if top_k > 0 else 60
@@ -204,4 +221,4 @@ def tfidf_keywords(docs: DataFrame, top_n: int, common: int = COMMON) -> DataFra
     return ranked(first.unionByName(rest)).select("doc_id", "term", "weight", F.col("rank").cast("long").alias("rank"))
 
 
-__all__ = ["Index", "bm25", "build_index", "fallback", "looks_english", "matched", "query_index", "query_tokens", "search_all", "search_assets", "search_identifiers", "tfidf_keywords", "top"]
+__all__ = ["Index", "bm25", "bm25_fallback", "build_index", "fallback", "looks_english", "matched", "query_index", "query_tokens", "search_all", "search_assets", "search_identifiers", "tfidf_keywords", "top"]

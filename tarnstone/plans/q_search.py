@@ -102,7 +102,7 @@ for _name, _lang, _text in (("search_api", "fr", "de in"), ("search_enum", "de",
 
 @query("search_fallback", f"{BASE}, {HITS} SELECT doc_id, round(sum({W}), 6) AS score, 2 AS phase FROM h GROUP BY doc_id")
 def _(docs):
-    return S.fallback(S.bm25(docs, ["nosuchterm"]), S.bm25(docs, WORDS)).select("doc_id", F.round("score", 6).alias("score"), "phase")
+    return S.bm25_fallback(docs, ["nosuchterm"], WORDS).select("doc_id", F.round("score", 6).alias("score"), "phase")
 
 
 ALL = f"""WITH {T_}, {S_}, {P_}, c AS (SELECT lang, count(*) AS n, avg(dl) AS avg_dl FROM s GROUP BY lang),
