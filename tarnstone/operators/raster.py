@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ RGBA = ("r", "g", "b", "a")
 XY = ("canvas", "x", "y")
 #: Widest and tallest canvas.
 MOST = 4096
+#: Places of the canvases that are settled together; a larger canvas is settled alone.
+STACK = 1 << 17
 #: Side of the tiles in which rectangles and pixels meet.
 TILE = 32
 
@@ -254,12 +257,49 @@ def _frame(canvas, grid: np.ndarray) -> pd.DataFrame:
     return out
 
 
-def _back(pdf: pd.DataFrame, grid: np.ndarray) -> pd.DataFrame:
-    """The places that the canvas has, with their colours from the grid: a sparse canvas gains none."""
-    out = pdf[list(XY)].reset_index(drop=True)
-    for i, c in enumerate(RGBA):
-        out[c] = grid[pdf["y"], pdf["x"], i]
-    return out
+def _settled(rows: pa.Table, settle: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.RecordBatch:
+    """Rows of whole canvases, with the colours that settle gives their places: a sparse canvas gains none."""
+    batch = rows.combine_chunks().to_batches()[0]
+    canvas = batch["canvas"].dictionary_encode(null_encoding="encode").indices.to_numpy()
+    x, y = batch["x"].to_numpy(), batch["y"].to_numpy()
+    colours = np.stack([batch[c].to_numpy() for c in RGBA], axis=1).astype(np.int64)
+    size = np.zeros((canvas.max() + 1, 2), np.int64)
+    np.maximum.at(size, canvas, np.stack([y, x], axis=1) + 1)
+    shapes, shape = np.unique(size, axis=0, return_inverse=True)
+    shape, place = shape.ravel(), np.empty(len(size), np.int64)
+    for k, (h, w) in enumerate(shapes):
+        alike, most = np.flatnonzero(shape == k), max(1, STACK // (h * w))
+        for some in (alike[i : i + most] for i in range(0, len(alike), most)):
+            place[:] = -1
+            place[some] = np.arange(len(some))
+            mine = np.flatnonzero(place[canvas] >= 0)
+            at = (place[canvas[mine]], y[mine], x[mine])
+            grid, there = np.zeros((len(some), h, w, 4), np.int64), np.zeros((len(some), h, w), bool)
+            grid[at], there[at] = colours[mine], True
+            colours[mine] = settle(grid, there)[at]
+    return pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(colours[:, i].astype(np.int32)) for i in range(4)]], [*XY, *RGBA])
+
+
+def _whole(pixels: DataFrame, settle: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """settle (grids of one shape, which places are there -> grids) on all canvases, many at a time. A task holds the canvases of
+    one Arrow batch, or one canvas that is larger."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            canvas = pa.concat_arrays([*(k["canvas"].slice(len(k) - 1) for k in kept[-1:]), batch["canvas"]]).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new = np.flatnonzero(canvas[1:] != canvas[:-1]) + (0 if kept else 1)
+            if len(new):
+                done = [*kept, batch.slice(0, new[-1])]
+                yield _settled(pa.Table.from_batches(done), settle)
+                kept = []
+            kept.append(batch.slice(new[-1] if len(new) else 0))
+        if kept:
+            yield _settled(pa.Table.from_batches(kept), settle)
+
+    return pixels.select(*XY, *[F.col(c).cast("int") for c in RGBA]).repartition("canvas").sortWithinPartitions("canvas").mapInArrow(run, SCHEMA)
 
 
 SCHEMA = "canvas long, x int, y int, r int, g int, b int, a int"
@@ -268,62 +308,57 @@ SCHEMA = "canvas long, x int, y int, r int, g int, b int, a int"
 def flood_fill(pixels: DataFrame, x: int, y: int, colour, tolerance: int = 0) -> DataFrame:
     """The connected area about a place whose colours lie within the tolerance of it. A canvas is at most 4096 x 4096."""
 
-    def filled(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = _grids(pdf)
-        if 0 <= y < grid.shape[0] and 0 <= x < grid.shape[1] and tuple(grid[y, x]) != tuple(colour):
-            there = np.zeros(grid.shape[:2], bool)
-            there[pdf["y"], pdf["x"]] = True
-            like = there & (np.abs(grid - grid[y, x]).sum(axis=2) <= tolerance)
-            front = np.zeros(like.shape, bool)
-            front[y, x] = there[y, x]
-            area = front.copy()
-            while front.any():
-                near = np.zeros_like(front)
-                near[1:] |= front[:-1]
-                near[:-1] |= front[1:]
-                near[:, 1:] |= front[:, :-1]
-                near[:, :-1] |= front[:, 1:]
-                front = near & like & ~area
-                area |= front
-            grid[area] = colour
-        return _back(pdf, grid)
-
-    return pixels.groupBy("canvas").applyInPandas(filled, SCHEMA)
+    def filled(grid: np.ndarray, there: np.ndarray) -> np.ndarray:
+        if not (0 <= y < grid.shape[1] and 0 <= x < grid.shape[2]):
+            return grid
+        first = grid[:, y, x]
+        like = there & (np.abs(grid - first[:, None, None]).sum(axis=3) <= tolerance)
+        front = np.zeros(like.shape, bool)
+        front[:, y, x] = there[:, y, x] & (first != np.array(colour)).any(axis=1)
+        area = front.copy()
+        while front.any():
+            near = np.zeros_like(front)
+            near[:, 1:] |= front[:, :-1]
+            near[:, :-1] |= front[:, 1:]
+            near[:, :, 1:] |= front[:, :, :-1]
+            near[:, :, :-1] |= front[:, :, 1:]
+            front = near & like & ~area
+            area |= front
+        grid[area] = colour
+        return grid
+
+    return _whole(pixels, filled)
 
 
 def dithered(grid: np.ndarray, colours: np.ndarray) -> np.ndarray:
-    """Error diffusion over one grid. A cell hangs on its left neighbour and three cells of the row above, so all cells with the
+    """Error diffusion over one grid, or over each of a stack. A cell hangs on its left neighbour and three cells of the row above, so all cells with the
     same x + 2 y are settled in one step.
 
     Shares are clipped as they come: a cell gets 1/16 and 5/16 in earlier steps, then 3/16 from its upper right and 7/16 from
     its left in this order, as row by row.
     """
-    grid = grid.astype(float)
-    h, w = grid.shape[:2]
+    shape, grid = grid.shape, grid.reshape(-1, *grid.shape[-3:]).astype(float)
+    h, w = grid.shape[1:3]
     for step in range(w + 2 * (h - 1)):
         y = np.arange(max(0, (step - w + 2) // 2), min(h - 1, step // 2) + 1)
         x = step - 2 * y
-        old = grid[y, x]
-        new = colours[((colours[None] - old[:, None]) ** 2).sum(axis=2).argmin(axis=1)]
-        grid[y, x] = new
+        old = grid[:, y, x]
+        new = colours[((colours - old[:, :, None]) ** 2).sum(axis=3).argmin(axis=2)]
+        grid[:, y, x] = new
         for dx, dy, part in ((-1, 1, 3), (1, 0, 7), (0, 1, 5), (1, 1, 1)):
             on = (x + dx >= 0) & (x + dx < w) & (y + dy < h)
-            to = (y[on] + dy, x[on] + dx)
+            to = (slice(None), y[on] + dy, x[on] + dx)
             cells = grid[to]
-            cells[:, :3] = np.clip(cells[:, :3] + (old - new)[on, :3] * part / 16, 0, 255)
+            cells[:, :, :3] = np.clip(cells[:, :, :3] + (old - new)[:, on, :3] * part / 16, 0, 255)
             grid[to] = cells
-    return grid.astype(np.int64)
+    return grid.astype(np.int64).reshape(shape)
 
 
 def dither(pixels: DataFrame, palette: list[tuple[int, int, int, int]]) -> DataFrame:
     """Error diffusion 7/16, 3/16, 5/16, 1/16 row by row to the nearest palette colour by squared distance. A canvas is at most
     4096 x 4096 and is settled in width + 2 height steps."""
     colours = np.array(palette, float)
-
-    def spread(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _back(pdf, dithered(_grids(pdf), colours))
-
-    return pixels.groupBy("canvas").applyInPandas(spread, SCHEMA)
+    return _whole(pixels, lambda grid, there: dithered(grid, colours))
 
 
 def extract_palette(pixels: DataFrame, most: int = 16) -> DataFrame:

@@ -180,3 +180,22 @@ def test_line_rules_on_a_tree_in_one_line(spark):
     begin = perf_counter()
     assert [r.line_no for r in line_lints(spark.createDataFrame(rows, "line_no int, line string")).filter("rule = 'spacing'").orderBy("line_no").collect()] == [2, 5]
     assert perf_counter() - begin < 30
+
+
+def test_canvases_are_settled_in_stacks(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    rows = [(c, x, y, *map(int, rnd.integers(0, 256, 4))) for c in (None, 2**62 + 1, 2**62 + 2, *range(40)) for x in range((c or 0) % 3 + 1) for y in range(4) if (x, y) == (0, 3) or rnd.random() < 0.8]
+    pixels = spark.createDataFrame(rows, R.SCHEMA).repartition(3)
+    palette = [(0, 0, 0, 255), (255, 255, 255, 255), (128, 64, 0, 255)]
+    grids = {}
+    for c, x, y, *v in rows:
+        grids.setdefault(c, np.zeros((4, 1 + max(r[1] for r in rows if r[0] == c), 4), np.int64))[y, x] = v
+    want = {c: R.dithered(g, np.array(palette, float)) for c, g in grids.items()}
+    monkeypatch.setattr(R, "STACK", 64)
+    got = R.dither(pixels, palette).collect()
+    assert len(got) == len(rows) and all(tuple(want[r.canvas][r.y, r.x]) == r[3:] for r in got)
+    plan = R.dither(pixels, palette)._jdf.queryExecution().optimizedPlan().toString() + R.flood_fill(pixels, 0, 3, (1, 2, 3, 4))._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan
+    filled = R.flood_fill(pixels, 0, 3, (1, 2, 3, 255), 500).collect()
+    assert len(filled) == len(rows) and all(r[3:] == (1, 2, 3, 255) for r in filled if (r.x, r.y) == (0, 3))
+    assert sum(r[3:] == (1, 2, 3, 255) for r in filled) > len(grids)
