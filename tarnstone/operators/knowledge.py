@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tarnstone.functions.segment import Segmenter, slices
 from tarnstone.functions.text import tokenize_en
-from tarnstone.operators.search import K1, B, idf_of, top, unique
+from tarnstone.operators.search import K1, B, counted, idf_of, laid_out, top, unique
 from tarnstone.sources.files import delete, differences, exists, stored
 
 #: Of the layout of the tables; an index of another version is built anew.
@@ -83,36 +83,6 @@ def _changes(column: pa.Array) -> np.ndarray:
     return pc.not_equal(column.slice(1), column.slice(0, max(len(column) - 1, 0))).to_numpy(zero_copy_only=False)
 
 
-def counted(tokens: Column) -> Column:
-    """Of lists of tokens, none null: dl, their length, and their distinct tokens laid end to end (terms), with the bytes of each
-    (sizes) and how often it occurs (tfs), both as 32-bit numbers."""
-
-    def count(lists: pa.Array) -> pa.Array:
-        return pa.concat_arrays([_counted(some) for some in slices(lists, most=1 << 24)] or [_counted(lists)])
-
-    return F.arrow_udf(count, "struct<dl int, terms binary, sizes binary, tfs binary>")(tokens)
-
-
-def _counted(tokens: pa.Array) -> pa.Array:
-    coded = tokens.flatten().dictionary_encode()
-    width = max(len(coded.dictionary), 1)
-    keys, tf = np.unique(pc.list_parent_indices(tokens).to_numpy().astype(np.int64) * width + coded.indices.to_numpy(), return_counts=True)
-    row, code = np.divmod(keys, width)
-    terms = coded.dictionary.take(pa.array(code))
-    sizes = pc.binary_length(terms).to_numpy()
-    at = np.searchsorted(row, np.arange(len(tokens) + 1))
-    ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
-    columns = [(ends[at], terms.buffers()[2]), (at * 4, pa.py_buffer(sizes.astype("<i4"))), (at * 4, pa.py_buffer(tf.astype("<i4")))]
-    laid = [pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(offsets.astype(np.int32)), body]) for offsets, body in columns]
-    return pa.StructArray.from_arrays([pc.list_value_length(tokens), *laid], ["dl", "terms", "sizes", "tfs"])
-
-
-def _numbers(column: pa.Array) -> np.ndarray:
-    """The 32-bit numbers of all rows of a column that begins at its buffer's start."""
-    n = pc.sum(pc.binary_length(column)).as_py() or 0
-    return np.frombuffer(column.buffers()[2], "<i4", n // 4) if n else np.empty(0, "<i4")
-
-
 def document_blocks(docs: DataFrame, bounds: list[int], block: int = BLOCK) -> DataFrame:
     """The blocks of posting_blocks, from documents with their terms: category, doc_id, dl, terms, sizes, tfs (see counted), avg_dl.
 
@@ -127,11 +97,9 @@ def document_blocks(docs: DataFrame, bounds: list[int], block: int = BLOCK) -> D
         for batch in batches:
             for some in slices(batch, "terms", 1 << 24):
                 some = some.take(pc.sort_indices(some["doc_id"]))
-                sizes, tf = _numbers(some["sizes"]), _numbers(some["tfs"])
-                if len(sizes) == 0:
+                row, terms, tf = laid_out(some)
+                if len(row) == 0:
                     continue
-                row = np.repeat(np.arange(len(some)), pc.binary_length(some["sizes"]).to_numpy() // 4)
-                terms = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), some["terms"].buffers()[2]])
                 coded, category = terms.dictionary_encode(), some["category"].dictionary_encode(null_encoding="encode")
                 doc = some["doc_id"].to_numpy()
                 key = (category.indices.to_numpy()[row].astype(np.int64) * len(coded.dictionary) + coded.indices.to_numpy()) * (len(split) + 1) + np.searchsorted(split, doc, "right")[row]

@@ -6,29 +6,96 @@ An index is four tables: postings (term, doc_id, tf), doc_stats (doc_id, dl), te
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnstone.functions.segment import slices
 from tarnstone.functions.text import TOKEN, identifier_score, looks_english, path_score, tokenize_en
+from tarnstone.sources.files import stored
 
 K1, B = 1.5, 0.75
 UNLIMITED = 64
 
 
+def counted(tokens: Column) -> Column:
+    """Of lists of tokens, none null: dl, their length, and their distinct tokens laid end to end (terms), with the bytes of each
+    (sizes) and how often it occurs (tfs), both as 32-bit numbers."""
+
+    def count(lists: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_counted(some) for some in slices(lists, most=1 << 24)] or [_counted(lists)])
+
+    return F.arrow_udf(count, "struct<dl int, terms binary, sizes binary, tfs binary>")(tokens)
+
+
+def _counted(tokens: pa.Array) -> pa.Array:
+    coded = tokens.flatten().dictionary_encode()
+    width = max(len(coded.dictionary), 1)
+    keys, tf = np.unique(pc.list_parent_indices(tokens).to_numpy().astype(np.int64) * width + coded.indices.to_numpy(), return_counts=True)
+    row, code = np.divmod(keys, width)
+    terms = coded.dictionary.take(pa.array(code))
+    sizes = pc.binary_length(terms).to_numpy()
+    at = np.searchsorted(row, np.arange(len(tokens) + 1))
+    ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    columns = [(ends[at], terms.buffers()[2]), (at * 4, pa.py_buffer(sizes.astype("<i4"))), (at * 4, pa.py_buffer(tf.astype("<i4")))]
+    laid = [pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(offsets.astype(np.int32)), body]) for offsets, body in columns]
+    return pa.StructArray.from_arrays([pc.list_value_length(tokens), *laid], ["dl", "terms", "sizes", "tfs"])
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """The 32-bit numbers of all rows of a column that begins at its buffer's start."""
+    n = pc.sum(pc.binary_length(column)).as_py() or 0
+    return np.frombuffer(column.buffers()[2], "<i4", n // 4) if n else np.empty(0, "<i4")
+
+
+def laid_out(rows: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(row, term, tf) of all terms of rows with the columns terms, sizes and tfs of counted, which begin at their buffers' start."""
+    sizes, tf = _numbers(rows["sizes"]), _numbers(rows["tfs"])
+    row = np.repeat(np.arange(len(rows)), pc.binary_length(rows["sizes"]).to_numpy() // 4)
+    offsets = pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32))
+    return row, pa.Array.from_buffers(pa.string(), len(sizes), [None, offsets, rows["terms"].buffers()[2]]), tf
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for some in slices(batch, "terms", 1 << 24):
+            some = some.take(pa.array(np.arange(len(some))))
+            row, term, tf = laid_out(some)
+            if len(row):
+                yield pa.RecordBatch.from_arrays([term, some["doc_id"].take(pa.array(row)), pa.array(tf.astype(np.int64))], ["term", "doc_id", "tf"])
+
+
 @dataclass
 class Index:
+    """tokens: what the postings and lengths come from (doc_id, tokens), where it is known."""
+
     postings: DataFrame
     doc_stats: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    tokens: DataFrame | None = None
 
     def save(self, path: str) -> None:
-        """postings are ranged and sorted by term, so that a search reads the row groups of its terms. What follows from the
-        postings and lengths is counted from them as they were written, so texts are not cut again for it."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        """postings are ranged and sorted by term, so that a search reads the row groups of its terms. Texts are cut once: the
+        terms of each are counted where they are cut, and written; postings and lengths are read from there. What follows from
+        these is counted from them as they were written."""
+        postings, stats = self.postings, self.doc_stats
+        if self.tokens is not None:
+            said = stored(self.tokens.select("doc_id", counted(F.col("tokens")).alias("said")).select("doc_id", "said.*"), "index-terms")
+            key = said.schema["doc_id"].dataType.simpleString()
+            each = said.select("doc_id", "terms", "sizes", "tfs").mapInArrow(_postings, f"term string, doc_id {key}, tf long")
+            stats = said.select("doc_id", F.col("dl").cast("long").alias("dl"))
+            # Rows of one doc_id are one document of the postings; a term's rows lie in one range.
+            postings = each.repartitionByRange("term").groupBy("term", "doc_id").agg(F.sum("tf").alias("tf")).sortWithinPartitions("term", "doc_id")
+        else:
+            postings = postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+        postings.write.mode("overwrite").parquet(f"{path}/postings")
+        stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
         read = self.postings.sparkSession.read
         corpus_of(read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(f"{path}/corpus")
         terms_of(read.parquet(f"{path}/postings"), read.parquet(f"{path}/corpus")).write.mode("overwrite").parquet(f"{path}/terms")
@@ -56,7 +123,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Ind
     postings = term_frequency(tokens).select("term", "doc_id", "tf")
     stats = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"))
     corpus = corpus_of(stats)
-    return Index(postings, stats, terms_of(postings, corpus), corpus)
+    return Index(postings, stats, terms_of(postings, corpus), corpus, tokens)
 
 
 def corpus_of(stats: DataFrame) -> DataFrame:

@@ -269,3 +269,22 @@ def test_a_refresh_writes_contents_and_terms_once(spark, tmp_path, monkeypatch):
     assert index.table("docs").columns == [*FRAGMENT, "dl"] and len(index._bounds(index.table("docs"))) == 4
     for category in "AB":
         same(index.search(category, ["w0", "w3"]).collect(), bm25({r[0]: r[5].split() for r in rows if r[2] == category}, ["w0", "w3"]))
+
+
+def test_a_saved_index_cuts_texts_once(spark, tmp_path):
+    from tarnstone.operators import search as S
+
+    cuts = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(text):
+        cuts.add(1)
+        return text
+
+    # A doc_id that is told twice is one document of the postings and two lengths, as in the index that is not saved.
+    docs = spark.createDataFrame([(1, "The cat, the Dog"), (2, "a dog"), (3, None), (2, "dog K x_1 X_1"), (4, "")], "doc_id long, text string")
+    S.build_index(docs.withColumn("text", said("text"))).save(str(tmp_path / "i"))
+    assert cuts.value == 5
+    kept, whole = S.Index.load(spark, str(tmp_path / "i")), S.build_index(docs)
+    for name in ("postings", "doc_stats", "terms", "corpus"):
+        assert sorted(map(tuple, getattr(kept, name).select(*getattr(whole, name).columns).collect())) == sorted(map(tuple, getattr(whole, name).collect()))
