@@ -109,3 +109,30 @@ def test_emptied_texts(spark):
     rows = [(1, "a b c d e\nf g h i j"), (2, "f g h i j\n\na b c d e"), (3, ""), (4, None), (5, " \n"), (6, "a b c d e\nnew")]
     got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame([(*r, "", 0) for r in rows], SCHEMA), drop_emptied=True).collect()}
     assert got == {1: "a b c d e\nf g h i j", 3: "", 4: None, 5: " \n", 6: "new"}
+
+
+def test_pivots_of_crowds_only(spark, monkeypatch):
+    """Sets are compared with pivots only where many share a sampled token; the join finds the others, with the same result."""
+    rows = [(i, f"all of these lines stand here in one crowd and end by {i % 50}") for i in range(150)] + [(500 + i, f"two of a kind number {i} are few words") for i in (1, 1, 2, 3)]
+    df = spark.createDataFrame([(d, t, "", 0) for d, t in rows], SCHEMA)
+    docs = df.selectExpr("doc_id", "xxhash64(text) AS tkey", "text")
+    sets = line_dedup.line_sets(docs, 80).selectExpr("doc_id AS sid", "*", "1L AS copies")
+    assert line_dedup._near_pivots(sets.filter("doc_id >= 500"), 80).count() == 0
+    assert line_dedup._near_pivots(sets.filter("doc_id < 500"), 80).count() >= 100
+    want = brute(rows)
+    assert all(r.text == "\n".join(want[r.doc_id]) for r in dedup_lines(df).collect())
+
+
+def test_signature_levels(spark):
+    """sign and half hold the tokens of disjoint ranges of levels, and no set that is alike is told apart by them."""
+    rows = corpus()
+    docs = spark.createDataFrame([(d, t or "", i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, tkey long")
+    levels, (low, high) = line_dedup.rarity(docs)
+    assert 0 <= low <= high <= line_dedup.LEVELS
+    got = line_dedup.line_sets(docs, 80).collect()
+    words = {(i, k): set(re.findall(r"[^\x20\x09-\x0D]+", line)) for i, (_, t) in enumerate(rows) for k, line in enumerate((t or "").split("\n"))}
+    assert all(r.n == len(words[r.tkey, r.line_no]) for r in got) and any(r.sign for r in got) and any(r.half for r in got)
+    bits = lambda v: bin(v & (1 << 64) - 1).count("1")
+    for x in got[:60]:
+        for y in got:
+            assert bits(x.sign ^ y.sign) + bits(x.half ^ y.half) <= len(words[x.tkey, x.line_no] ^ words[y.tkey, y.line_no])
