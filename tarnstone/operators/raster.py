@@ -110,21 +110,27 @@ def rects(pixels: DataFrame, commands: DataFrame, tile: int = TILE) -> DataFrame
     """Rectangles painted on canvases; the last that covers a place wins.
 
     commands: canvas, seq (all different on a canvas), x, y, w, h, filled, r, g, b, a. An outline is four thin rectangles.
-    Rectangles and pixels meet in square tiles of the canvas; of those that cover a whole tile, the last hides all before
-    it. Rectangles without area, or off the canvas, paint nothing; a null in filled counts as filled.
+    Rectangles and pixels meet in square tiles of the canvas; of those that leave the same box in a tile, the last hides the
+    others, and of those that cover a whole tile, the last hides all before it. Rectangles without area, or off the canvas,
+    paint nothing; a null in filled counts as filled.
     """
     side = lambda x, y, w, h: F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
     x, y, w, h, one = F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(1)
     edges = F.array(side(x, y, w, one), side(x, y + h - 1, w, one), side(x, y, one, h), side(x + w - 1, y, one, h))
-    boxes = commands.filter((w > 0) & (h > 0)).select("canvas", "seq", F.struct(*RGBA).alias("new"), F.explode(F.when(F.coalesce("filled", F.lit(True)), F.array(side(x, y, w, h))).otherwise(edges)).alias("box")).select("canvas", "seq", "new", "box.*")
     sized = pixels.groupBy("canvas").agg(F.max("x").alias("right"), F.max("y").alias("low"))
-    inside = boxes.join(sized, "canvas").select(
+    # Both joins are merges by hint: a plan takes exploded rows for as few as the file they come from, and would broadcast them.
+    on = commands.filter((w > 0) & (h > 0)).select("canvas", "seq", "x", "y", "w", "h", "filled", F.struct(*RGBA).alias("new")).hint("merge").join(sized, "canvas")
+    boxes = on.select("canvas", "seq", "new", "right", "low", F.explode(F.when(F.coalesce("filled", F.lit(True)), F.array(side(x, y, w, h))).otherwise(edges)).alias("box")).select("canvas", "seq", "new", "right", "low", "box.*")
+    inside = boxes.select(
         "canvas", "seq", "new", F.greatest(x, F.lit(0)).alias("x0"), F.least(x + w - 1, "right").alias("x1"), F.greatest(y, F.lit(0)).alias("y0"), F.least(y + h - 1, "low").alias("y1")
     ).filter("x0 <= x1 AND y0 <= y1")
     tiles = inside.withColumn("tx", F.explode(F.expr(f"sequence(x0 div {tile}, x1 div {tile})"))).withColumn("ty", F.explode(F.expr(f"sequence(y0 div {tile}, y1 div {tile})")))
-    whole = (F.col("x0") <= F.col("tx") * tile) & (F.col("x1") >= F.col("tx") * tile + tile - 1) & (F.col("y0") <= F.col("ty") * tile) & (F.col("y1") >= F.col("ty") * tile + tile - 1)
+    left, top = F.col("tx") * tile, F.col("ty") * tile
+    cut = {"x0": F.greatest("x0", left), "x1": F.least("x1", left + tile - 1), "y0": F.greatest("y0", top), "y1": F.least("y1", top + tile - 1)}
+    last = tiles.withColumns(cut).groupBy("canvas", "tx", "ty", *cut).agg(F.max("seq").alias("seq"), F.max_by("new", "seq").alias("new"))
+    whole = (F.col("x1") - F.col("x0") == tile - 1) & (F.col("y1") - F.col("y0") == tile - 1)
     hides = F.max(F.when(whole, F.col("seq"))).over(Window.partitionBy("canvas", "tx", "ty"))
-    seen = tiles.withColumn("hides", hides).filter("hides IS NULL OR seq >= hides").select("canvas", "tx", "ty", "seq", "new", "x0", "x1", "y0", "y1")
+    seen = last.withColumn("hides", hides).filter("hides IS NULL OR seq >= hides").drop("hides").hint("merge")
     at = pixels.select(*XY, *RGBA).withColumns({"tx": F.expr(f"x div {tile}"), "ty": F.expr(f"y div {tile}")})
     hit = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
     painted = at.join(seen, ["canvas", "tx", "ty"]).filter(hit).groupBy(*XY).agg(F.max_by("new", "seq").alias("new"))

@@ -152,6 +152,27 @@ def test_thousands_of_rectangles(spark):
     assert len(got) == 3 * w * h and (grid[got["canvas"], got["y"], got["x"]] == got[["r", "g", "b", "a"]].to_numpy()).all()
 
 
+def test_exploded_rectangles_and_pixels_are_not_broadcast(spark, tmp_path):
+    """The plan took them for as few as the files they come from, and the driver had to hold all of them."""
+    rnd = np.random.default_rng(12)
+    rows = [(int(rnd.integers(0, 3)), seq, *map(int, rnd.integers(-4, 12, 2)), *map(int, rnd.integers(0, 9, 2)), [True, False, None][seq % 3], *map(int, rnd.integers(0, 256, 4))) for seq in range(4000)]
+    spark.createDataFrame(rows, "canvas long, seq long, x int, y int, w int, h int, filled boolean, r int, g int, b int, a int").write.parquet(str(tmp_path / "commands"))
+    places = [(c, x, y) for c in (0, 1, 4) for x in range(8) for y in range(11) if c != 1 or (x + y) % 3]
+    spark.createDataFrame([(*p, 1, 2, 3, 4) for p in places], R.SCHEMA).write.parquet(str(tmp_path / "pixels"))
+    want = {p: (1, 2, 3, 4) for p in places}
+    for c, _, x, y, w, h, filled, *colour in rows:
+        for i in range(x, x + w):
+            for j in range(y, y + h):
+                if (c, i, j) in want and (filled is not False or i in (x, x + w - 1) or j in (y, y + h - 1)):
+                    want[c, i, j] = tuple(colour)
+    for tile in (1, 3, 4, 32):
+        out = R.rects(spark.read.parquet(str(tmp_path / "pixels")), spark.read.parquet(str(tmp_path / "commands")), tile)
+        joins = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "Inner" in line]
+        assert len(joins) == 2 and not any("Broadcast" in line for line in joins), joins
+        got = out.collect()
+        assert len(got) == len(places) and {r[:3]: r[3:] for r in map(tuple, got)} == want
+
+
 def test_query_tokens_by_mode():
     """The decision table: text kind by mode, in both phases; a segmenter that finds nothing falls back to English."""
     from tarnstone.operators.search import query_tokens
